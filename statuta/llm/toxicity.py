@@ -1,6 +1,6 @@
 """Toxicity scores: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features of a text are the distinct 32-bit hashes of its lower-cased words, of neighbouring word pairs and
+Features of a text are the distinct 32-bit hashes of its lower-cased words without punctuation, of neighbouring word pairs and
 of pairs with one word between. A bounded, hash-chosen sample of labelled rows is dealt to shards; each
 shard runs FTRL-proximal (a learning rate per coordinate, L1 and L2) and the shards' weights are averaged.
 L1 leaves few weights, which are broadcast and applied to every text in one scan without a shuffle.
@@ -22,17 +22,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, WordHashes, materialize, mix, text_bytes
+from .common import WordHashes, materialize, mix, text_bytes
+
+#: Byte for byte: ASCII other than letters, digits and apostrophes to a space, A-Z to a-z.
+_WORDS = bytes((b + 32 if 65 <= b <= 90 else b) if b >= 128 or chr(b).isalnum() or b == 39 else 32 for b in range(256))
 
 
 @dataclass(frozen=True)
 class Ftrl:
-    """alpha, beta: the per-coordinate rate; l1, l2: penalties. max_train bounds the labelled rows that are fitted."""
+    """alpha, beta: the per-coordinate rate; l1, l2: penalties; positive: weight of a toxic row's gradient.
+    max_train bounds the labelled rows that are fitted."""
 
-    alpha: float = 1.0
+    alpha: float = 3.0
     beta: float = 1.0
-    l1: float = 0.8
-    l2: float = 0.5
+    l1: float = 8.0
+    l2: float = 0.1
+    positive: float = 3.0
     epochs: int = 4
     max_train: int = 20_000
     rows_per_shard: int = 2_500
@@ -49,7 +54,7 @@ class Weights:
 
 def _features(texts: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     """32-bit feature keys of all texts and the number of the text that each belongs to, repeats included."""
-    split = [t.translate(LOWER).split() for t in texts]
+    split = [t.translate(_WORDS).split() for t in texts]
     sizes = np.fromiter(map(len, split), np.int64, len(split))
     h = hashes.of([w for ws in split for w in ws])
     doc = np.repeat(np.arange(len(texts)), sizes)
@@ -62,14 +67,13 @@ def _features(texts: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.nd
     return (np.concatenate(keys) >> np.uint64(32)).astype(np.uint32), np.concatenate(owners)
 
 
-def _fit_shard(texts: list[bytes], toxic: np.ndarray, prior: float, p: Ftrl) -> tuple[np.ndarray, np.ndarray, float]:
-    """FTRL-proximal over one shard, row after row; the intercept is a coordinate without a penalty."""
+def _fit_shard(texts: list[bytes], toxic: np.ndarray, prior: float, p: Ftrl) -> tuple[np.ndarray, np.ndarray]:
+    """FTRL-proximal over one shard, row after row; the intercept stays at the prior log-odds."""
     keys, owner = _features(texts, WordHashes())
     pairs = np.unique(owner.astype(np.uint64) << np.uint64(32) | keys)
     coords, at = np.unique((pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32), return_inverse=True)
     ends = np.searchsorted(pairs >> np.uint64(32), np.arange(len(texts) + 1, dtype=np.uint64))
     z, n = np.zeros(len(coords)), np.zeros(len(coords))
-    bias_z = bias_n = 0.0
 
     def weight(zi, ni):
         return np.where(np.abs(zi) <= p.l1, 0.0, (np.sign(zi) * p.l1 - zi) / ((p.beta + np.sqrt(ni)) / p.alpha + p.l2))
@@ -77,16 +81,14 @@ def _fit_shard(texts: list[bytes], toxic: np.ndarray, prior: float, p: Ftrl) ->
     for _ in range(p.epochs):
         for row in range(len(texts)):
             i = at[ends[row] : ends[row + 1]]
-            w, bias = weight(z[i], n[i]), -bias_z / ((p.beta + math.sqrt(bias_n)) / p.alpha)
-            g = 1 / (1 + math.exp(-max(-35.0, min(35.0, prior + bias + w.sum())))) - toxic[row]
-            for_each = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / p.alpha
-            z[i] += g - for_each * w
+            w = weight(z[i], n[i])
+            g = 1 / (1 + math.exp(-max(-35.0, min(35.0, prior + w.sum())))) - toxic[row]
+            g *= p.positive if toxic[row] else 1.0
+            z[i] += g - (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / p.alpha * w
             n[i] += g * g
-            bias_z += g - (math.sqrt(bias_n + g * g) - math.sqrt(bias_n)) / p.alpha * bias
-            bias_n += g * g
     w = weight(z, n)
     keep = np.flatnonzero(w)
-    return coords[keep], w[keep], -bias_z / ((p.beta + math.sqrt(bias_n)) / p.alpha)
+    return coords[keep], w[keep]
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, params: Ftrl = Ftrl()) -> Weights:
@@ -94,7 +96,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, params: Ftrl = Ftrl()) -> W
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = materialize(known.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(params.max_train))
     rows, positive = chosen.agg(F.count("*"), F.sum(F.col("toxic"))).first()
-    prior = math.log(((positive or 0) + 0.5) / (rows - (positive or 0) + 1.5))
+    prior = math.log(((positive or 0) * params.positive + 0.5) / (rows - (positive or 0) + 1.5))
+    prior = min(prior, -0.5)  # a text without any sign is clean
     if not rows:
         return Weights(np.zeros(0, np.uint32), np.zeros(0, np.float32), prior)
     shards = max(1, math.ceil(rows / params.rows_per_shard))
@@ -105,15 +108,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, params: Ftrl = Ftrl()) -> W
     def fit(table: pa.Table) -> pa.Table:
         order = np.lexsort((table["doc_id"].to_numpy(),))
         texts = table["text"].to_pylist()
-        keys, values, bias = _fit_shard([texts[i] for i in order], table["toxic"].to_numpy()[order], prior, params)
-        return pa.table({"coord": np.append(keys.astype(np.int64), -1), "weight": np.append(values, bias)})
+        keys, values = _fit_shard([texts[i] for i in order], table["toxic"].to_numpy()[order], prior, params)
+        return pa.table({"coord": keys.astype(np.int64), "weight": values})
 
     parts = train.groupBy("shard").applyInArrow(fit, "coord long, weight double")
     mixed = parts.groupBy("coord").agg((F.sum("weight") / shards).alias("weight")).toPandas()
-    at = mixed["coord"].to_numpy()
-    real, order = at >= 0, np.argsort(at[at >= 0])
-    values = mixed["weight"].to_numpy()
-    return Weights(at[real][order].astype(np.uint32), values[real][order].astype(np.float32), prior + float(values[~real].sum()))
+    order = np.argsort(mixed["coord"].to_numpy())
+    return Weights(mixed["coord"].to_numpy()[order].astype(np.uint32), mixed["weight"].to_numpy()[order].astype(np.float32), prior)
 
 
 def score_toxicity(docs: DataFrame, weights: Weights, keep: list[str]) -> DataFrame:
@@ -138,7 +139,7 @@ def score_toxicity(docs: DataFrame, weights: Weights, keep: list[str]) -> DataFr
                 keys, owner = _features(texts[start:end], hashes)
                 hit = np.flatnonzero(near[keys >> np.uint32(10)])
                 if len(hit):
-                    pos = np.minimum(np.searchsorted(w.keys, keys[hit]), len(w.keys) - 1)
+                    pos = np.minimum(np.searchsorted(w.keys, keys[hit]), max(0, len(w.keys) - 1))
                     real = w.keys[pos] == keys[hit]
                     pairs = np.unique(owner[hit][real].astype(np.uint64) << np.uint64(32) | pos[real].astype(np.uint64))
                     np.add.at(out, start + (pairs >> np.uint64(32)).astype(np.int64), w.values[(pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)])
