@@ -20,6 +20,8 @@ rows count as often as they occur and each gets a score; an empty table gives no
 from __future__ import annotations
 
 import math
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -63,46 +65,69 @@ def _grams(texts: list[bytes], order: int) -> tuple[np.ndarray, list[np.ndarray]
     return ends, grams, there
 
 
-def _pack(a: np.ndarray) -> bytes:
-    return a.tobytes()
+def _pack_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, docs): a batch's documents of each block as one compressed Arrow stream."""
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    for batch in batches:
+        block, rest = batch.column(0).to_numpy(), pa.Table.from_batches([batch]).drop_columns(["block"])
+        order = np.argsort(block, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
+            if len(own):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rest.schema, options=options) as out:
+                    out.write_table(rest.take(pa.array(own)))
+                yield pa.RecordBatch.from_arrays([pa.array([block[own[0]]], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "docs"])
 
 
-def _count_block(table: pa.Table, order: int, bits: int) -> pa.Table:
+def _unpack_docs(table: pa.Table) -> pa.Table:
+    """The documents of a block, in an order that doesn't depend on how they arrived."""
+    docs = pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in table["docs"]]).combine_chunks()
+    return docs.take(pa.array(np.argsort(docs["order"].to_numpy(), kind="stable")))
+
+
+def _cuts(keys: np.ndarray, bits: int) -> list[int]:
+    """Where the sorted keys of each bucket begin; a bucket has the keys of equal high bits."""
+    return np.searchsorted(keys >> _U64(64 - bits) if bits else np.zeros_like(keys), np.arange((1 << bits) + 1, dtype=_U64)).tolist()
+
+
+def _count_block(given: pa.Table, order: int, bits: int) -> pa.Table:
     """Rows (bucket, block, k, keys, counts): the block's distinct k-grams by the high bits of their hashes."""
-    texts, train = table["text"].to_pylist(), np.array(table["train"].to_pylist(), bool)
+    docs = _unpack_docs(given)
+    texts, train = docs["text"].to_pylist(), ~np.array(docs["held_out"].to_pylist(), bool)
     ends, grams, there = _grams(texts, order)
     taught = np.repeat(train, np.diff(ends, prepend=0))
-    block, rows = table["block"][0].as_py(), []
+    block, rows = given["block"][0].as_py(), []
     for k in range(1, order + 1):
         keys, at = np.unique(grams[k - 1][there[k - 1]], return_inverse=True)
         counts = np.bincount(at, taught[there[k - 1]], len(keys)).astype(np.uint32)
-        cuts = np.searchsorted(keys >> _U64(64 - bits) if bits else np.zeros_like(keys), np.arange((1 << bits) + 1, dtype=_U64))
-        rows += [(b, block, k, _pack(keys[i:j]), _pack(counts[i:j])) for b, (i, j) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())) if j > i]
+        cuts = _cuts(keys, bits)
+        rows += [(b, block, k, keys[i:j].tobytes(), counts[i:j].tobytes()) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i]
     return pa.table(dict(zip(("bucket", "block", "k", "keys", "counts"), map(list, zip(*rows)))), schema=pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("k", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
 
 
 def _merge_bucket(table: pa.Table) -> pa.Table:
-    """Totals over blocks; a block gets those that differ from its own counts. Block -1 has the bucket's N and V."""
-    rows = []
-    ks = np.array(table["k"].to_pylist())
+    """Totals over blocks: to each block a bit for every gram it listed, set if the total differs from its own count, and those
+    totals. Block -1 has the bucket's sums for the whole corpus."""
+    rows, ks, bucket = [], np.array(table["k"].to_pylist()), table["bucket"][0].as_py()
     for k in np.unique(ks):
         own = table.filter(pa.array(ks == k))
         keys = [np.frombuffer(x, _U64) for x in own["keys"].to_pylist()]
+        ends = np.cumsum([len(x) for x in keys])
         counts = np.concatenate([np.frombuffer(x, np.uint32) for x in own["counts"].to_pylist()]).astype(np.int64)
-        block = np.repeat(own["block"].to_numpy(), [len(x) for x in keys])
         keys = np.concatenate(keys)
         order = np.argsort(keys, kind="stable")
-        keys, counts, block = keys[order], counts[order], block[order]
-        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        total = np.add.reduceat(counts, first)
+        first = np.flatnonzero(np.append(True, keys[order[1:]] != keys[order[:-1]]))
+        sums = np.add.reduceat(counts[order], first)
         if k == 1:
-            rows.append((-1, 1, b"", b"", int(total.sum()), *(int(x.sum()) for x in (total > 0, total == 1, total == 2))))
-        total = np.repeat(total, np.diff(np.append(first, len(keys))))
-        tell = np.flatnonzero(total != counts)
-        tell = tell[np.argsort(block[tell], kind="stable")]
-        cuts = np.flatnonzero(np.diff(block[tell])) + 1
-        rows += [(int(block[i[0]]), int(k), _pack(keys[i]), _pack(total[i]), 0, 0, 0, 0) for i in np.split(tell, cuts) if len(i)]
-    return pa.table(dict(zip(("block", "k", "keys", "totals", "tokens", "types", "once", "twice"), map(list, zip(*rows)))), schema=pa.schema([("block", pa.int32()), ("k", pa.int32()), ("keys", pa.binary()), ("totals", pa.binary()), *((c, pa.int64()) for c in ("tokens", "types", "once", "twice"))]))
+            rows.append((-1, 1, bucket, b"", b"", int(sums.sum()), *(int(x.sum()) for x in (sums > 0, sums == 1, sums == 2))))
+        total = np.empty_like(counts)
+        total[order] = np.repeat(sums, np.diff(np.append(first, len(keys))))
+        for block, i, j in zip(own["block"].to_pylist(), [0, *ends[:-1]], ends):
+            tell = total[i:j] != counts[i:j]
+            if tell.any():
+                rows.append((block, int(k), bucket, np.packbits(tell).tobytes(), zlib.compress(total[i:j][tell].astype("<u8").tobytes(), 1), 0, 0, 0, 0))
+    kinds = [pa.int32()] * 3 + [pa.binary()] * 2 + [pa.int64()] * 4
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["block", "k", "bucket", "marks", "totals", "tokens", "types", "once", "twice"])
 
 
 @dataclass(frozen=True)
@@ -185,8 +210,9 @@ class Automaton:
         return out
 
 
-def _score_block(docs: pa.Table, model: pa.Table, p: LmParams, corpus: Corpus) -> pa.Table:
-    texts, train = docs["text"].to_pylist(), np.array(docs["train"].to_pylist(), bool)
+def _score_block(given: pa.Table, model: pa.Table, p: LmParams, bits: int, corpus: Corpus) -> pa.Table:
+    docs = _unpack_docs(given)
+    texts, train = docs["text"].to_pylist(), ~np.array(docs["held_out"].to_pylist(), bool)
     ends, grams, there = _grams(texts, p.order)
     taught = np.repeat(train, np.diff(ends, prepend=0))
     totals = []
@@ -195,9 +221,11 @@ def _score_block(docs: pa.Table, model: pa.Table, p: LmParams, corpus: Corpus) -
         ok = there[k - 1]
         keys, at = np.unique(grams[k - 1][ok], return_inverse=True)
         counts = np.bincount(at, taught[ok], len(keys)).astype(np.int64)
+        cuts = _cuts(keys, bits)
         for row in np.flatnonzero(ks == k):
-            got = np.searchsorted(keys, np.frombuffer(model["keys"][row].as_py(), _U64))
-            counts[got] = np.frombuffer(model["totals"][row].as_py(), np.int64)
+            i, j = (cuts[model["bucket"][row].as_py() + x] for x in (0, 1))
+            marks = np.unpackbits(np.frombuffer(model["marks"][row].as_py(), np.uint8), count=j - i).astype(bool)
+            counts[i + np.flatnonzero(marks)] = np.frombuffer(zlib.decompress(model["totals"][row].as_py()), "<u8")
         totals.append((keys, counts))
     auto = Automaton(grams, there, totals, corpus, p.mu)
     starts = np.concatenate(([0], ends[:-1]))
@@ -219,18 +247,16 @@ def score_texts(docs: DataFrame, held_out, params: LmParams = LmParams()) -> Dat
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(math.ceil(size / params.block_bytes), shuffle_partitions(spark))
     bits = max(0, math.ceil(math.log2(blocks)))
-    given = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    dealt = given.select(
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"),
-        "doc_id", "held_out", (~F.col("held_out")).alias("train"), text_bytes().alias("text"),
-    )
-    counts = dealt.select("block", "train", "text").groupBy("block").applyInArrow(
-        lambda t: _count_block(t, params.order, bits), "bucket int, block int, k int, keys binary, counts binary")
-    model = materialize(counts.groupBy("bucket").applyInArrow(_merge_bucket, "block int, k int, keys binary, totals binary, tokens long, types long, once long, twice long"))
+    given = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
+    dealt = given.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "held_out", F.xxhash64("doc_id", "text", F.lit(1)).alias("order"), text_bytes().alias("text"))
+    packed = dealt.mapInArrow(_pack_docs, "block int, docs binary")
+    counts = packed.groupBy("block").applyInArrow(lambda t: _count_block(t, params.order, bits), "bucket int, block int, k int, keys binary, counts binary")
+    model = materialize(counts.groupBy("bucket").applyInArrow(_merge_bucket, "block int, k int, bucket int, marks binary, totals binary, tokens long, types long, once long, twice long"))
     corpus = Corpus(*(x or 0 for x in model.where("block = -1").agg(*map(F.sum, ("tokens", "types", "once", "twice"))).first()))
     out = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _score_block(left, right, params, corpus) if left.num_rows else pa.table({c: pa.array([], t) for c, t in zip(("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"), (left.schema.field("doc_id").type, pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2))})
+        return _score_block(left, right, params, bits, corpus)
 
-    return dealt.groupBy("block").cogroup(model.where("block >= 0").groupBy("block")).applyInArrow(score, out)
+    # every block of the model has documents
+    return packed.groupBy("block").cogroup(model.where("block >= 0").groupBy("block")).applyInArrow(score, out)
