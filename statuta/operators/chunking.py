@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from statuta.functions import ids
@@ -58,25 +57,29 @@ def chunk_blocks(blocks: DataFrame, key: str, tokens: int = 512, overlap: int =
     one before and takes its references from its last block.
     """
     size, shared = sizes(tokens, overlap)
-    refs = ["page_number", "article_ref", "section_ref", "chapter_ref", "block_type"]
-    kinds = {f.name: f.dataType.simpleString() for f in blocks.schema}
-    out = f"{key} {kinds[key]}, chunk_index int, chunk_text string, " + ", ".join(f"{r} {kinds[r]}" for r in refs)
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(text=rows.text.str.strip())
-        rows = rows[rows.text.str.len() > 0].sort_values("block_idx")
-        group, held, number = [], 0, 0
-        for kind, n in zip(rows.block_type, rows.text.str.len()):
-            if held and (kind in ("article", "chapter") or held + n > size):
-                number, held = number + 1, 0
-            held += n
-            group.append(number)
-        if rows.empty:
-            return pd.DataFrame(columns=[key, "chunk_index", "chunk_text", *refs])
-        grouped = rows.groupby(group)
-        body = grouped.text.agg(" ".join)
-        tail = body.str[-shared:].shift(fill_value="") if shared else ""
-        return grouped.tail(1)[[key, *refs]].assign(chunk_index=range(len(body)), chunk_text=(tail + body).to_numpy())[[key, "chunk_index", "chunk_text", *refs]]
-
-    rows = blocks.groupBy(key).applyInPandas(fold, out)
-    return _finish(rows.withColumn("total_chunks", F.count("*").over(W.partitionBy(key)).cast("int")), key)
+    refs = [c for c in blocks.columns if c in ("page_number", "article_ref", "section_ref", "chapter_ref", "block_type")]
+    body = F.regexp_replace("text", r"^\s+|\s+$", "")
+    # the blocks of one text are one row: a text is bounded, and rows travel to Python in batches
+    rows = blocks.withColumn("text", body).where("text != ''").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("block_idx", "text", *refs))).alias("__blocks"))
+
+    @F.pandas_udf("array<struct<last:int,text:string>>")
+    def fold(texts: pd.Series, kinds: pd.Series) -> pd.Series:
+        return pd.Series([_fold(list(t), list(k), size, shared) for t, k in zip(texts, kinds)])
+
+    rows = rows.withColumn("__chunks", fold(F.transform("__blocks", lambda b: b["text"]), F.transform("__blocks", lambda b: b["block_type"])))
+    rows = rows.select(key, F.size("__chunks").alias("total_chunks"), "__blocks", F.posexplode("__chunks").alias("chunk_index", "c"))
+    last = F.element_at("__blocks", F.col("c.last") + 1)
+    return _finish(rows.select(key, "chunk_index", "total_chunks", F.col("c.text").alias("chunk_text"), *[last[r].alias(r) for r in refs]), key)
+
+
+def _fold(texts: list[str], kinds: list[str], size: int, shared: int) -> list[dict]:
+    """Chunks of one text's blocks, each with the place of its last block."""
+    cuts, held = [], 0
+    for i, (text, kind) in enumerate(zip(texts, kinds)):
+        if held and (kind in ("article", "chapter") or held + len(text) > size):
+            cuts.append(i)
+            held = 0
+        held += len(text)
+    bodies = [(j - 1, " ".join(texts[i:j])) for i, j in zip([0, *cuts], [*cuts, len(texts)])]
+    tails = ["", *[b[-shared:] if shared else "" for _, b in bodies]]
+    return [{"last": at, "text": tail + body} for (at, body), tail in zip(bodies, tails)]

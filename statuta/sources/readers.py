@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from statuta.schema import PIPELINE_HEALTH
 
@@ -21,7 +22,7 @@ def page_requests(spark: SparkSession, url: str, limit: int, page: int) -> DataF
 
 def fetch(requests: DataFrame, get: Callable[[str], str | None]) -> DataFrame:
     """``requests`` (url) with ``payload``: get(url) in tasks, null where it returns none; retries and delays are get's."""
-    out = requests.schema.add("payload", "string")
+    out = T.StructType([*requests.schema.fields, T.StructField("payload", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
