@@ -60,3 +60,27 @@ def merge_signals(frames: list[DataFrame]) -> DataFrame:
         part = f.withColumn("__list", F.lit(i))
         rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
     return keep_first(rows, ["topic", "jurisdiction_a", "jurisdiction_b"], ["__list", "signal_id"]).drop("__list")
+
+
+# Topics on which every two jurisdictions are compared.
+TOPICS = (
+    "biometric data collection and processing",
+    "algorithmic decision making and automated profiling",
+    "government access to private data",
+    "data breach notification requirements",
+)
+
+
+def compare_topics(hits: DataFrame, judge, texts: int = 2) -> DataFrame:
+    """``hits`` (topic, jurisdiction, rank, regulation_id, text), ranked per topic and jurisdiction -> conflicts that ``judge`` finds.
+
+    Every two jurisdictions of a topic are compared by the first texts of each. ``judge``: a pandas UDF (topic, text_a,
+    text_b) -> severity, null where there is no conflict. Rows are as many as topics and pairs of jurisdictions.
+    """
+    first = F.struct("rank", F.substring("text", 1, 1500).alias("text"), "regulation_id")
+    sides = hits.where(F.col("rank") <= texts).groupBy("topic", "jurisdiction").agg(F.array_sort(F.collect_list(first)).alias("s"))
+    sides = sides.select("topic", "jurisdiction", F.array_join(F.transform("s", lambda x: x["text"]), "\n").alias("text"), F.element_at("s", 1)["regulation_id"].alias("id"))
+    a, b = (sides.select("topic", *[F.col(c).alias(f"{c}_{t}") for c in ("jurisdiction", "text", "id")]) for t in "ab")
+    pairs = a.join(b, "topic").where("jurisdiction_a < jurisdiction_b").withColumn("severity", judge("topic", "text_a", "text_b"))
+    found = pairs.where("severity is not null").select("topic", "jurisdiction_a", "jurisdiction_b", F.col("id_a").alias("regulation_id_a"), F.col("id_b").alias("regulation_id_b"), "severity")
+    return found.withColumn("signal_id", ids.signal_id("topic", "jurisdiction_a", "jurisdiction_b"))

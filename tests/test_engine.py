@@ -276,3 +276,61 @@ def test_stream(spark, tmp_path):
     q = w.writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [(r.runs, r.total_rows, r.sla_breaches) for r in spark.table("w").collect()] == [(2, 7, 1)]
+
+
+# injected models
+
+
+def test_pdf_cascade(spark):
+    from statuta.sources import pdf
+
+    def broken(data):
+        raise ValueError("bad")
+
+    files = spark.createDataFrame([("a", bytearray(b"one\fTwo")), ("b", bytearray(b" "))], "path string, content binary")
+    got = pdf.extract(files, [("first", broken), ("second", lambda d: bytes(d).decode().split("\f"))]).orderBy("path", "page_number").collect()
+    assert [(r.path, r.method, r.page_number, r.text) for r in got] == [("a", "second", 1, "one"), ("a", "second", 2, "Two"), ("b", "none", None, None)]
+    assert got[2].errors == ["first: bad", "second: no text"]
+
+
+def test_embedding(spark):
+    from statuta.operators import embedding
+
+    chunks = spark.createDataFrame([("c1", "data protection", "t" * 300, 1), ("c2", "", None, None), ("c3", "bad", "t", 2)], "chunk_id string, text string, title string, page int")
+
+    def model(texts):
+        if "bad" in texts:
+            raise RuntimeError
+        return [[float(len(t)), 1.0] for t in texts]
+
+    done = embedding.embed(chunks, "text", model, 1)
+    assert {r.chunk_id: r.embedding for r in done.collect()} == {"c1": [15.0, 1.0], "c2": [0.0, 1.0], "c3": None}
+    table = spark.createDataFrame([("c2", [9.0])], "chunk_id string, embedding array<float>")
+    assert {r.chunk_id: r.embedding for r in embedding.upsert_vectors(table, done).collect()} == {"c1": [15.0, 1.0], "c2": [0.0, 1.0]}
+    v = chunks.select("chunk_id", embedding.hash_embedding(F.col("text")).alias("v")).orderBy("chunk_id").collect()
+    assert abs(sum(x * x for x in v[0].v) - 1) < 1e-9 and not any(v[1].v)
+    m = {r.chunk_id: r.metadata for r in embedding.metadata(chunks).collect()}
+    assert len(m["c1"].title) == 200 and m["c2"].title == "" and m["c2"].page == 0
+
+
+def test_compare_topics(spark):
+    import pandas as pd
+
+    @F.pandas_udf("string")
+    def judge(topic: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(["high" if "ban" in x + y else None for x, y in zip(a, b)])
+
+    hits = spark.createDataFrame([("t", "EU", 1, "e1", "ban"), ("t", "US", 1, "u1", "free"), ("t", "UK", 1, "k1", "free"), ("t", "US", 3, "u9", "ban")], "topic string, jurisdiction string, rank int, regulation_id string, text string")
+    got = conflicts.compare_topics(hits, judge).collect()
+    assert sorted((r.jurisdiction_a, r.jurisdiction_b, r.regulation_id_a) for r in got) == [("EU", "UK", "e1"), ("EU", "US", "e1")]
+
+
+def test_rerank(spark):
+    import pandas as pd
+
+    @F.pandas_udf("double")
+    def length(q: pd.Series, t: pd.Series) -> pd.Series:
+        return t.str.len().astype(float)
+
+    hits = spark.createDataFrame([(1, "q", "a", "x"), (1, "q", "b", "xxx"), (1, "q", "c", "xx")], "query_id int, query string, chunk_id string, text string")
+    assert [r.chunk_id for r in retrieval.rerank(hits, length, 2).orderBy("rank").collect()] == ["b", "c"]
