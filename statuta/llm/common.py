@@ -20,9 +20,9 @@ def scratch_dir(spark: SparkSession) -> str:
     """A new folder below the cluster's shared ``spark.checkpoint.dir``; a local one only where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = found.get() if found.isDefined() else tempfile.mkdtemp(prefix="statuta-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="statuta-"))
+        root = spark.sparkContext.getCheckpointDir()
     return f"{root.rstrip('/')}/statuta-{uuid.uuid4().hex}"
 
 
