@@ -41,7 +41,7 @@ class LmParams:
 
     order: int = 2
     mu: float = 300.0
-    block_bytes: int = 12 << 20
+    block_bytes: int = 8 << 20
 
 
 def _grams(texts: list[bytes], order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
@@ -67,7 +67,7 @@ def _grams(texts: list[bytes], order: int) -> tuple[np.ndarray, list[np.ndarray]
 
 def _pack_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (block, docs): a batch's documents of each block as one compressed Arrow stream."""
-    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))
     for batch in batches:
         block, rest = batch.column(0).to_numpy(), pa.Table.from_batches([batch]).drop_columns(["block"])
         order = np.argsort(block, kind="stable")
@@ -85,6 +85,25 @@ def _unpack_docs(table: pa.Table) -> pa.Table:
     return docs.take(pa.array(np.argsort(docs["order"].to_numpy(), kind="stable")))
 
 
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as the steps of their upper 24 bits, which are small, and their lower 40 bits."""
+    high = (keys >> _U64(40)).astype(np.int64)
+    steps = np.diff(high)
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32) if steps.max(initial=0) <= np.iinfo(k).max)
+    low = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+    return bytes([np.dtype(kind).itemsize]) + int(high[0]).to_bytes(3, "little") + steps.astype(kind).tobytes() + low.tobytes()
+
+
+def _unpack_keys(data: bytes) -> np.ndarray:
+    size = data[0]
+    n = (len(data) - 4 + size) // (size + 5)
+    steps = np.frombuffer(data, f"<u{size}", n - 1, 4)
+    high = np.cumsum(np.append(int.from_bytes(data[1:4], "little"), steps.astype(np.int64)))
+    low = np.zeros((n, 8), np.uint8)
+    low[:, :5] = np.frombuffer(data, np.uint8, n * 5, 4 + (n - 1) * size).reshape(n, 5)
+    return low.view("<u8").ravel() | high.astype(_U64) << _U64(40)
+
+
 def _cuts(keys: np.ndarray, bits: int) -> list[int]:
     """Where the sorted keys of each bucket begin; a bucket has the keys of equal high bits."""
     return np.searchsorted(keys >> _U64(64 - bits) if bits else np.zeros_like(keys), np.arange((1 << bits) + 1, dtype=_U64)).tolist()
@@ -101,7 +120,7 @@ def _count_block(given: pa.Table, order: int, bits: int) -> pa.Table:
         keys, at = np.unique(grams[k - 1][there[k - 1]], return_inverse=True)
         counts = np.bincount(at, taught[there[k - 1]], len(keys)).astype(np.uint32)
         cuts = _cuts(keys, bits)
-        rows += [(b, block, k, keys[i:j].tobytes(), counts[i:j].tobytes()) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i]
+        rows += [(b, block, k, _pack_keys(keys[i:j]), counts[i:j].tobytes()) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i]
     return pa.table(dict(zip(("bucket", "block", "k", "keys", "counts"), map(list, zip(*rows)))), schema=pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("k", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
 
 
@@ -111,7 +130,7 @@ def _merge_bucket(table: pa.Table) -> pa.Table:
     rows, ks, bucket = [], np.array(table["k"].to_pylist()), table["bucket"][0].as_py()
     for k in np.unique(ks):
         own = table.filter(pa.array(ks == k))
-        keys = [np.frombuffer(x, _U64) for x in own["keys"].to_pylist()]
+        keys = [_unpack_keys(x) for x in own["keys"].to_pylist()]
         ends = np.cumsum([len(x) for x in keys])
         counts = np.concatenate([np.frombuffer(x, np.uint32) for x in own["counts"].to_pylist()]).astype(np.int64)
         keys = np.concatenate(keys)
