@@ -39,8 +39,8 @@ class Ftrl:
     l2: float = 0.1
     positive: float = 3.0
     epochs: int = 4
-    max_train: int = 20_000
-    rows_per_shard: int = 2_500
+    max_train: int = 40_000
+    rows_per_shard: int = 5_000
 
 
 @dataclass(frozen=True)
@@ -67,12 +67,28 @@ def _features(texts: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.nd
     return (np.concatenate(keys) >> np.uint64(32)).astype(np.uint32), np.concatenate(owners)
 
 
+def _groups(texts: list[bytes], size: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``size`` bytes, so that very long texts in one batch don't add up in memory."""
+    start = 0
+    while start < len(texts):
+        end, held = start, 0
+        while end < len(texts) and (end == start or held + len(texts[end]) < size):
+            held += len(texts[end])
+            end += 1
+        yield start, end
+        start = end
+
+
 def _fit_shard(texts: list[bytes], toxic: np.ndarray, prior: float, p: Ftrl) -> tuple[np.ndarray, np.ndarray]:
     """FTRL-proximal over one shard, row after row; the intercept stays at the prior log-odds."""
-    keys, owner = _features(texts, WordHashes())
-    pairs = np.unique(owner.astype(np.uint64) << np.uint64(32) | keys)
-    coords, at = np.unique((pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32), return_inverse=True)
-    ends = np.searchsorted(pairs >> np.uint64(32), np.arange(len(texts) + 1, dtype=np.uint64))
+    hashes, own, sizes = WordHashes(), [], []
+    for start, end in _groups(texts):  # each text's distinct features, a few texts at a time
+        keys, owner = _features(texts[start:end], hashes)
+        pairs = np.unique(owner.astype(np.uint64) << np.uint64(32) | keys)
+        own.append((pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+        sizes.append(np.bincount((pairs >> np.uint64(32)).astype(np.int64), minlength=end - start))
+    coords, at = np.unique(np.concatenate(own), return_inverse=True)
+    at, ends = at.astype(np.int32), np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
     z, n = np.zeros(len(coords)), np.zeros(len(coords))
 
     def weight(zi, ni):
@@ -129,13 +145,7 @@ def score_toxicity(docs: DataFrame, weights: Weights, keep: list[str]) -> DataFr
         for batch in batches:
             texts = batch.column(len(keep)).to_pylist()
             out = np.full(len(texts), w.intercept)
-            # a few texts at a time: one batch may hold very long ones
-            start = 0
-            while start < len(texts):
-                end, size = start, 0
-                while end < len(texts) and (end == start or size + len(texts[end]) < 4 << 20):
-                    size += len(texts[end])
-                    end += 1
+            for start, end in _groups(texts):
                 keys, owner = _features(texts[start:end], hashes)
                 hit = np.flatnonzero(near[keys >> np.uint32(10)])
                 if len(hit):
@@ -143,7 +153,6 @@ def score_toxicity(docs: DataFrame, weights: Weights, keep: list[str]) -> DataFr
                     real = w.keys[pos] == keys[hit]
                     pairs = np.unique(owner[hit][real].astype(np.uint64) << np.uint64(32) | pos[real].astype(np.uint64))
                     np.add.at(out, start + (pairs >> np.uint64(32)).astype(np.int64), w.values[(pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)])
-                start = end
             scores = pa.array(1 / (1 + np.exp(-np.clip(out, -35, 35))))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], scores], names=[*keep, "score"])
 
