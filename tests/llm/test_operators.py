@@ -421,3 +421,11 @@ def test_packing(spark, odd, none):
         if df is not odd:
             assert max(sizes.values()) < 1.03 * min(sizes.values()) and len(sizes) == 16
     assert packing.pack_shards(none).count() == 0
+
+
+def test_key_packing():
+    rng = np.random.default_rng(9)
+    for n in (1, 2, 1000):
+        for top in (1 << 30, 1 << 50, (1 << 64) - 1):
+            keys = np.unique(rng.integers(0, top, n, dtype=np.uint64, endpoint=True))
+            assert (lm._unpack_keys(lm._pack_keys(keys)) == keys).all()
