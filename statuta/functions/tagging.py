@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,15 +11,19 @@ from pyspark.sql import functions as F
 from . import text as X
 
 
-def _words(*words: str) -> list[str]:
-    return [rf"\b{re.escape(w)}\b".replace(r"\ ", " ") for w in words]
+#: A pattern, and a lower-case literal that every text with a match holds.
+Gated = tuple[str, str]
+
+
+def _words(*words: str) -> list[Gated]:
+    return [(rf"\b{re.escape(w)}\b".replace(r"\ ", " "), w.lower()) for w in words]
 
 
 # Patterns that speak for a jurisdiction.
-JURISDICTION_PATTERNS: dict[str, list[str]] = {
-    "EU": [*_words("EU", "European Union", "European Parliament", "EUR-Lex", "CELEX", "GDPR", "DSA", "DMA", "AI Act"), r"Regulation \(EU\)", r"Directive \d{4}/\d+/EU"],
+JURISDICTION_PATTERNS: dict[str, list[Gated]] = {
+    "EU": [*_words("EU", "European Union", "European Parliament", "EUR-Lex", "CELEX", "GDPR", "DSA", "DMA", "AI Act"), (r"Regulation \(EU\)", "regulation (eu)"), (r"Directive \d{4}/\d+/EU", "directive")],
     "UK": _words("UK", "United Kingdom", "ICO", "UK GDPR", "Data Protection Act", "FCA", "Ofcom", "CMA"),
-    "US": [r"\bUSA?\b", *_words("United States", "FTC", "FCC", "CFPB", "SEC", "DOJ", "NTIA", "Congress", "Federal Register"), r"\bC\.F\.R\.", r"\bU\.S\.C\.", r"regulations\.gov"],
+    "US": [(r"\bUSA?\b", "us"), *_words("United States", "FTC", "FCC", "CFPB", "SEC", "DOJ", "NTIA", "Congress", "Federal Register"), (r"\bC\.F\.R\.", "c.f.r."), (r"\bU\.S\.C\.", "u.s.c."), (r"regulations\.gov", "regulations.gov")],
     "DE": _words("Germany", "Bundestag", "Bundesrat", "BfDI"),
     "FR": _words("France", "CNIL", "Conseil d'État"),
     "CA": _words("Canada", "PIPEDA", "OPC", "Privacy Commissioner"),
@@ -37,20 +42,26 @@ TYPE_PATTERNS: list[tuple[str, str]] = [
 ]
 
 
-def score_labels(text: Column, patterns: dict[str, list[str]]) -> Column:
-    """Struct (label, confidence) of the label with most matches, the first on a tie, and its share of all; UNKNOWN, 0 without any."""
-    counts = F.array(*[F.struct(X.hits(text, p).alias("n"), F.lit(-i).alias("order"), F.lit(name).alias("label")) for i, (name, p) in enumerate(patterns.items())])
-    best, total = F.array_max(counts), F.aggregate(counts, F.lit(0), lambda a, c: a + c["n"])
-    return F.when(total > 0, F.struct(best["label"].alias("label"), F.round(best["n"] / total, 3).alias("confidence"))).otherwise(F.struct(F.lit("UNKNOWN").alias("label"), F.lit(0.0).alias("confidence")))
+def with_label(df: DataFrame, text: Column, patterns: dict[str, list[Gated]], label: str, confidence: str) -> DataFrame:
+    """Adds the label with most matches, the first on a tie, and its share of all; UNKNOWN and 0 without any.
+
+    The counts are a column of their own first, so that each pattern runs once over a text, and only over texts with its literal.
+    """
+
+    def count(gated: list[Gated]) -> Column:
+        return reduce(lambda a, b: a + b, [F.when(F.contains("__low", F.lit(literal)), F.regexp_count(text, F.lit(f"(?i){p}"))).otherwise(0) for p, literal in gated])
+
+    rows = df.withColumn("__low", F.lower(text))
+    rows = rows.withColumn("__n", F.struct(*[count(p).alias(name) for name, p in patterns.items()])).drop("__low")
+    counts = {name: F.col("__n")[name] for name in patterns}
+    best, total = F.greatest(*counts.values()), reduce(lambda a, b: a + b, counts.values())
+    first = F.coalesce(*[F.when((n == best) & (n > 0), F.lit(name)) for name, n in counts.items()], F.lit("UNKNOWN"))
+    return rows.withColumns({label: first, confidence: F.when(total > 0, F.round(best / total, 3)).otherwise(0.0)}).drop("__n")
 
 
-def tag_text(text: Column) -> dict[str, Column]:
-    j = score_labels(text, JURISDICTION_PATTERNS)
-    found = X.dates(text)
-    return {
-        "tag_jurisdiction": j["label"], "tag_confidence": j["confidence"], "tag_type": X.first_pattern(text, TYPE_PATTERNS, "Legal Document"),
-        "tag_dates": found, "tag_date": F.try_element_at(found, F.lit(1)), "tag_citations": X.citations(text), "tag_amounts": X.amounts(text),
-    }
+def _present(cond: Column, found: Column) -> Column:
+    """``found`` where a plain test holds, else empty: most texts need no costly pattern."""
+    return F.when(cond, found).otherwise(F.array())
 
 
 def tag_regulations(df: DataFrame, entities: Column | None = None) -> DataFrame:
@@ -58,12 +69,16 @@ def tag_regulations(df: DataFrame, entities: Column | None = None) -> DataFrame:
 
     ``entities``: an array column from an entity model, counted; without one there are none.
     """
-    tags = tag_text(F.coalesce("raw_text", F.lit("")))
+    text = F.coalesce("raw_text", F.lit(""))
     own = lambda c: F.when(F.trim(F.col(c).cast("string")) != "", F.col(c).cast("string"))
-    return df.withColumns({
-        "jurisdiction": F.coalesce(own("jurisdiction"), tags["tag_jurisdiction"]), "regulation_type": F.coalesce(own("regulation_type"), tags["tag_type"]),
-        "effective_date": F.coalesce(own("effective_date").try_cast("date"), tags["tag_date"].try_cast("date")),
-        "article_citations": F.array_join(tags["tag_citations"], "|"),
-        "fine_amounts": F.concat(F.lit("["), F.array_join(F.transform(tags["tag_amounts"], lambda x: x.cast("string")), ", "), F.lit("]")),
-        "named_entities_count": F.size(entities) if entities is not None else F.lit(0),
-    })
+    rows = with_label(df, text, JURISDICTION_PATTERNS, "__place", "__share")
+    digit = text.rlike("[0-9]")
+    first_date = F.try_element_at(_present(digit, X.dates(text)), F.lit(1))
+    money = _present(digit & text.rlike("[£€$]|(?i:USD|EUR|GBP)"), X.amounts(text))
+    return rows.withColumns({
+        "jurisdiction": F.coalesce(own("jurisdiction"), F.col("__place")), "regulation_type": F.coalesce(own("regulation_type"), X.first_pattern(text, TYPE_PATTERNS, "Legal Document")),
+        "effective_date": F.coalesce(own("effective_date").try_cast("date"), first_date.try_cast("date")),
+        "article_citations": F.array_join(_present(digit, X.citations(text)), "|"),
+        "fine_amounts": F.concat(F.lit("["), F.array_join(F.transform(money, lambda x: x.cast("string")), ", "), F.lit("]")),
+        "named_entities_count": F.size(entities) if entities is not None else F.lit(0), "jurisdiction_confidence": F.col("__share").cast("float"),
+    }).drop("__place", "__share")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -83,8 +81,3 @@ def citations(text: Column) -> Column:
     """Distinct article citations, with a paragraph and an act if they follow."""
     acts = r"GDPR|UK\s+GDPR|DSA|DMA|AI\s+Act"
     return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?i)(Article\s+\d+[a-z]?(?:\(\d+\))?(?:\s+(?:of\s+)?(?:the\s+)?(?:{acts}))?)"), F.lit(1)))
-
-
-def hits(text: Column, patterns: list[str]) -> Column:
-    """Number of matches of all the patterns, case ignored."""
-    return reduce(lambda a, b: a + b, [F.regexp_count(text, F.lit(f"(?i){p}")) for p in patterns])

@@ -295,7 +295,8 @@ _COUNTS = ", ".join(f"CAST({' + '.join(f"len(regexp_extract_all(text, '(?i){p}')
 def label_scores(spark, sf):
     plain = F.regexp_replace("text", r"[^ -~\s]", "x")
     d = corpus.read(spark, sf, "documents").select("doc_id", plain.alias("text"))
-    return d.select("doc_id", tagging.score_labels(F.col("text"), _LANGUAGES).alias("s")).select("doc_id", "s.label", "s.confidence")
+    gated = {name: [(p, p.replace(r"\b", "")) for p in ps] for name, ps in _LANGUAGES.items()}
+    return tagging.with_label(d, F.col("text"), gated, "label", "confidence").drop("text")
 
 
 @_query()
