@@ -146,7 +146,8 @@ def _merge_bucket(table: pa.Table) -> pa.Table:
             if tell.any():
                 rows.append((block, int(k), bucket, np.packbits(tell).tobytes(), zlib.compress(total[i:j][tell].astype("<u8").tobytes(), 1), 0, 0, 0, 0))
     kinds = [pa.int32()] * 3 + [pa.binary()] * 2 + [pa.int64()] * 4
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["block", "k", "bucket", "marks", "totals", "tokens", "types", "once", "twice"])
+    columns = zip(*rows) if rows else ([],) * len(kinds)  # a bucket of longer grams that are all told already has no row
+    return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=["block", "k", "bucket", "marks", "totals", "tokens", "types", "once", "twice"])
 
 
 @dataclass(frozen=True)

@@ -429,3 +429,18 @@ def test_key_packing():
         for top in (1 << 30, 1 << 50, (1 << 64) - 1):
             keys = np.unique(rng.integers(0, top, n, dtype=np.uint64, endpoint=True))
             assert (lm._unpack_keys(lm._pack_keys(keys)) == keys).all()
+
+
+def test_lm_few_texts_in_many_blocks(spark):
+    """Hash ranges that hold longer n-grams alone, all of them counted in one block, send nothing back."""
+    docs = spark.createDataFrame([(1, "one two three four"), (2, "five six")], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    want = {r.doc_id: r for r in lm.score_texts(docs, F.lit(False)).collect()}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "200")
+        got = {r.doc_id: r for r in lm.score_texts(docs, F.lit(False)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got.keys() == want.keys()
+    for i, r in got.items():
+        assert (r.n_tokens, r.train_tokens) == (want[i].n_tokens, want[i].train_tokens) and abs(r.score - want[i].score) < 1e-9
