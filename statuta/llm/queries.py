@@ -103,5 +103,12 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 """
 
 
+OP9_SQL = """
+SELECT q.vec_id AS query_id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY d, v.vec_id) AS INT) AS rank, v.vec_id AS neighbor_id, CAST(d AS INT) AS distance
+FROM (SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS s FROM embeddings) q, (SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS s FROM embeddings) v,
+  LATERAL (SELECT len(list_filter(list_zip(q.s, v.s), lambda p: p[1] <> p[2])) AS d) WHERE q.vec_id % 100 = 0 QUALIFY rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": OP4_SQL, "op5_decontamination": OP5_SQL}
+    return {"op4_mixing": OP4_SQL, "op5_decontamination": OP5_SQL, "op9_exact_topk": OP9_SQL}
