@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +14,8 @@ from statuta.functions.text import tokens
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Query terms up to this many are broadcast; more are joined by a shuffle.
 BROADCAST_TERMS = 200_000
+#: Query vectors that are broadcast at a time.
+QUERY_BLOCK = 10_000
 
 
 def first_k(df: DataFrame, query: str, order: list[Column], k: int, name: str = "rank") -> DataFrame:
@@ -55,13 +60,19 @@ def norm(v: Column) -> Column:
 def dense(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = None) -> DataFrame:
     """``vectors`` (chunk_id, embedding), ``queries`` (query_id, vector) -> query_id, chunk_id, score (cosine, 4 digits), rank.
 
-    A filter on the vectors applies before the first k are taken. The query set is broadcast: it must be one that was chosen, not
-    a table that grows.
+    A filter on the vectors applies before the first k are taken. Queries are broadcast in blocks of about QUERY_BLOCK, dealt by a
+    hash of the id, each a scan of the vectors; only the first k of a query and task are shuffled.
     """
-    rows = vectors if where is None else vectors.where(where)
-    cosine = dot(F.col("embedding"), F.col("vector")) / (norm(F.col("embedding")) * norm(F.col("vector")))
-    scored = rows.join(F.broadcast(queries)).select("query_id", "chunk_id", F.round(cosine, 4).alias("score"))
-    return first_k(scored, "query_id", [F.col("score").desc(), F.col("chunk_id")], k)
+    rows = (vectors if where is None else vectors.where(where)).select("chunk_id", "embedding", norm(F.col("embedding")).alias("__norm"))
+    asked = queries.select("query_id", "vector", norm(F.col("vector")).alias("__length"))
+    blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
+    cosine = dot(F.col("embedding"), F.col("vector")) / (F.col("__norm") * F.col("__length"))
+    parts = []
+    for b in range(blocks):
+        block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        scored = rows.join(F.broadcast(block)).select("query_id", "chunk_id", F.round(cosine, 4).alias("score"))
+        parts.append(first_k(scored, "query_id", [F.col("score").desc(), F.col("chunk_id")], k))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def fuse(legs: list[tuple[str, float, DataFrame]], k: int, constant: int = 60) -> DataFrame:

@@ -74,6 +74,17 @@ def health_log(health: DataFrame, newest_runs: int = 200) -> DataFrame:
     return newest(health, "run_at", "run_id", newest_runs).select("run_id", "source", "run_at", label("sla_met").alias("sla"), label("schema_drift").alias("drift"), F.format_string("%.1f%%", F.col("null_rate") * 100).alias("null_rate"))
 
 
+def oldest_of_newest(health: DataFrame, newest_runs: int = 200, n: int = 100) -> DataFrame:
+    """The oldest n of the newest runs, as the chart of past runs shows them."""
+    return newest(health, "run_at", "run_id", newest_runs).orderBy(F.col("run_at").asc_nulls_first(), F.col("run_id").desc()).limit(n)
+
+
+def by_severity(signals: DataFrame, n: int = 50, ranked: bool = False) -> DataFrame:
+    """The first n conflict signals: by the severity's name, descending (medium, low, high), or ``ranked`` from high to low."""
+    rank = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).when(F.col("severity") == "low", 2).otherwise(3)
+    return signals.orderBy(rank if ranked else F.col("severity").desc_nulls_last(), "signal_id").limit(n)
+
+
 def scorecard(health: DataFrame, newest_runs: int = 200) -> DataFrame:
     """Totals over the newest runs."""
     return newest(health, "run_at", "run_id", newest_runs).agg(F.count("*").alias("runs"), F.coalesce(F.sum("rows_ingested"), F.lit(0)).alias("total_rows"), F.count_if("sla_met").alias("sla_met"), F.count_if("schema_drift").alias("drifted"))

@@ -334,3 +334,18 @@ def test_rerank(spark):
 
     hits = spark.createDataFrame([(1, "q", "a", "x"), (1, "q", "b", "xxx"), (1, "q", "c", "xx")], "query_id int, query string, chunk_id string, text string")
     assert [r.chunk_id for r in retrieval.rerank(hits, length, 2).orderBy("rank").collect()] == ["b", "c"]
+
+
+def test_dense_in_blocks(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)], i % 2) for i in range(40)], "chunk_id long, embedding array<float>, label int")
+    asked = rows.where("chunk_id < 9").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
+    want = sorted(map(tuple, retrieval.dense(rows, asked, 4).collect()))
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 2)
+    assert sorted(map(tuple, retrieval.dense(rows, asked, 4).collect())) == want and len(want) == 36
+    assert retrieval.dense(rows, asked.limit(0), 4).count() == 0
+
+
+def test_severity_order(spark):
+    signals = spark.createDataFrame([("a", "low"), ("b", "high"), ("c", "medium"), ("d", None)], "signal_id string, severity string")
+    assert [r.signal_id for r in views.by_severity(signals).collect()] == ["c", "a", "b", "d"]
+    assert [r.signal_id for r in views.by_severity(signals, 3, ranked=True).collect()] == ["b", "c", "a"]
