@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statuta.llm import decontam, mixing, simhash, tokens, toxicity
+from statuta.llm import decontam, mixing, nearcopies, tokens, toxicity
 from statuta.llm.common import materialize, scratch_dir
 
 
@@ -21,13 +21,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: that with the smallest id; of rows that share it, the one whose text has the smallest hash."""
+    """One document of each component of five-word Jaccard similarity 0.8 or more: that with the smallest id; of rows that share it, the one whose text has the smallest hash."""
     marked = docs.withColumn("__h", F.xxhash64("text"))
-    found = simhash.near_duplicates(marked, ["doc_id", "__h"])
+    found = nearcopies.near_copies(marked, ["doc_id", "__h"])
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("__h").alias("h"))
-    # the root stands for a component whose ids are all null
-    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("f"), F.col("fp").cast("string")))
-    best = materialize(found.groupBy(group.alias("g")).agg(F.min(rank).alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.h").alias("__hash")))
+    best = materialize(found.groupBy("root").agg(F.min(rank).alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.h").alias("__hash")))
     kept = marked.join(best, marked.doc_id.eqNullSafe(best["__id"]) & (marked["__h"] == best["__hash"]), "left_semi")
     return kept.dropDuplicates(["doc_id", "__h"]).select(*docs.columns)
 

@@ -1,0 +1,117 @@
+"""Near copies by word shingles: links of Jaccard similarity 0.8 or more over sets of five-word shingles.
+
+A text is the set of its distinct shingles (lower-cased words, XXH64; a shorter text is one shingle, an empty one none). Equal
+sets are put together first. 128 minima of multiplied hashes make 32 bands of four; sets that share a band are compared
+exactly. A pair at 0.8 shares none with a chance of 5e-8, a closer one with less.
+
+A band's sets are first compared with its smallest one. Of a band only sets that are not yet in one component are
+compared pair by pair after that, so a large group of near copies costs in proportion to its size, and no shared
+band is left undecided.
+
+Nulls and odd rows: null and empty texts are one class; null ids are left out of the smallest id; repeated rows get the same
+component; an empty table gives no rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import LOWER, materialize, mix, text_bytes
+from .simhash import components
+
+_U64 = np.uint64
+BANDS, ROWS = 32, 4
+_FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, dtype=_U64) * _U64(2) + _U64(1)
+
+
+def shingle_set(text: bytes, shingle: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles."""
+    words = text.translate(LOWER).split()
+    if not words:
+        return np.zeros(0, _U64)
+    line, n = b" ".join(words), max(1, len(words) - shingle + 1)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    first = np.concatenate(([0], ends[: n - 1])).tolist()
+    last = (ends[min(shingle, len(words)) - 1 :] - 1).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(line[a:b], 42) for a, b in zip(first, last)), _U64, n))
+
+
+def bands(shingles: np.ndarray) -> np.ndarray:
+    """A key per band; none for an empty set."""
+    if not len(shingles):
+        return np.zeros(0, _U64)
+    least = np.full(BANDS * ROWS, ~_U64(0))
+    for i in range(0, len(shingles), 256):
+        np.minimum(least, (_FACTORS[:, None] * shingles[None, i : i + 256]).min(1), out=least)
+    key = np.arange(BANDS, dtype=_U64)
+    for column in least.reshape(BANDS, ROWS).T:
+        key = mix(key, column)
+    return key
+
+
+def _class_of(shingles: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(shingles.tobytes(), 42)
+
+
+def _lists(values: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate(([0], np.cumsum([len(v) for v in values]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, _U64), *values]).view(np.int64)))
+
+
+def _mapped(docs: DataFrame, keep: list[str], shingle: int, name: str, of) -> DataFrame:
+    """The columns ``keep``, ``class`` and the list ``of(set)`` as ``name``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                sets = [shingle_set(x.as_py(), shingle) for x in b.column(len(keep))]
+                classes = np.fromiter(map(_class_of, sets), _U64, len(sets))
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(classes.view(np.int64)), _lists([of(s) for s in sets])], names=[*keep, "class", name])
+
+    kind = T.StructType([docs.schema[c] for c in keep] + [T.StructField("class", T.LongType()), T.StructField(name, T.ArrayType(T.LongType()))])
+    return docs.select(*keep, text_bytes().alias("__text")).mapInArrow(run, kind)
+
+
+def near_copies(docs: DataFrame, keep: list[str], shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (doc_id among them), ``root`` and ``component_id``, for every row."""
+    marked = docs.withColumn("__th", F.xxhash64(text_bytes()))
+    rows = materialize(_mapped(marked, [*keep, "__th"], shingle, "bands", bands))
+    classes = materialize(rows.groupBy("class").agg(F.min("doc_id").alias("least"), F.min("__th").alias("__th"), F.first("bands").alias("bands")))
+    placed = classes.select("class", F.explode("bands").alias("band"))
+    heads = placed.groupBy("band").agg(F.min("class").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = materialize(placed.join(heads, "band"))
+    # only sets that share a band are made again, from one text each
+    asked = classes.join(shared.select("class").distinct(), "class", "left_semi").select("__th")
+    texts = marked.select("__th", "text").join(asked, "__th", "left_semi").dropDuplicates(["__th"])
+    sets = materialize(_mapped(texts, [], shingle, "shingles", lambda s: s))
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        x, y = (sets.select(F.col("class").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
+        both = F.size(F.array_intersect("sa", "sb"))
+        # sets of too different sizes can't be similar
+        fit = F.least(F.size("sa"), F.size("sb")) / F.greatest(F.size("sa"), F.size("sb")) >= least
+        return pairs.distinct().join(x, "a").join(y, "b").where(fit).where(both / (F.size("sa") + F.size("sb") - both) >= least).select("a", "b")
+
+    links = materialize(similar(shared.where("class != head").select(F.col("class").alias("a"), F.col("head").alias("b"))))
+    roots = components(links)
+    left = shared.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    left = materialize(left)
+    open_ = left.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("band")
+    # heads have been compared with all
+    left = left.where("class != head").join(open_, "band", "left_semi")
+    other = left.select("band", F.col("class").alias("b"), F.col("root").alias("root_b"))
+    across = left.select("band", F.col("class").alias("a"), "root").join(other, "band").where("a < b and root != root_b").select("a", "b")
+    roots = components(links.union(similar(across)))
+    named = materialize(classes.join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "least", F.coalesce("root", "class").alias("root")))
+    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = materialize(named.join(names, "root").select("class", "root", "component_id"))
+    return rows.select(*keep, "class").join(named, "class").select(*keep, "root", "component_id")
