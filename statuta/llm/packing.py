@@ -1,8 +1,8 @@
 """Shards by vector bin packing: bytes, tokens and rows are balanced together.
 
 Rows of equal text are a group. Groups are dealt by a hash of the text into a fixed number of cells, whose sums are the
-items to pack; a group larger than a piece (a small part of a shard) is taken out of its cell and split by a hash of
-the id into items of its own. Items, largest first, go to the shard where the dot product of the item's and the shard's residual
+items to pack; a group larger than a piece (a small part of a shard) is taken out of its cell and is an item of its own. Only a
+group larger than a shard is split, by a hash of the id, into pieces that are items. Items, largest first, go to the shard where the dot product of the item's and the shard's residual
 vector, both in shares of the total, is highest; for a fixed number of items that runs on the driver. Rows get gapless
 slots from the item's offset in its shard and their place in the item, so no task holds a shard.
 
@@ -26,7 +26,7 @@ from .mixing import WORD
 
 @dataclass(frozen=True)
 class PackParams:
-    """cells: items that small groups are summed into; pieces: a group over 1 / pieces of a shard is split."""
+    """cells: items that small groups are summed into; pieces: a group over 1 / pieces of a shard is an item, one over a shard is split into items of that size."""
 
     shards: int = 16
     cells: int = 4096
@@ -60,14 +60,21 @@ def pack_shards(docs: DataFrame, params: PackParams = PackParams()) -> DataFrame
     piece = max(1, total // (params.shards * params.pieces))
     groups = slim.groupBy("h").agg(F.sum("size").alias("bytes"))
     # each has over a piece, so there are at most shards * pieces of them
-    large = materialize(groups.where(F.col("bytes") > piece).select("h", F.ceil(F.col("bytes") / piece).cast("int").alias("parts")))
+    large = materialize(groups.where(F.col("bytes") > piece).select("h", F.ceil(F.col("bytes") / piece).cast("int").alias("parts"), F.when(F.col("bytes") * params.shards > total, "g").otherwise("w").alias("kind")))
     part = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.col("parts"))
-    item = F.when(F.col("parts").isNull(), F.concat(F.lit("c"), F.pmod("h", F.lit(params.cells)).cast("string"))).otherwise(F.concat(F.lit("g"), F.col("h").cast("string"), F.lit("."), part.cast("string")))
+    item = F.when(F.col("parts").isNull(), F.concat(F.lit("c"), F.pmod("h", F.lit(params.cells)).cast("string"))).otherwise(F.concat("kind", F.col("h").cast("string"), F.lit("."), part.cast("string")))
     rows = materialize(slim.join(F.broadcast(large), "h", "left").select("doc_id", "size", "text_crc32", "tokens", item.alias("item")))
     sums = sorted(rows.groupBy("item").agg(F.sum("size"), F.sum("tokens"), F.count("*")).collect())
-    shard = pack(np.array([r[1:] for r in sums], float).reshape(-1, 3), params.shards)
+    # pieces of a group that fits a shard stay together; they only keep its rows from being numbered in one task
+    units = [r[0].split(".")[0] if r[0][0] == "w" else r[0] for r in sums]
+    place = {u: i for i, u in enumerate(dict.fromkeys(units))}
+    whole = np.zeros((len(place), 3))
+    for r, u in zip(sums, units):
+        whole[place[u]] += r[1:]
+    shard = pack(whole, params.shards)
     offset, used = [], [0] * params.shards
-    for r, s in zip(sums, shard.tolist()):
+    for r, u in zip(sums, units):
+        s = int(shard[place[u]])
         offset.append((r[0], s, used[s]))
         used[s] += r[3]
     # cells and pieces: at most cells + 2 * shards * pieces rows
