@@ -14,9 +14,9 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), "")
 
 
-def strip_html(html: Column, limit: int = 10_000) -> Column:
+def strip_html(html: Column, limit: int | None = None) -> Column:
     plain = F.regexp_replace(F.regexp_replace(html, "<[^>]+>", " "), r"\s+", " ")
-    return F.substring(F.trim(plain), 1, limit)
+    return F.trim(plain) if limit is None else F.substring(F.trim(plain), 1, limit)
 
 
 def first_label(text: Column, rules: list[tuple[str, str]], default: str) -> Column:

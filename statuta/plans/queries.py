@@ -180,7 +180,7 @@ def url_check(spark, sf):
 
 @_query("""SELECT page_id, md5(substr(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')), 1, 10000)) AS text_md5 FROM pages""")
 def html_text(spark, sf):
-    return corpus.read(spark, sf, "pages").select("page_id", F.md5(text.strip_html(F.col("html")).cast("binary")).alias("text_md5"))
+    return corpus.read(spark, sf, "pages").select("page_id", F.md5(text.strip_html(F.col("html"), 10_000).cast("binary")).alias("text_md5"))
 
 
 @_query(r"""WITH a AS (SELECT page_id, regexp_extract_all(html, '(?is)<a\b[^>]*\bhref="([^"]*)"[^>]*>(.*?)</a>', 1) AS h, regexp_extract_all(html, '(?is)<a\b[^>]*\bhref="([^"]*)"[^>]*>(.*?)</a>', 2) AS t FROM pages),
