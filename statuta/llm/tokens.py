@@ -14,17 +14,21 @@ ignored.
 
 from __future__ import annotations
 
+import json
 import math
 import re
-import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -42,53 +46,127 @@ class TokenParams:
     shard_bytes: int = 32 << 20
 
 
-#: White space on which Python and the tokenizer may disagree, and the opening of special tokens.
-_UNUSUAL = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|<[|]")
+#: White space on which Python and the tokenizers' patterns may disagree.
+_UNUSUAL = "[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: Beyond these characters (ASCII, Latin, basic Greek and Cyrillic, common punctuation) Unicode versions, composition or context may decide.
+_ODD = re.compile("[^\x00-\x7f\xa1-\u012f\u0131-\u024f\u0391-\u03a1\u03a4-\u03a9\u03ac-\u03ce\u0400-\u0481\u2013\u2014\u2018-\u201d\u2026\u20ac]")
 
 
-class _Encoder(dict):
-    """piece of text without white space -> its ids as bytes, remembered up to ``limit`` pieces.
+def _word_pattern(spec: dict) -> str | None:
+    """The pattern that cuts a tokenizer file's text into words, if the file says that a word's ids depend on the word alone:
+    composed, white space made one space, lower-cased; words are the matches of a pattern, written byte by byte, and byte
+    pairs are merged inside a word. None for any other tokenizer."""
+    plain = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+    cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}]
+    found = cuts[0].get("pattern", {}).get("Regex")
+    by_match = len(cuts) == 2 and cuts[0] == {"type": "Split", "pattern": {"Regex": found}, "behavior": "Removed", "invert": True}
+    by_byte = cuts[-1].get("type") == "ByteLevel" and not cuts[-1].get("add_prefix_space") and cuts[-1].get("use_regex") is False
+    exact = all(not t.get(x) for t in spec.get("added_tokens", []) for x in ("single_word", "lstrip", "rstrip", "normalized"))
+    merges = spec["model"].get("type") == "BPE" and not spec["model"].get("dropout")
+    return found if (spec.get("normalizer") or {}).get("normalizers") == plain and by_match and by_byte and exact and merges else None
 
-    For tokenizers that lower-case, drop white space and split letters from the rest, a piece's ids depend on the piece
-    alone. A piece that is one word, perhaps with closing punctuation, goes to the model directly;
-    any other to the whole tokenizer. Other kinds of tokenizers get whole texts.
-    """
 
-    def __init__(self, path: str, limit: int = 600_000):
+class _Recent(dict):
+    """Remembers ``make(key)``: of up to 2 ``limit`` keys, those that were asked for lately."""
+
+    def __init__(self, make, limit: int):
         super().__init__()
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        self[key] = found
+        return found
+
+
+class _Encoder:
+    """Texts to ids of the narrowest type, each text followed by the end id.
+
+    If ``_word_pattern`` knows the tokenizer's steps, a group of texts is lower-cased and cut into words column-wise, and each
+    distinct word goes to the model once; odd pieces and texts go to the whole tokenizer. Other tokenizers get whole texts.
+    """
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.whole, self.limit = Tokenizer.from_file(path), limit
+        self.whole = Tokenizer.from_file(path)
+        spec = json.loads(self.whole.to_str())
         self.type = np.uint16 if self.whole.get_vocab_size() <= 1 << 16 else np.uint32
-        self.model = self.whole.model
-        probe = ["Wörd, two.", "it's  A1\nб", "x" * 9]
-        self.by_piece = all(self._encode(t) == b"".join(self._encode(x) for x in t.split()) for t in probe) and self._encode("Word") == self._encode("word") and all(self._word(w) == self._encode(w) for w in ("Wörd", "tHe", "бы"))
+        self.code, self.model = "H" if self.type is np.uint16 else "I", self.whole.model
+        self.pattern = _word_pattern(spec)
+        self.cut = regex.compile(self.pattern).findall if self.pattern else None
+        self.special = "|".join([_UNUSUAL, *(re.escape(t["content"]) for t in spec.get("added_tokens", []))])
+        self.words = _Recent(self._word, 300_000)
 
     def _encode(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.type).tobytes()
+        return array(self.code, self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _word(self, word: str) -> bytes:
-        low = word.lower()
-        if not low.isascii():
-            low = low.encode().decode("latin-1").translate(_BYTES)
-        return np.array([t.id for t in self.model.tokenize(low)], self.type).tobytes()
+        shown = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(_BYTES)
+        return array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-        core = piece.rstrip(".,;:!?")
-        # Σ and İ are lower-cased by their neighbours in Python
-        if core.isalpha() and (core.isascii() or unicodedata.is_normalized("NFC", core) and not re.search("[Σİ]", core)):
-            ids = self._word(core) + (self[piece[len(core) :]] if len(core) < len(piece) else b"")
-        else:
-            ids = self._encode(piece)
-        self[piece] = ids
-        return ids
-
-    def ids(self, text: str) -> bytes:
-        if not self.by_piece or _UNUSUAL.search(text):
+    def _odd(self, text: str) -> bytes:
+        """Ids of a text that holds something odd."""
+        if self.cut is None or re.search(self.special, text):
             return self._encode(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        return b"".join([self._encode(p) if _ODD.search(p) else b"".join(map(self.words.__getitem__, self.cut(p.lower()))) for p in text.split()])
+
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of pieces without white space, and how many each has. Each distinct word is looked up once."""
+        quoted = pc.match_substring(pieces, "'")
+        spaced = pc.replace_substring_regex(pieces, r"([^\s\p{L}\p{N}']+|\p{N})", r" \1 ")
+        # whether an apostrophe begins a word is left to the pattern
+        own = [" ".join(self.cut(x)) for x in pieces.filter(quoted).to_pylist()]
+        words = pc.split_pattern(pc.replace_with_mask(spaced, quoted, pa.array(own, pa.string())), " ")
+        coded = words.flatten().dictionary_encode()
+        out, counts = _spread([self.words[w] if w else b"" for w in coded.dictionary.to_pylist()], coded.indices.to_numpy(), self.type)
+        upto = np.concatenate(([0], np.cumsum(counts)))
+        return out, np.diff(upto[words.offsets.to_numpy()])
+
+    def ids(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, one after the other, and how many each text has."""
+        if self.cut is None:
+            odd, plain = np.arange(len(texts)), pa.array([""] * len(texts))
+        else:
+            strange = pc.match_substring_regex(texts, f"{_ODD.pattern}|{self.special}")
+            odd = np.flatnonzero(strange.to_numpy(zero_copy_only=False))
+            plain = pc.utf8_lower(pc.if_else(strange, "", texts) if len(odd) else texts)
+        cut = pc.ascii_split_whitespace(plain)
+        coded = cut.flatten().dictionary_encode()
+        found, sizes = self._pieces(coded.dictionary)
+        ends = cut.offsets.to_numpy().astype(np.int64)[1:]
+        # the ids of an odd text are one entry, the end id another
+        more = [self._odd(texts[i].as_py()) for i in odd.tolist()] + [np.array([end_id], self.type).tobytes()]
+        held = np.concatenate([found, np.frombuffer(b"".join(more), self.type)])
+        sizes = np.concatenate([sizes, np.fromiter(map(len, more), np.int64, len(more)) // held.itemsize])
+        new = np.concatenate([len(coded.dictionary) + np.arange(len(odd)), np.full(len(ends), len(sizes) - 1)])
+        entries = np.insert(coded.indices.to_numpy(), np.concatenate([ends[odd], ends]), new)
+        out, each = _gather(held, sizes, entries)
+        last = ends + np.arange(len(ends)) + np.searchsorted(odd, np.arange(len(ends)), side="right")
+        return out, np.diff(np.cumsum(each)[last], prepend=0)
+
+
+def _gather(held: np.ndarray, sizes: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries' parts of ``held``, one after the other, and their sizes."""
+    starts, each = np.cumsum(sizes) - sizes, sizes[entries]
+    shift = starts[entries] - (np.cumsum(each) - each)
+    return held[np.repeat(shift, each) + np.arange(each.sum())], each
+
+
+def _spread(known: list[bytes], entries: np.ndarray, kind) -> tuple[np.ndarray, np.ndarray]:
+    held = np.frombuffer(b"".join(known), kind)
+    return _gather(held, np.fromiter(map(len, known), np.int64, len(known)) // held.itemsize, entries)
+
+
+@lru_cache(1)
+def _encoder(path: str) -> _Encoder:
+    """One for all tasks of a worker: what it remembers is worth most of the time."""
+    return _Encoder(path)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -119,48 +197,57 @@ class _Writer:
         schema = _schema(p, kind).with_metadata({"shard": str(shard)})
         self.out = self.fs.open_output_stream(self.temp)
         self.ipc, self.schema = pa.ipc.new_file(self.out, schema), schema
-        self.buffer, self.ends, self.written, self.docs, self.tokens = bytearray(), [], 0, 0, 0
-
-    def add(self, doc_id, ids: bytes) -> None:
-        self.buffer += ids
-        self.docs, self.tokens = self.docs + 1, self.tokens + len(ids) // self.kind.itemsize
-        self.ends.append((doc_id, self.tokens))
-        if len(self.buffer) >= self.ROWS * self.p.seq_len * self.kind.itemsize:
-            self._flush(self.ROWS)
-
-    def _flush(self, rows: int) -> None:
-        n = self.p.seq_len
-        while len(self.buffer) >= rows * n * self.kind.itemsize and rows:
-            ids = np.frombuffer(bytes(self.buffer[: rows * n * self.kind.itemsize]), self.kind)
-            self._write(ids, np.ones(rows * n, bool))
-            del self.buffer[: rows * n * self.kind.itemsize]
-
-    def _write(self, ids: np.ndarray, mask: np.ndarray) -> None:
-        n, first = self.p.seq_len, self.written * self.p.seq_len
-        ends: list[list] = [[] for _ in range(len(ids) // n)]
-        done = 0
-        for doc_id, end in self.ends:  # a document ends in the sequence that holds its last id
-            if end > first + len(ids):
-                break
-            ends[(end - 1 - first) // n].append({"doc_id": doc_id, "end": (end - 1 - first) % n + 1})
-            done += 1
-        del self.ends[:done]
-        arrays = [pa.FixedSizeListArray.from_arrays(pa.array(ids), n), pa.FixedSizeListArray.from_arrays(pa.array(mask), n), pa.array(ends, self.schema.field("ends").type)]
-        self.ipc.write_batch(pa.RecordBatch.from_arrays(arrays, schema=self.schema))
-        self.written += len(ids) // n
+        self.held, self.ends, self.written, self.docs, self.tokens = [], [], 0, 0, 0
+
+    def add(self, doc_ids: pa.Array, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Documents in order: all their ids, and how many each has."""
+        self.docs += len(doc_ids)
+        self.ends.append((doc_ids, self.tokens + np.cumsum(counts)))
+        self.tokens += len(ids)
+        self.held.append(ids)
+        rows = sum(map(len, self.held)) // self.p.seq_len
+        if rows >= self.ROWS:
+            self._write(rows - rows % self.ROWS)
+
+    def _write(self, rows: int) -> None:
+        """The first rows of what is held, in batches of ROWS; a document ends in the sequence that holds its last id."""
+        n, ids = self.p.seq_len, np.concatenate(self.held)
+        names, ends = pa.chunked_array([d for d, _ in self.ends], pa.int64()).combine_chunks(), np.concatenate([e for _, e in self.ends])
+        for at in range(0, rows, self.ROWS):
+            count = min(self.ROWS, rows - at)
+            own = ids[at * n : (at + count) * n]
+            mask = np.arange(count * n) < len(own)
+            first = self.written * n
+            done = int(np.searchsorted(ends, first + len(own), side="right"))
+            place = ends[:done] - 1 - first
+            items = pa.StructArray.from_arrays([names[:done], pa.array((place % n + 1).astype(np.int32))], names=["doc_id", "end"])
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(place // n, np.arange(count + 1)).astype(np.int32)), items)
+            arrays = [pa.FixedSizeListArray.from_arrays(pa.array(np.pad(own, (0, count * n - len(own)))), n), pa.FixedSizeListArray.from_arrays(pa.array(mask), n), lists]
+            self.ipc.write_batch(pa.RecordBatch.from_arrays(arrays, schema=self.schema))
+            self.written += count
+            names, ends = names[done:], ends[done:]
+        self.held, self.ends = [ids[rows * n :]], [(names, ends)]
 
     def close(self) -> tuple[int, int, int, int]:
-        left = np.frombuffer(bytes(self.buffer), self.kind)
-        if len(left):
-            n = self.p.seq_len
-            size = -(-len(left) // n) * n
-            self._write(np.pad(left, (0, size - len(left))), np.arange(size) < len(left))
+        if left := sum(map(len, self.held)):
+            self._write(-(-left // self.p.seq_len))
         self.ipc.close()
         self.out.close()
         self.fs.move(self.temp, self.name)
         return self.shard, self.docs, self.tokens, self.written
 
 
+def _runs(shards: np.ndarray, texts: pa.Array, size: int = 8 << 20) -> Iterator[tuple[int, int]]:
+    """Runs of one shard and of about ``size`` bytes at most, unless one text is longer."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy())
+    start = 0
+    while start < len(shards):
+        end = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + size, side="right"))
+        end = min(max(end, start + 1), int(np.searchsorted(shards, shards[start], side="right")))
+        yield start, end
+        start = end
+
+
 def write_tokens(docs: DataFrame, root: str, params: TokenParams) -> DataFrame:
     """Write ``docs`` (doc_id: integer, text) below ``root``; returns the written table of files (shard, docs, tokens, sequences)."""
     spark = docs.sparkSession
@@ -171,15 +258,15 @@ def write_tokens(docs: DataFrame, root: str, params: TokenParams) -> DataFrame:
     placed = placed.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer, done = None, None, []
+        writer, done = None, []
         for batch in batches:
-            encoder = encoder or _Encoder(params.tokenizer)
-            end = np.array([params.end_id], encoder.type).tobytes()
-            for shard, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            encoder = _encoder(params.tokenizer)
+            for start, end in _runs(batch.column(0).to_numpy(), batch.column(2)):
+                shard = batch.column(0)[start].as_py()
                 if writer is None or writer.shard != shard:
                     done += [writer.close()] if writer else []
                     writer = _Writer(root, shard, params, encoder.type)
-                writer.add(doc_id, encoder.ids(text.as_py()) + end)
+                writer.add(batch.column(1)[start:end], *encoder.ids(batch.column(2)[start:end], params.end_id))
         done += [writer.close()] if writer else []
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*done) if done else ([],) * 4)], names=["shard", "docs", "tokens", "sequences"])
 
