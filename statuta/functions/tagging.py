@@ -30,16 +30,40 @@ JURISDICTION_PATTERNS: dict[str, list[Gated]] = {
     "AU": _words("Australia", "OAIC", "APP", "ACCC"),
 }
 # The first type with a match is taken.
-TYPE_PATTERNS: list[tuple[str, str]] = [
-    ("Regulation", r"(?i)Regulation \(EU\)|Final Rule|federal regulation"),
-    ("Directive", r"(?i)Directive \d{4}/\d+|EU Directive"),
-    ("Enforcement Action", r"(?i)complaint|settlement|consent order|civil penalty|enforcement action"),
-    ("Monetary Penalty", r"(?i)monetary penalty|fine of|£\d+|\$\d+ million"),
-    ("Proposed Rule", r"(?i)Proposed Rule|NPRM|Notice of Proposed Rulemaking"),
-    ("Guidance", r"(?i)guidance|guidelines?|framework"),
-    ("Decision", r"(?i)decision|ruling|adjudication"),
-    ("Notice", r"(?i)Federal Notice|federal register notice"),
+TYPE_PATTERNS: list[tuple[str, list[str]]] = [
+    ("Regulation", [r"\bRegulation \(EU\)", r"\bFinal Rule\b", r"\bfederal regulation\b"]),
+    ("Directive", [r"\bDirective \d{4}/\d+", r"\bEU Directive\b"]),
+    ("Enforcement Action", [r"\bcomplaint\b", r"\bsettlement\b", r"\bconsent order\b", r"\bcivil penalty\b", r"\benforcement action\b"]),
+    ("Monetary Penalty", [r"\bmonetary penalty\b", r"\bfine of\b", r"£[\d,]+", r"\$[\d,]+ million"]),
+    ("Proposed Rule", [r"\bProposed Rule\b", r"\bNPRM\b", r"\bNotice of Proposed Rulemaking\b"]),
+    ("Guidance", [r"\bguidance\b", r"\bguidelines?\b", r"\bframework\b"]),
+    ("Decision", [r"\bdecision\b", r"\bruling\b", r"\badjudication\b"]),
+    ("Notice", [r"\bFederal Notice\b", r"\bfederal register notice\b"]),
 ]
+# Kinds of named entities, and the characters of a text that are looked at.
+ENTITY_LABELS = ("ORG", "GPE", "LAW", "DATE", "PERSON", "NORP")
+ENTITY_TEXT = 50_000
+
+
+def _edges(pattern: str) -> str:
+    """Word edges that see letters and digits of every script, on every Java version."""
+    head, tail = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+    body = pattern.removeprefix(r"\b").removesuffix(r"\b")
+    return (head if pattern.startswith(r"\b") else "") + body + (tail if pattern.endswith(r"\b") else "")
+
+
+def type_rules() -> list[tuple[str, str]]:
+    return [(name, "(?i)" + "|".join(map(_edges, patterns))) for name, patterns in TYPE_PATTERNS]
+
+
+def named_entities(text: Column, model=None) -> Column:
+    """Entities (text, label, start, end) that ``model`` finds in the first ENTITY_TEXT characters, of the kinds above; none without one.
+
+    ``model``: a pandas UDF text -> array<struct<text:string,label:string,start:int,end:int>>.
+    """
+    if model is None:
+        return F.array().cast("array<struct<text:string,label:string,start:int,end:int>>")
+    return F.filter(model(F.substring(text, 1, ENTITY_TEXT)), lambda e: e["label"].isin(*ENTITY_LABELS))
 
 
 def with_label(df: DataFrame, text: Column, patterns: dict[str, list[Gated]], label: str, confidence: str) -> DataFrame:
@@ -76,7 +100,7 @@ def tag_regulations(df: DataFrame, entities: Column | None = None) -> DataFrame:
     first_date = F.try_element_at(_present(digit, X.dates(text)), F.lit(1))
     money = _present(digit & text.rlike("[£€$]|(?i:USD|EUR|GBP)"), X.amounts(text))
     return rows.withColumns({
-        "jurisdiction": F.coalesce(own("jurisdiction"), F.col("__place")), "regulation_type": F.coalesce(own("regulation_type"), X.first_pattern(text, TYPE_PATTERNS, "Legal Document")),
+        "jurisdiction": F.coalesce(own("jurisdiction"), F.col("__place")), "regulation_type": F.coalesce(own("regulation_type"), X.first_pattern(text, type_rules(), "Legal Document")),
         "effective_date": F.coalesce(own("effective_date").try_cast("date"), first_date.try_cast("date")),
         "article_citations": F.array_join(_present(digit, X.citations(text)), "|"),
         "fine_amounts": F.concat(F.lit("["), F.array_join(F.transform(money, lambda x: x.cast("string")), ", "), F.lit("]")),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Months.
 _MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
 
 
@@ -43,6 +44,7 @@ def _magnitude(word: Column) -> Column:
 
 def amounts(text: Column) -> Column:
     """All money amounts as doubles, magnitudes (million, m, billion, bn) applied."""
+    # Currencies and magnitudes.
     pattern = r"(?i)(?:£|€|\$|USD|EUR|GBP)\s*([0-9][0-9,]*(?:\.[0-9]+)?)(?:\s*(million|billion|bn|m)(?![\p{L}\p{N}_]))?"
     number = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
     word = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
@@ -50,9 +52,11 @@ def amounts(text: Column) -> Column:
 
 
 def first_pounds(text: Column) -> Column:
-    pattern = r"(?i)£\s*([0-9][0-9,]*(?:\.[0-9]+)?)(?:\s*(million))?"
+    """The first amount in pounds; a million if that word follows within ten characters."""
+    # The amount, and how far "million" is looked for.
+    pattern = r"(?is)£([\d,]+(?:\.\d+)?)(\s*(?:million|m)?.{0,10})"
     number = F.regexp_replace(F.regexp_extract(text, pattern, 1), ",", "").try_cast("double")
-    return number * _magnitude(F.regexp_extract(text, pattern, 2))
+    return number * F.when(F.lower(F.regexp_extract(text, pattern, 2)).contains("million"), 1e6).otherwise(1.0)
 
 
 def dates(text: Column) -> Column:
@@ -79,5 +83,6 @@ def dates(text: Column) -> Column:
 
 def citations(text: Column) -> Column:
     """Distinct article citations, with a paragraph and an act if they follow."""
+    # Acts.
     acts = r"GDPR|UK\s+GDPR|DSA|DMA|AI\s+Act"
     return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?i)(Article\s+\d+[a-z]?(?:\(\d+\))?(?:\s+(?:of\s+)?(?:the\s+)?(?:{acts}))?)"), F.lit(1)))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # The share of nulls that each column may have.
 NULL_LIMITS = {
-    "regulation_id": 0.0, "source_hash": 0.0, "jurisdiction": 0.0, "source_url": 0.0, "version_id": 0.0, "ingested_at": 0.0,
-    "title": 0.05, "raw_text": 0.05, "regulation_type": 0.10, "effective_date": 0.30,
+    "regulation_id": 0.0, "source_hash": 0.0, "title": 0.05, "jurisdiction": 0.0, "regulation_type": 0.10, "effective_date": 0.30,
+    "source_url": 0.0, "raw_text": 0.05, "version_id": 0.0, "ingested_at": 0.0,
 }
 # Least rows of a source.
 MINIMUM_ROWS = {"eurlex": 5, "congress": 5, "ftc": 3, "regulations_gov": 5, "ico": 3}
@@ -37,7 +40,7 @@ def null_rates(df: DataFrame, columns: list[str]) -> DataFrame:
     return rates.unpivot([], columns, "column_name", "null_rate")
 
 
-def run_checks(df: DataFrame, source: str = "default") -> DataFrame:
+def run_checks(df: DataFrame, source: str = "default", minimum: dict[str, int] = MINIMUM_ROWS) -> DataFrame:
     """check_name, severity, passed, failing (long), in the suite's order (position)."""
     have = set(df.columns)
     text = lambda c: F.col(c).cast("string")
@@ -65,13 +68,28 @@ def run_checks(df: DataFrame, source: str = "default") -> DataFrame:
     add("url_format", "warning", "source_url", bad("source_url", text("source_url").rlike(URL)))
     add("effective_date_format", "warning", "effective_date", bad("effective_date", text("effective_date").rlike(ISO_DATE)), "date_format")
     add("source_hash_format", "critical", "source_hash", bad("source_hash", text("source_hash").rlike(HEX_HASH)), "hash_format")
-    least = MINIMUM_ROWS.get(source, 1)
+    least = minimum.get(source, 1)
     checks.append(("minimum_row_count", "warning", F.greatest(F.lit(least) - F.col("n"), F.lit(0)), F.col("n") >= least))
     add("raw_text_min_length", "warning", "raw_text", F.count_if(F.length("raw_text") < SHORTEST_TEXT), "raw_text_length")
     rows = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(n).alias("check_name"), F.lit(s).alias("severity"), p.alias("passed"), f.cast("long").alias("failing")) for i, (n, s, f, p) in enumerate(checks)])
     return df.agg(*aggregates).select(F.explode(rows).alias("c")).select("c.*")
 
 
+def bad_values(df: DataFrame) -> DataFrame:
+    """check_name, place, value: the smallest distinct values that fail a check: 10 jurisdictions, 5 types, 3 dates, as a report shows them."""
+    text = lambda c: F.col(c).cast("string")
+    shown = (
+        ("valid_jurisdictions", "jurisdiction", ~F.col("jurisdiction").isin(*VALID_JURISDICTIONS), 10), ("valid_regulation_types", "regulation_type", ~F.col("regulation_type").isin(*VALID_TYPES), 5),
+        ("effective_date_format", "effective_date", ~text("effective_date").rlike(ISO_DATE), 3),
+    )
+    parts = []
+    for name, column, bad, n in shown:
+        if column in df.columns:
+            first = df.where(bad).select(text(column).alias("value")).distinct().orderBy("value").limit(n)
+            parts.append(first.select(F.lit(name).alias("check_name"), F.row_number().over(W.orderBy("value")).alias("place"), "value"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def summarize(checks: DataFrame) -> DataFrame:
     """One row: passed (no critical failure), total, critical_failures, warnings."""
     failed = ~F.col("passed")

@@ -1,84 +1,143 @@
-"""Hybrid retrieval for tables of queries: BM25, cosine top-k, reciprocal rank fusion, reranking."""
+"""Hybrid retrieval for tables of queries: a stored BM25 index, cosine top-k, reciprocal rank fusion, reranking."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from statuta.functions.text import tokens
+from statuta.scratch import scratch_dir
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Query terms up to this many are broadcast; more are joined by a shuffle.
 BROADCAST_TERMS = 200_000
 #: Query vectors that are broadcast at a time.
 QUERY_BLOCK = 10_000
+#: Scores that differ less are ties: sums in another order may differ in the last digits.
+EQUAL = 12
 
 
 def first_k(df: DataFrame, query: str, order: list[Column], k: int, name: str = "rank") -> DataFrame:
     return df.withColumn(name, F.row_number().over(W.partitionBy(query).orderBy(*order))).where(F.col(name) <= k)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """``docs`` (doc_id, text), ``queries`` (query_id, text) -> query_id, doc_id, score, rank: Okapi BM25, repeats of a query term count.
+@dataclass(frozen=True)
+class Bm25Index:
+    """postings: doc_id, dl (its tokens), term, tf; a row per document and term. n documents of avgdl tokens."""
+
+    postings: DataFrame
+    n: int
+    avgdl: float
+
+
+def build_bm25(docs: DataFrame, path: str | None = None) -> Bm25Index:
+    """Tokenize ``docs`` (doc_id, text) once and store the postings, below a scratch folder if no path is given."""
+    spark = docs.sparkSession
+    path = path or scratch_dir(spark)
+    seen = Observation()
+    words = docs.select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("w")).observe(seen, F.count("*").alias("n"), F.sum(F.size("w")).alias("words"))
+    rows = words.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
+    rows.groupBy("doc_id", "dl", "term").agg(F.count("*").cast("int").alias("tf")).write.parquet(f"{path}/postings")
+    n, total = seen.get["n"], seen.get["words"] or 0
+    spark.createDataFrame([(n, total / n if n else 0.0)], "n long, avgdl double").coalesce(1).write.parquet(f"{path}/sizes")
+    return read_bm25(spark, path)
+
 
-    Terms in over half of the documents, whose idf is negative, get EPSILON times the mean idf of the vocabulary. Scores of zero and
+def read_bm25(spark: SparkSession, path: str) -> Bm25Index:
+    sizes = spark.read.parquet(f"{path}/sizes").first()
+    return Bm25Index(spark.read.parquet(f"{path}/postings"), sizes.n, sizes.avgdl)
+
+
+def search_bm25(index: Bm25Index, queries: DataFrame, k: int, where: DataFrame | None = None) -> DataFrame:
+    """``queries`` (query_id, text) -> query_id, doc_id, score, rank: Okapi BM25, repeats of a query term count.
+
+    Terms in over half of the documents, whose idf is negative, get EPSILON times the mean idf of the vocabulary. ``where``
+    (doc_id) limits the documents before the first k are taken; statistics stay those of the index. Scores of zero and
     less are dropped after the first k are taken.
     """
-    words = docs.select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("w"))
-    sizes = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"))
-    postings = words.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
-    # documents that a term is in: distinct inside each row first, so the shuffle has one row a term and task
-    df = words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(F.broadcast(sizes)).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    idf = index.postings.groupBy("term").agg(F.count("*").alias("df"))
+    idf = idf.withColumn("idf", F.log(index.n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = idf.agg(F.avg("idf").alias("mean_idf"))
     asked = queries.select("query_id", F.explode(tokens(F.coalesce("text", F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
     terms = asked.select("term").distinct()
     small = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     terms = F.broadcast(terms) if small else terms
     weights = idf.join(terms, "term", "left_semi").crossJoin(F.broadcast(mean))
-    weights = weights.select("term", "avgdl", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
-    tf = postings.join(terms, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    weights = weights.select("term", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
+    tf = index.postings if where is None else index.postings.join(where.select("doc_id").distinct(), "doc_id", "left_semi")
     weighted = asked.join(weights, "term")
     scored = tf.join(F.broadcast(weighted) if small else weighted, "term")
-    part = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    part = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / index.avgdl))
     total = scored.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
     return first_k(total, "query_id", [F.round("score", 9).desc(), F.col("doc_id")], k).where("score > 0")
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def norm(v: Column) -> Column:
-    return F.sqrt(dot(v, v))
+def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Index ``docs`` and search it once."""
+    return search_bm25(build_bm25(docs), queries, k)
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = None) -> DataFrame:
     """``vectors`` (chunk_id, embedding), ``queries`` (query_id, vector) -> query_id, chunk_id, score (cosine, 4 digits), rank.
 
-    A filter on the vectors applies before the first k are taken. Queries are broadcast in blocks of about QUERY_BLOCK, dealt by a
-    hash of the id, each a scan of the vectors; only the first k of a query and task are shuffled.
+    Ranked by the cosine itself, ties by id. A filter on the vectors applies before the first k are taken. Queries go out in
+    blocks of about QUERY_BLOCK, dealt by a hash of the id, each a scan of the vectors by matrix products; only the first k
+    of a query and batch are shuffled. Null vectors are left out, a zero vector has cosine 0.
     """
-    rows = (vectors if where is None else vectors.where(where)).select("chunk_id", "embedding", norm(F.col("embedding")).alias("__norm"))
-    asked = queries.select("query_id", "vector", norm(F.col("vector")).alias("__length"))
+    rows = (vectors if where is None else vectors.where(where)).select("chunk_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = rows.where(F.col("embedding").isNotNull() & F.col("chunk_id").isNotNull())
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).where("query_id is not null and vector is not null")
     blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
-    cosine = dot(F.col("embedding"), F.col("vector")) / (F.col("__norm") * F.col("__length"))
+    kind = T.StructType([T.StructField("query_id", asked.schema["query_id"].dataType), T.StructField("chunk_id", rows.schema["chunk_id"].dataType), T.StructField("exact", T.DoubleType())])
     parts = []
     for b in range(blocks):
-        block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        scored = rows.join(F.broadcast(block)).select("query_id", "chunk_id", F.round(cosine, 4).alias("score"))
-        parts.append(first_k(scored, "query_id", [F.col("score").desc(), F.col("chunk_id")], k))
-    return reduce(DataFrame.unionByName, parts)
+        block = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).toArrow()
+        if block.num_rows:
+            parts.append(rows.mapInArrow(_nearest(rows.sparkSession.sparkContext.broadcast(block), k), kind))
+    if not parts:
+        return rows.sparkSession.createDataFrame([], kind).select("query_id", "chunk_id", F.col("exact").alias("score"), F.lit(1).alias("rank"))
+    found = first_k(reduce(DataFrame.unionByName, parts), "query_id", [F.round("exact", EQUAL).desc(), F.col("chunk_id")], k)
+    return found.select("query_id", "chunk_id", F.round("exact", 4).alias("score"), "rank")
+
+
+def _unit(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Rows of a list column, of length one; zero rows stay zero."""
+    x = pc.list_flatten(column).to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
+
+
+def _nearest(sent, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = sent.value["query_id"].combine_chunks(), _unit(sent.value["vector"].combine_chunks())
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                own = batch.slice(at, 4096)
+                own = own.take(pc.sort_indices(own.column(0)))  # ties go to the smaller id
+                v = _unit(own.column(1))
+                for i in range(0, len(q), 256):
+                    cosine = q[i : i + 256] @ v.T
+                    near = np.argsort(-np.round(cosine, EQUAL), axis=1, kind="stable")[:, :k]
+                    who = pa.array(np.repeat(np.arange(i, i + len(near)), near.shape[1]))
+                    yield pa.RecordBatch.from_arrays([ids.take(who), own.column(0).take(pa.array(near.ravel())), pa.array(np.take_along_axis(cosine, near, 1).ravel())], names=["query_id", "chunk_id", "exact"])
+
+    return run
 
 
 def fuse(legs: list[tuple[str, float, DataFrame]], k: int, constant: int = 60) -> DataFrame:
-    """Reciprocal rank fusion of ranked (query_id, chunk_id, rank) lists: sum of weight / (constant + rank), 6 digits.
+    """Reciprocal rank fusion of ranked (query_id, chunk_id, rank) lists: sum of weight / (constant + rank).
 
-    Ties keep the order of the legs: by rank in the first, then in the next.
+    Ordered by the sum itself, shown with 6 digits; ties keep the order of the legs: by rank in the first, then in the next.
     """
     rows = None
     for name, weight, leg in legs:
@@ -86,12 +145,35 @@ def fuse(legs: list[tuple[str, float, DataFrame]], k: int, constant: int = 60) -
         rows = part if rows is None else rows.unionByName(part)
     ranks = [f"{n}_rank" for n, _, _ in legs]
     total = rows.groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"), *[F.min(r).alias(r) for r in ranks])
-    return first_k(total.withColumn("score", F.round("score", 6)), "query_id", [F.col("score").desc(), *[F.col(r).asc_nulls_last() for r in ranks], F.col("chunk_id")], k)
+    order = [F.round("score", EQUAL).desc(), *[F.col(r).asc_nulls_last() for r in ranks], F.col("chunk_id")]
+    return first_k(total, "query_id", order, k).withColumn("score", F.round("score", 6))
 
 
 def rerank(hits: DataFrame, model, k: int) -> DataFrame:
-    """``hits`` (query_id, query, chunk_id, text) by ``model``, a pandas UDF (query, text) -> double."""
-    return first_k(hits.withColumn("score", model("query", "text")), "query_id", [F.col("score").desc(), F.col("chunk_id")], k)
+    """``hits`` (query_id, query, chunk_id, text, rank) by ``model``, a pandas UDF (query, text) -> double.
+
+    Where the model gives no score (null: it failed), hits keep the order that they have, after the scored ones.
+    """
+    before = [F.col("rank")] if "rank" in hits.columns else []
+    scored = hits.withColumn("score", model("query", "text"))
+    return first_k(scored, "query_id", [F.col("score").desc_nulls_last(), *before, F.col("chunk_id")], k)
+
+
+def retrieve(index: Bm25Index, vectors: DataFrame, queries: DataFrame, k: int = 5, where: Column | None = None, texts: DataFrame | None = None, model=None) -> DataFrame:
+    """The whole retrieval: ``queries`` (query_id, text, vector) -> query_id, chunk_id, score, rank.
+
+    Both legs give 3 k candidates, fused with weights 0.6 (dense) and 0.4 (sparse), then cut at k or, with ``texts``
+    (chunk_id, text) and ``model``, reranked. ``where``: a filter on ``vectors``' columns that both legs keep; a query
+    without a vector has its sparse leg alone.
+    """
+    near = dense(vectors, queries.select("query_id", "vector"), 3 * k, where)
+    allowed = None if where is None else vectors.where(where).select(F.col("chunk_id").alias("doc_id"))
+    sparse = search_bm25(index, queries.select("query_id", "text"), 3 * k, allowed).withColumnRenamed("doc_id", "chunk_id")
+    fused = fuse([("dense", 0.6, near), ("sparse", 0.4, sparse)], k if model is None else 6 * k)
+    if model is not None:
+        asked = queries.select("query_id", F.col("text").alias("query"))
+        fused = rerank(fused.join(asked, "query_id").join(texts.select("chunk_id", "text"), "chunk_id"), model, k)
+    return fused.select("query_id", "chunk_id", "score", "rank")
 
 
 def merge_ranked(lists: list[DataFrame], key: str, k: int) -> DataFrame:

@@ -19,7 +19,8 @@ TYPES = {
     "Regulation": ("directive", "regulation (eu)", "gdpr", "dsa", "dma"),
 }
 RECENT = ("recent", "latest", "new", "current", "2024", "2025")
-TERMS = (r"\bArticle\s+\d+[a-z]?\b", r"\bSection\s+\d+\b", r"\bGDPR\b", r"\bDSA\b", r"\bDMA\b", r"\bAI Act\b", r"\bCCPA\b", r"\bPIPEDA\b", r"\bCELEX\s*\w+")
+# letters of every script, where Java's \w has ASCII ones only
+TERMS = (r"\bArticle\s+\d+[a-z]?\b", r"\bSection\s+\d+\b", r"\bGDPR\b", r"\bDSA\b", r"\bDMA\b", r"\bAI Act\b", r"\bCCPA\b", r"\bPIPEDA\b", r"\bCELEX\s*[\p{L}\p{N}_]+")
 
 
 def holds_any(low: Column, words: tuple[str, ...]) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
 from functools import reduce
 from operator import or_
 
@@ -16,21 +16,8 @@ from statuta.operators import answers, chunking, conflicts, dedup, embedding, qu
 from statuta.sources import readers, records
 
 from . import corpus, views
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def _query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
+from .registry import QUERIES, SQL, Query
+from .registry import query as _query
 
 _REGS, _HEALTH = corpus.REGULATIONS_SQL, corpus.HEALTH_SQL
 _META = ["regulation_id", "version_id", "title", "jurisdiction", "regulation_type", "effective_date", "source_hash"]
@@ -118,17 +105,41 @@ def null_rates(spark, sf):
     return quality.null_rates(_landed(spark, sf), ["title", "raw_text", "effective_date"])
 
 
+def _dirty(spark: SparkSession, sf: str) -> DataFrame:
+    """The landed batch with values that fail every kind of check."""
+    every = lambda n, bad, c: F.when(F.col("doc_id") % n == 0, bad).otherwise(F.col(c).cast("string"))
+    number = lambda n: (F.col("doc_id") % n).cast("string")
+    return _landed(spark, sf).withColumns({
+        "jurisdiction": every(11, F.concat(F.lit("XX"), number(3)), "jurisdiction"), "source_url": every(13, F.lit("ftp:/x"), "source_url"), "regulation_type": every(17, F.concat(F.lit("Memo "), number(7)), "regulation_type"),
+        "effective_date": every(19, F.concat(F.lit("March "), number(28)), "effective_date"), "source_hash": every(23, F.concat(F.lit("zz"), F.col("source_hash")), "source_hash"),
+    })
+
+
+_DIRTY_SQL = f"""{_QUALITY_SQL}, b AS (SELECT * REPLACE (CASE WHEN doc_id % 11 = 0 THEN 'XX' || CAST(doc_id % 3 AS VARCHAR) ELSE jurisdiction END AS jurisdiction,
+  CASE WHEN doc_id % 17 = 0 THEN 'Memo ' || CAST(doc_id % 7 AS VARCHAR) ELSE regulation_type END AS regulation_type, CASE WHEN doc_id % 19 = 0 THEN 'March ' || CAST(doc_id % 28 AS VARCHAR) ELSE CAST(effective_date AS VARCHAR) END AS effective_date,
+  CASE WHEN doc_id % 23 = 0 THEN 'zz' || source_hash ELSE source_hash END AS source_hash) FROM l)"""
 _NULL_CHECKS = " ".join(f"UNION ALL SELECT {i + 2}, 'null_rate_{c}', '{'critical' if x == 0 else 'warning'}', CAST(count(*) FILTER (WHERE {'t' if c == 'title' else c} IS NULL) AS BIGINT), count(*) FILTER (WHERE {'t' if c == 'title' else c} IS NULL) <= {x} * count(*) FROM l" for i, (c, x) in enumerate(quality.NULL_LIMITS.items()))
 
 
-@_query(f"""{_QUALITY_SQL} SELECT CAST(position AS INT) AS position, check_name, severity, passed, CAST(failing AS BIGINT) AS failing FROM (
-  SELECT 0 AS position, 'not_empty' AS check_name, 'critical' AS severity, CAST(0 AS BIGINT) AS failing, n > 0 AS passed FROM n UNION ALL SELECT 1, 'schema_completeness', 'critical', 0, true {_NULL_CHECKS}
-  UNION ALL SELECT 12, 'duplicate_source_hash', 'warning', count(*) - count(DISTINCT source_hash), count(*) = count(DISTINCT source_hash) FROM l
-  UNION ALL SELECT 13, 'valid_jurisdictions', 'warning', 0, true UNION ALL SELECT 14, 'valid_regulation_types', 'info', 0, true UNION ALL SELECT 15, 'url_format', 'warning', 0, true
-  UNION ALL SELECT 16, 'effective_date_format', 'warning', 0, true UNION ALL SELECT 17, 'source_hash_format', 'critical', 0, true UNION ALL SELECT 18, 'minimum_row_count', 'warning', 0, true
-  UNION ALL SELECT 19, 'raw_text_min_length', 'warning', count(*) FILTER (WHERE length(raw_text) < 20), count(*) FILTER (WHERE length(raw_text) < 20) = 0 FROM l)""")
+def _every(n: int) -> str:
+    return f"count(*) FILTER (WHERE doc_id % {n} = 0), count(*) FILTER (WHERE doc_id % {n} = 0) = 0 FROM b"
+
+
+@_query(f"""{_DIRTY_SQL} SELECT CAST(position AS INT) AS position, check_name, severity, passed, CAST(failing AS BIGINT) AS failing FROM (
+  SELECT 0 AS position, 'not_empty' AS check_name, 'critical' AS severity, CAST(0 AS BIGINT) AS failing, n > 0 AS passed FROM n UNION ALL SELECT 1, 'schema_completeness', 'critical', 1, false {_NULL_CHECKS}
+  UNION ALL SELECT 11, 'duplicate_source_hash', 'warning', count(*) - count(DISTINCT source_hash), count(*) = count(DISTINCT source_hash) FROM b
+  UNION ALL SELECT 12, 'valid_jurisdictions', 'warning', {_every(11)} UNION ALL SELECT 13, 'valid_regulation_types', 'info', {_every(17)} UNION ALL SELECT 14, 'url_format', 'warning', {_every(13)}
+  UNION ALL SELECT 15, 'effective_date_format', 'warning', {_every(19)} UNION ALL SELECT 16, 'source_hash_format', 'critical', {_every(23)} UNION ALL SELECT 17, 'minimum_row_count', 'warning', greatest(1000000000 - n, 0), n >= 1000000000 FROM n
+  UNION ALL SELECT 18, 'raw_text_min_length', 'warning', count(*) FILTER (WHERE length(raw_text) < 20), count(*) FILTER (WHERE length(raw_text) < 20) = 0 FROM l)""".replace(f"UNION ALL SELECT 11, 'null_rate_ingested_at', 'critical', CAST(count(*) FILTER (WHERE ingested_at IS NULL) AS BIGINT), count(*) FILTER (WHERE ingested_at IS NULL) <= 0.0 * count(*) FROM l", ""))
 def quality_suite(spark, sf):
-    return quality.run_checks(_landed(spark, sf), "eurlex")
+    """Every kind of check fails: values, a column is missing, and a source that expects more rows."""
+    return quality.run_checks(_dirty(spark, sf).drop("ingested_at"), "vast", {"vast": 1_000_000_000})
+
+
+@_query(f"""{_DIRTY_SQL}, v AS (SELECT 'valid_jurisdictions' AS check_name, jurisdiction AS value, 10 AS k FROM b WHERE doc_id % 11 = 0 UNION SELECT 'valid_regulation_types', regulation_type, 5 FROM b WHERE doc_id % 17 = 0
+  UNION SELECT 'effective_date_format', effective_date, 3 FROM b WHERE doc_id % 19 = 0) SELECT check_name, CAST(row_number() OVER (PARTITION BY check_name ORDER BY value) AS INT) AS place, value FROM v QUALIFY place <= k""")
+def quality_samples(spark, sf):
+    return quality.bad_values(_dirty(spark, sf))
 
 
 @_query(f"""WITH {_REGS}, old AS (SELECT regulation_id, max(version_id) AS v, arg_max(source_hash, version_id) AS h FROM regs WHERE doc_id % 5 < 2 AND doc_id % 7 <> 0 GROUP BY 1),
@@ -178,9 +189,9 @@ def url_check(spark, sf):
     return corpus.read(spark, sf, "pages").select("page_id", F.col("url").rlike(quality.URL).alias("url_ok"), F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("host"))
 
 
-@_query("""SELECT page_id, md5(substr(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')), 1, 10000)) AS text_md5 FROM pages""")
+@_query("""SELECT page_id, md5(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))) AS text_md5 FROM pages""")
 def html_text(spark, sf):
-    return corpus.read(spark, sf, "pages").select("page_id", F.md5(text.strip_html(F.col("html"), 10_000).cast("binary")).alias("text_md5"))
+    return corpus.read(spark, sf, "pages").select("page_id", F.md5(text.strip_html(F.col("html")).cast("binary")).alias("text_md5"))
 
 
 @_query(r"""WITH a AS (SELECT page_id, regexp_extract_all(html, '(?is)<a\b[^>]*\bhref="([^"]*)"[^>]*>(.*?)</a>', 1) AS h, regexp_extract_all(html, '(?is)<a\b[^>]*\bhref="([^"]*)"[^>]*>(.*?)</a>', 2) AS t FROM pages),
@@ -222,8 +233,8 @@ def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _dense_sql(where: str, k: int, asked: str = "q.vec_id % 100 = 0") -> str:
-    return f"""SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS rank FROM (
-  SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 4) AS score
+    return f"""SELECT query_id, chunk_id, round(c, 4) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(c, 12) DESC, chunk_id) AS INT) AS rank FROM (
+  SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS c
   FROM embeddings v, embeddings q WHERE {asked} AND {where}) QUALIFY rank <= {k}"""
 
 
@@ -237,17 +248,15 @@ def dense_filtered(spark, sf):
     return retrieval.dense(*_vectors(spark, sf), 5, F.col("label") == 3)
 
 
-@_query(f"""WITH {_BM25_SQL.replace("{k}", "15")}, d AS ({_dense_sql("true", 15, "q.vec_id IN (SELECT item_id FROM benchmark)")}), f AS (SELECT query_id, id, round(sum(part), 6) AS score, min(dr) AS dr, min(sr) AS sr FROM (
+@_query(f"""WITH {_BM25_SQL.replace("{k}", "15")}, d AS ({_dense_sql("true", 15, "q.vec_id IN (SELECT item_id FROM benchmark)")}), f AS (SELECT query_id, id, sum(part) AS score, min(dr) AS dr, min(sr) AS sr FROM (
   SELECT query_id, chunk_id AS id, 0.6 / (60 + rank) AS part, rank AS dr, NULL AS sr FROM d UNION ALL SELECT query_id, doc_id, 0.4 / (60 + rank), NULL, rank FROM sparse WHERE score > 0) GROUP BY ALL)
-  SELECT query_id, id AS chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dr NULLS LAST, sr NULLS LAST, id) AS INT) AS rank FROM f QUALIFY rank <= 5""")
+  SELECT query_id, id AS chunk_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, dr NULLS LAST, sr NULLS LAST, id) AS INT) AS rank FROM f QUALIFY rank <= 5""")
 def hybrid_rrf(spark, sf):
     """Flagship: benchmark items against texts by BM25, the vectors of the same numbers by cosine, fused."""
-    asked = corpus.read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     rows, _ = _vectors(spark, sf)
-    vectors = rows.join(asked, F.col("chunk_id") == F.col("query_id")).select("query_id", F.col("embedding").alias("vector"))
-    dense = retrieval.dense(rows, vectors, 15)
-    sparse = retrieval.bm25(corpus.read(spark, sf, "documents"), asked, 15).withColumnRenamed("doc_id", "chunk_id")
-    return retrieval.fuse([("dense", 0.6, dense), ("sparse", 0.4, sparse)], 5).select("query_id", "chunk_id", "score", "rank")
+    asked = corpus.read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    asked = asked.join(rows.select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id", "left")
+    return retrieval.retrieve(retrieval.build_bm25(corpus.read(spark, sf, "documents")), rows, asked, 5)
 
 
 @_query(f"""WITH a AS ({_dense_sql("true", 6)}), b AS ({_dense_sql("v.label = 3", 3)}), m AS (SELECT query_id, chunk_id, min(l * 1000 + rank) AS place FROM (SELECT *, 0 AS l FROM a UNION ALL SELECT *, 1 FROM b) GROUP BY ALL)
@@ -257,7 +266,17 @@ def merge_ranked(spark, sf):
     return retrieval.merge_ranked([retrieval.dense(rows, asked, 6), retrieval.dense(rows, asked, 3, F.col("label") == 3)], "chunk_id", 7)
 
 
-@_query()
+_LAST = lambda what: f"CASE WHEN contains(piece, {what}) THEN pos + length(piece) - (strpos(reverse(piece), reverse({what})) - 1) - length({what}) ELSE -1 END"
+#: Windows of 1945 characters that overlap by 193; stop: the last blank line, else the end of the last sentence, past the middle of the step.
+CHUNKS_SQL = f"""RECURSIVE cut(doc_id, pos, stop) AS (SELECT doc_id, CAST(-1 AS BIGINT), CAST(0 AS BIGINT) FROM documents UNION ALL
+  SELECT doc_id, pos, CASE WHEN pos + 1945 < n AND blank > pos + 876 THEN blank WHEN pos + 1945 < n AND sentence > pos + 876 THEN sentence + 1 ELSE pos + 1945 END FROM (
+    SELECT *, {_LAST("chr(10) || chr(10)")} AS blank, {_LAST("'. '")} AS sentence FROM (
+      SELECT c.doc_id, greatest(c.stop - 193, 0) AS pos, length(text) AS n, substr(text, greatest(c.stop - 193, 0) + 1, 1945) AS piece FROM cut c JOIN documents d USING (doc_id) WHERE greatest(c.stop - 193, 0) < length(text))) ),
+  chunks AS (SELECT doc_id, pos, regexp_replace(substr(text, pos + 1, stop - pos), '^\\s+|\\s+$', '', 'g') AS chunk_text FROM cut JOIN documents USING (doc_id) WHERE pos >= 0)"""
+
+
+@_query(f"""WITH {CHUNKS_SQL}, k AS (SELECT doc_id, chunk_text, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INT) AS chunk_index, CAST(count(*) OVER (PARTITION BY doc_id) AS INT) AS total_chunks FROM chunks WHERE chunk_text <> '')
+  SELECT doc_id, total_chunks, chunk_index, chunk_text, CAST(greatest(1, length(chunk_text) // 3) AS INT) AS token_estimate, substr(sha256(CAST(doc_id AS VARCHAR) || '::' || CAST(chunk_index AS VARCHAR) || '::' || substr(chunk_text, 1, 64)), 1, 24) AS chunk_id FROM k""")
 def chunk_text(spark, sf):
     d = corpus.read(spark, sf, "documents").select("doc_id", "text")
     return chunking.chunk_text(d, "doc_id", "text").drop("text")
@@ -303,21 +322,71 @@ def label_scores(spark, sf):
     return tagging.with_label(d, F.col("text"), gated, "label", "confidence").drop("text")
 
 
-@_query()
+def _first_ones(lists: str) -> str:
+    """SQL: the list's distinct values in their first order."""
+    return f"list_filter({lists}, lambda x, i: list_position({lists}, x) = i)"
+
+
+#: Ends for texts, so that the tags have something to find in invented prose.
+_ENDS = (
+    " On 2021-03-04 under Article 5(1) of the GDPR and Article 9a DSA, Article 9a DSA.", " A fine of £1,200 million; March 5, 2023.", " NPRM by the FTC and the FCC on 7 May 2022, USD 3.5 bn.",
+    " The European Parliament, the UK: EU Directive. Overruling.", " Guidelines of the CNIL, €12 and 03/04/2020.", " Regulation (EU) of Canada, $1,200 million", "",
+)
+_END_SQL = "text || [" + ", ".join(f"'{e}'" for e in _ENDS) + f"][doc_id % {len(_ENDS)} + 1]"
+
+
+def _with_ends(text: str = "text"):
+    return F.concat(text, F.element_at(F.array(*map(F.lit, _ENDS)), (F.col("doc_id") % len(_ENDS) + 1).cast("int")))
+
+
+def _plain(pattern: str) -> str:
+    return re.sub(r"[^\x00-\x7f£€]", "x", pattern).replace("'", "''")
+
+
+_COUNT_SQL = ", ".join(f"{' + '.join(f"len(regexp_extract_all(p, '(?i){_plain(x)}'))" for x, _ in ps)} AS n_{name}" for name, ps in tagging.JURISDICTION_PATTERNS.items())
+_MOST_SQL = f"greatest({', '.join(f'n_{n}' for n in tagging.JURISDICTION_PATTERNS)})"
+_MONTH = "(?:January|February|March|April|May|June|July|August|September|October|November|December)"
+_CITED = r"(?i)(Article\s+\d+[a-z]?(?:\(\d+\))?(?:\s+(?:of\s+)?(?:the\s+)?(?:GDPR|UK\s+GDPR|DSA|DMA|AI\s+Act))?)"
+_MONEY = r"(?i)(?:£|€|\$|USD|EUR|GBP)\s*([0-9][0-9,]*(?:\.[0-9]+)?)(?:\s*(million|billion|bn|m)\b)?"
+
+
+@_query(rf"""WITH {_REGS}, t AS (SELECT *, {_END_SQL.replace("text ||", "raw_text ||")} AS t FROM regs), p AS (SELECT *, regexp_replace(t, '[^\x00-\x7F\P{{L}}]', 'x', 'g') AS p FROM t), n AS (SELECT *, {_COUNT_SQL} FROM p),
+  f AS (SELECT *, regexp_extract_all(t, '{_CITED}', 1) AS c, regexp_extract_all(p, '{_MONEY}', 1) AS m, regexp_extract_all(p, '{_MONEY}', 2) AS w, regexp_extract(p, '\b(\d{{4}}-\d{{2}}-\d{{2}})\b', 1) AS iso,
+    regexp_extract(p, '\b(\d{{1,2}}\s+{_MONTH}\s+\d{{4}})\b', 1) AS dmy, regexp_extract(p, '\b({_MONTH}\s+\d{{1,2}},?\s+\d{{4}})\b', 1) AS mdy FROM n)
+  SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN jurisdiction WHEN {_MOST_SQL} = 0 THEN 'UNKNOWN' {' '.join(f"WHEN n_{n} = {_MOST_SQL} THEN '{n}'" for n in tagging.JURISDICTION_PATTERNS)} END AS jurisdiction,
+  CASE WHEN doc_id % 4 = 0 THEN regulation_type {' '.join(f"WHEN regexp_matches(p, '(?i){'|'.join(map(_plain, ps))}') THEN '{n}'" for n, ps in tagging.TYPE_PATTERNS)} ELSE 'Legal Document' END AS regulation_type,
+  CASE WHEN doc_id % 3 = 0 THEN effective_date WHEN iso <> '' THEN TRY_CAST(iso AS DATE) WHEN dmy <> '' THEN CAST(try_strptime(regexp_replace(dmy, '\s+', ' ', 'g'), '%d %B %Y') AS DATE)
+    WHEN mdy <> '' THEN CAST(try_strptime(regexp_replace(replace(mdy, ',', ''), '\s+', ' ', 'g'), '%B %d %Y') AS DATE) END AS effective_date,
+  array_to_string({_first_ones("c")}, '|') AS article_citations, CAST(len(m) AS INT) AS n_amounts,
+  round(list_sum(list_transform(range(1, len(m) + 1), lambda i: CAST(replace(m[i], ',', '') AS DOUBLE) * CASE WHEN lower(w[i]) IN ('million', 'm') THEN 1e6 WHEN lower(w[i]) IN ('billion', 'bn') THEN 1e9 ELSE 1 END)), 2) AS amounts, CAST(0 AS INT) AS named_entities_count,
+  CASE WHEN {_MOST_SQL} = 0 THEN 0.0 ELSE round(CAST({_MOST_SQL} AS DOUBLE) / ({' + '.join(f'n_{n}' for n in tagging.JURISDICTION_PATTERNS)}), 3) END AS confidence FROM f""")
 def tag_documents(spark, sf):
-    regs = corpus.regulations(spark, sf).withColumns({"jurisdiction": F.when(F.col("doc_id") % 2 == 0, F.col("jurisdiction")), "effective_date": F.when(F.col("doc_id") % 3 == 0, F.col("effective_date"))})
-    return tagging.tag_regulations(regs).select("doc_id", "jurisdiction", "regulation_type", "effective_date", "article_citations", "fine_amounts", "named_entities_count")
+    """Half of the rows without a jurisdiction, three quarters without a type, two thirds without a date."""
+    regs = corpus.regulations(spark, sf).withColumn("raw_text", _with_ends("raw_text")).withColumns({
+        "jurisdiction": F.when(F.col("doc_id") % 2 == 0, F.col("jurisdiction")), "regulation_type": F.when(F.col("doc_id") % 4 == 0, F.col("regulation_type")), "effective_date": F.when(F.col("doc_id") % 3 == 0, F.col("effective_date")),
+    })
+    money = F.from_json("fine_amounts", "array<double>")
+    return tagging.tag_regulations(regs).select(
+        "doc_id", "jurisdiction", "regulation_type", "effective_date", "article_citations", F.size(money).alias("n_amounts"), F.round(F.when(F.size(money) > 0, F.aggregate(money, F.lit(0.0), lambda a, x: a + x)), 2).alias("amounts"),
+        "named_entities_count", F.round(F.col("jurisdiction_confidence").cast("double"), 3).alias("confidence"),
+    )
 
 
 _SIGNAL_SQL = "CASE " + " ".join(f"WHEN {' OR '.join(f"contains(l, '{w}')" for w in ws)} THEN '{n}'" for n, ws in rewrite.SIGNALS.items()) + " ELSE 'UNKNOWN' END"
 _TYPE_SQL = "CASE " + " ".join(f"WHEN {' OR '.join(f"contains(l, '{w}')" for w in ws)} THEN '{n}'" for n, ws in rewrite.TYPES.items()) + " END"
 
 
-@_query(f"""SELECT item_id, {_SIGNAL_SQL} AS jurisdiction, {_TYPE_SQL} AS regulation_type, CASE WHEN {' OR '.join(f"contains(l, '{w}')" for w in rewrite.RECENT)} THEN 'recent' END AS temporal,
-  CASE WHEN {_SIGNAL_SQL} <> 'UNKNOWN' THEN 2 ELSE 1 END AS n_queries FROM (SELECT item_id, lower(text) AS l FROM benchmark)""")
+_TERMS_SQL = "flatten([" + ", ".join(f"regexp_extract_all(t, '(?i)({p})', 1)" for p in rewrite.TERMS) + "])"
+
+
+@_query(f"""WITH b AS (SELECT item_id, CASE item_id % 5 WHEN 0 THEN 'Article 12b and Section 7 of the GDPR: ' WHEN 1 THEN 'The DMA in 2031? ' WHEN 2 THEN 'latest AI Act, CELEX 32024R and CCPA ' WHEN 3 THEN 'GDPR, DSA, DMA, gdpr ' ELSE '' END || text AS t FROM benchmark),
+  c AS (SELECT *, lower(t) AS l, {_TERMS_SQL} AS f FROM b), d AS (SELECT *, {_first_ones("f")} AS terms, {_SIGNAL_SQL} AS jurisdiction FROM c)
+  SELECT item_id, jurisdiction, {_TYPE_SQL} AS regulation_type, CASE WHEN {' OR '.join(f"contains(l, '{w}')" for w in rewrite.RECENT)} THEN 'recent' WHEN regexp_matches(l, '\\b20[0-9][0-9]\\b') THEN regexp_extract(l, '\\b(20[0-9][0-9])\\b', 1) END AS temporal,
+  array_to_string(terms, '|') AS legal_terms, t || CASE WHEN jurisdiction <> 'UNKNOWN' THEN '||' || jurisdiction || ' regulation: ' || t ELSE '' END || CASE WHEN len(terms) > 0 THEN '||' || array_to_string(terms[1:3], ' ') || ' ' || t ELSE '' END AS all_queries FROM d""")
 def query_rewrite(spark, sf):
-    rows = rewrite.rewrite(corpus.read(spark, sf, "benchmark"), "text")
-    return rows.select("item_id", "jurisdiction", "regulation_type", "temporal", F.size("all_queries").alias("n_queries"))
+    head = F.element_at(F.array(*map(F.lit, ("Article 12b and Section 7 of the GDPR: ", "The DMA in 2031? ", "latest AI Act, CELEX 32024R and CCPA ", "GDPR, DSA, DMA, gdpr ", ""))), (F.col("item_id") % 5 + 1).cast("int"))
+    rows = rewrite.rewrite(corpus.read(spark, sf, "benchmark").select("item_id", F.concat(head, "text").alias("text")), "text")
+    return rows.select("item_id", "jurisdiction", "regulation_type", "temporal", F.array_join("legal_terms", "|").alias("legal_terms"), F.array_join("all_queries", "||").alias("all_queries"))
 
 
 _RULES = tuple(conflicts.Rule(t, a, (pa,), b, (pb,), s, t) for t, a, pa, b, pb, s in (("articles", "US", "% the %that%", "FR", "% les %", "high"), ("licences", "US", "%licensed under%", "DE", "%licensed under%", "low"), ("nothing", "US", "%qqq%", "DE", "%der%", "low")))
@@ -366,15 +435,22 @@ def landing_metrics(spark, sf):
     return records.health_row(_landed(spark, sf), "eurlex")
 
 
-@_query(f"""{_QUALITY_SQL}, f AS (SELECT count(*) AS n, count(*) FILTER (WHERE t IS NULL) AS no_title, count(*) FILTER (WHERE length(raw_text) < 20) AS short, count(*) - count(DISTINCT source_hash) AS twice FROM l)
-  SELECT n > 0 AS passed, CAST(20 AS BIGINT) AS total, CAST(n = 0 AS BIGINT) AS critical_failures, CAST(CAST(no_title > 0.05 * n AS INT) + CAST(short > 0 AS INT) + CAST(twice > 0 AS INT) + CAST(n < 5 AS INT) AS BIGINT) AS warnings FROM f""")
+@_query(f"""{_DIRTY_SQL}, f AS (SELECT count(*) AS n, count(*) FILTER (WHERE t IS NULL) AS no_title, count(*) FILTER (WHERE length(raw_text) < 20) AS short, count(*) - count(DISTINCT source_hash) AS twice,
+  count(*) FILTER (WHERE doc_id % 11 = 0) AS places, count(*) FILTER (WHERE doc_id % 13 = 0) AS urls, count(*) FILTER (WHERE doc_id % 19 = 0) AS dates, count(*) FILTER (WHERE doc_id % 23 = 0) AS hashes FROM b)
+  SELECT n > 0 AND hashes = 0 AS passed, CAST(19 AS BIGINT) + 1 AS total, CAST(n = 0 AS BIGINT) + CAST(hashes > 0 AS BIGINT) AS critical_failures,
+  CAST(CAST(no_title > 0.05 * n AS INT) + CAST(short > 0 AS INT) + CAST(twice > 0 AS INT) + CAST(n < 5 AS INT) + CAST(places > 0 AS INT) + CAST(urls > 0 AS INT) + CAST(dates > 0 AS INT) AS BIGINT) AS warnings FROM f""")
 def quality_summary(spark, sf):
-    return quality.summarize(quality.run_checks(_landed(spark, sf), "eurlex"))
+    return quality.summarize(quality.run_checks(_dirty(spark, sf), "eurlex"))
 
 
-@_query(f"WITH {_REGS} SELECT regulation_type, jurisdiction, substr(source_url, 1, 200) AS source_url, title, version_id FROM (SELECT * FROM regs) WHERE version_id > 0")
+@_query(f"""WITH {_REGS} SELECT regulation_type, coalesce(j, '') AS jurisdiction, source_url || repeat('/x', 150) AS source_url, substr(title || ' ' || raw_text, 1, 200) AS title, coalesce(v, 0) AS version_id
+  FROM (SELECT *, CASE WHEN doc_id % 3 > 0 THEN jurisdiction END AS j, CASE WHEN doc_id % 4 > 0 THEN version_id END AS v FROM regs)""")
 def vector_metadata(spark, sf):
-    regs = corpus.regulations(spark, sf).select(F.col("doc_id").cast("string").alias("chunk_id"), "regulation_type", "jurisdiction", "source_url", "title", "version_id")
+    """Titles longer than the cut, addresses that are not cut, nulls as empty or 0."""
+    regs = corpus.regulations(spark, sf).select(
+        F.col("doc_id").cast("string").alias("chunk_id"), "regulation_type", F.when(F.col("doc_id") % 3 > 0, F.col("jurisdiction")).alias("jurisdiction"), F.concat("source_url", F.repeat(F.lit("/x"), 150)).alias("source_url"),
+        F.concat_ws(" ", "title", "raw_text").alias("title"), F.when(F.col("doc_id") % 4 > 0, F.col("version_id")).alias("version_id"),
+    )
     return embedding.metadata(regs).select("metadata.*")
 
 
@@ -404,8 +480,11 @@ def wildcard_search(spark, sf):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    from . import more_queries  # noqa: F401  registers its own
+
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    queries()
+    return dict(SQL)

@@ -30,6 +30,8 @@ DOCUMENT_TYPES = {
     "Proposed Rule": "Proposed Rulemaking", "Rule": "Final Rule", "Notice": "Federal Notice", "Supporting & Related Material": "Supporting Material",
     "Public Submission": "Public Comment", "Other": "Other Federal Document",
 }
+#: Fixed value: an article, with a paragraph and the act if they follow.
+ARTICLE = r"(?i)(Article\s+\d+[a-z]?(?:\(\d+\))?(?:\s+(?:UK\s+)?GDPR)?)"
 AGENCIES = ("FCC", "FTC", "NTIA", "DOJ", "SEC", "CFPB", "DHS", "CISA")
 
 
@@ -101,7 +103,7 @@ def ftc(payloads: DataFrame, ingested_at: Column) -> DataFrame:
 
 def _ico(rows: DataFrame, ingested_at: Column) -> DataFrame:
     body = F.col("raw_text")
-    articles = F.array_distinct(F.regexp_extract_all(body, F.lit(r"(?i)(Article\s+\d+(?:\(\d+\))?(?:\([a-z]\))?)"), F.lit(1)))
+    articles = F.array_distinct(F.regexp_extract_all(body, F.lit(ARTICLE), F.lit(1)))
     return landed(rows.select(
         "title", F.lit("UK").alias("jurisdiction"), text.first_label(body, ICO_TYPES, "GDPR Enforcement Decision").alias("regulation_type"), "effective_date", "source_url", "raw_text",
         text.first_pounds(body).alias("fine_amount_gbp"), F.array_join(articles, "|").alias("gdpr_articles"),
