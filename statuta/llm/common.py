@@ -2,37 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from statuta.scratch import materialize, scratch_dir  # noqa: F401
+
 _U64 = np.uint64
 #: Byte for byte: A-Z to a-z, the rest unchanged.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared ``spark.checkpoint.dir``; a local one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="statuta-"))
-        root = spark.sparkContext.getCheckpointDir()
-    return f"{root.rstrip('/')}/statuta-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage is cut, lost executors lose nothing."""
-    path = scratch_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
