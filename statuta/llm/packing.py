@@ -30,11 +30,12 @@ from .mixing import WORD
 @dataclass(frozen=True)
 class PackParams:
     """pieces: a group over 1 / pieces of a shard, by bytes or rows, is placed first; one over a shard is split into items of
-    that size. block_groups: small groups that a block packs, about."""
+    that size. block_groups: small groups that a block packs, about. slices: parts in which a block's share of a shard is numbered."""
 
     shards: int = 16
     pieces: int = 128
-    block_groups: int = 50_000
+    block_groups: int = 20_000
+    slices: int = 16
 
 
 def pack(items: np.ndarray, residual: np.ndarray) -> np.ndarray:
@@ -96,13 +97,15 @@ def pack_shards(docs: DataFrame, params: PackParams = PackParams()) -> DataFrame
         ahead.append((r.h, r.part, s, used[s]))
         used[s] += r[5]
     ahead_large = spark.createDataFrame(ahead, "h long, part int, shard int, ahead long")
-    per_block = filled.groupBy("block", "shard").agg(F.sum("rows").alias("n"))
+    # numbered by slices of a block's shard, so that few blocks are no few tasks
+    filled = filled.withColumn("slice", F.pmod(F.xxhash64("h", F.lit(37)), F.lit(params.slices)).cast("int"))
+    per_block = filled.groupBy("block", "slice", "shard").agg(F.sum("rows").alias("n"))
     first = F.element_at(F.array(*map(F.lit, used)), F.col("shard") + 1)
-    before = F.coalesce(F.sum("n").over(W.partitionBy("shard").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ahead_small = per_block.select(F.col("block").alias("b"), F.col("shard").alias("s"), (first + before).cast("long").alias("ahead"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("shard").orderBy("block", "slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ahead_small = per_block.select(F.col("block").alias("b"), F.col("slice").alias("c"), F.col("shard").alias("s"), (first + before).cast("long").alias("ahead"))
     order = ("doc_id", "size", "text_crc32")
     rows = in_large.withColumn("rank", F.row_number().over(W.partitionBy("h", "part").orderBy(*order))).join(F.broadcast(ahead_large), ["h", "part"])
-    rest = slim.join(filled.select("h", "block", "shard"), "h").withColumn("rank", F.row_number().over(W.partitionBy("block", "shard").orderBy(*order)))
-    rest = rest.join(ahead_small, (rest.block == ahead_small.b) & (rest.shard == ahead_small.s))
+    rest = slim.join(filled.select("h", "block", "slice", "shard"), "h").withColumn("rank", F.row_number().over(W.partitionBy("block", "slice", "shard").orderBy(*order)))
+    rest = rest.join(ahead_small, (rest.block == ahead_small.b) & (rest["slice"] == ahead_small.c) & (rest.shard == ahead_small.s))
     out = [c.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("ahead") + F.col("rank") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")) for c in (rows, rest)]
     return out[0].unionByName(out[1])
