@@ -23,3 +23,17 @@ def parse_answer(answers: DataFrame, text: str, sections: tuple[str, ...]) -> Da
         out[f"section_{i + 1}"] = F.trim(F.regexp_extract(text, rf"(?is)\*\*{name}:\*\*\s*(.*?)\s*{end}", 1))
     rows = answers.withColumns(out)
     return rows.withColumn("section_1", F.when(F.col("section_1") == "", F.col(text)).otherwise(F.col("section_1")))
+
+
+def format_citations(cited: DataFrame, group: str, order: str) -> DataFrame:
+    """One row per group: "[i] title — article | jurisdiction (date) | address", a line per citation in order; article and date only where there are any.
+
+    ``cited``: group, order, title, article_ref, jurisdiction, effective_date, source_url. The citations of an answer are few.
+    """
+    given = lambda c: F.col(c).isNotNull() & (F.col(c).cast("string") != "")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    article = F.when(given("article_ref"), F.concat(F.lit(" — "), text("article_ref"))).otherwise("")
+    date = F.when(given("effective_date"), F.concat(F.lit(" ("), text("effective_date"), F.lit(")"))).otherwise("")
+    line = F.concat(text("title"), article, F.lit(" | "), text("jurisdiction"), date, F.lit(" | "), text("source_url"))
+    rows = cited.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("i"), line.alias("line")))).alias("c"))
+    return rows.select(group, F.array_join(F.transform("c", lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), x["line"])), "\n").alias("references"))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from statuta.functions import ids
 
+from .dedup import keep_first
+
 CHARS_PER_TOKEN = 3.8
 
 
@@ -46,6 +48,21 @@ def chunk_text(docs: DataFrame, key: str, text: str, tokens: int = 512, overlap:
     return _finish(rows, key)
 
 
+def chunk_documents(docs: DataFrame, key: str, text: str, blocks: DataFrame | None = None, order: list | None = None, tokens: int = 512, overlap: int = 51) -> DataFrame:
+    """Chunks of every document: by its structural blocks where ``blocks`` has any for its key, else by windows over its text.
+
+    Columns: those of ``docs`` but for the text, chunk_index, total_chunks, chunk_text, token_estimate, chunk_id and, of
+    blocks, page_number, block_type and references. Of several documents of a key with blocks the first by ``order`` counts.
+    """
+    if blocks is None:
+        return chunk_text(docs, key, text, tokens, overlap).drop(text)
+    known = blocks.where(F.trim("text") != "").select(key).distinct()
+    by_block = chunk_blocks(blocks.join(docs.select(key).distinct(), key, "left_semi"), key, tokens, overlap)
+    about = keep_first(docs.drop(text), key, order or [c for c in docs.columns if c not in (key, text)] or [key])
+    rest = docs.join(known, key, "left_anti")
+    return by_block.join(about, key).unionByName(chunk_text(rest, key, text, tokens, overlap).drop(text), allowMissingColumns=True)
+
+
 def _finish(rows: DataFrame, key: str) -> DataFrame:
     return rows.withColumns({"token_estimate": F.greatest(F.lit(1), F.floor(F.length("chunk_text") / int(CHARS_PER_TOKEN))).cast("int"), "chunk_id": ids.chunk_id(key, "chunk_index", "chunk_text")})
 

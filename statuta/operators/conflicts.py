@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,3 +85,29 @@ def compare_topics(hits: DataFrame, judge, texts: int = 2) -> DataFrame:
     pairs = a.join(b, "topic").where("jurisdiction_a < jurisdiction_b").withColumn("severity", judge("topic", "text_a", "text_b"))
     found = pairs.where("severity is not null").select("topic", "jurisdiction_a", "jurisdiction_b", F.col("id_a").alias("regulation_id_a"), F.col("id_b").alias("regulation_id_b"), "severity")
     return found.withColumn("signal_id", ids.signal_id("topic", "jurisdiction_a", "jurisdiction_b"))
+
+
+def topic_hits(search, jurisdictions: list[str], topics: DataFrame, k: int = 3) -> DataFrame:
+    """For ``compare_topics``: each topic (topic, and what the search needs) asked in each jurisdiction.
+
+    ``search(topics, jurisdiction, k)`` -> topic, rank, regulation_id, text: a retrieval with a filter on the jurisdiction.
+    """
+    return reduce(DataFrame.unionByName, [search(topics, j, k).select("topic", F.lit(j).alias("jurisdiction"), "rank", "regulation_id", "text") for j in jurisdictions])
+
+
+def detect_all(latest: DataFrame, hits: DataFrame | None = None, judge=None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Rules and, with ``hits`` and a ``judge``, compared topics: the first signal of each topic and pair."""
+    found = [detect_conflicts(latest, rules)]
+    if hits is not None and judge is not None:
+        found.append(compare_topics(hits, judge))
+    return merge_signals(found)
+
+
+def new_signals(stored: DataFrame, signals: DataFrame, detected_at: Column) -> DataFrame:
+    """The signals that ``stored`` lacks, as rows of its table: what an append has to add."""
+    from statuta import schema
+
+    from .store import unknown
+
+    rows, _ = schema.conform(signals.withColumn("detected_at", detected_at), schema.CONFLICT_SIGNALS)
+    return unknown(stored, rows, "signal_id")

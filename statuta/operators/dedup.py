@@ -104,3 +104,20 @@ def drop_similar(new: DataFrame, existing: DataFrame, threshold: float = 0.92) -
     near = pairs.join(old, "b").select("a", "src", "reg").distinct()
     other = (n.s == near.a) & ~n.source_name.eqNullSafe(near.src) & ~n.regulation_id.eqNullSafe(near.reg)
     return n.join(near, other, "left_anti").drop("s")
+
+
+def deduplicate(new: DataFrame, existing: DataFrame, order: str, threshold: float = 0.92, fuzzy: bool = True) -> tuple[DataFrame, DataFrame]:
+    """A batch against what is stored: rows of known texts go, amended regulations get the next versions, near-equal titles of other sources go.
+
+    Returns the rows left (status, version_id, old_hash added; new regulations are numbered from 1 in their order) and a report of
+    one row: input_rows, exact_dropped, amendments, similar_dropped, output_rows.
+    """
+    first = keep_first(new, "source_hash", order)
+    fresh = amendments(first.join(existing.select("source_hash").distinct(), "source_hash", "left_anti"), existing, order)
+    nth = F.row_number().over(W.partitionBy("regulation_id").orderBy(F.col("version_id").asc_nulls_last(), order)).cast("int")
+    fresh = fresh.withColumn("version_id", F.when(F.col("status") == "new", nth).otherwise(F.col("version_id")))
+    left = drop_similar(fresh, existing, threshold) if fuzzy else fresh
+    counts = [df.agg(F.count("*").alias("n"), *more) for df, more in ((new, []), (fresh, [F.count_if(F.col("status") == "amended").alias("amended")]), (left, []))]
+    report = counts[0].withColumnRenamed("n", "input_rows").crossJoin(counts[1].withColumnRenamed("n", "fresh")).crossJoin(counts[2].withColumnRenamed("n", "output_rows"))
+    report = report.select("input_rows", (F.col("input_rows") - F.col("fresh")).alias("exact_dropped"), F.col("amended").alias("amendments"), (F.col("fresh") - F.col("output_rows")).alias("similar_dropped"), "output_rows")
+    return left, report

@@ -1,13 +1,22 @@
-"""The batch pipeline over landed frames: merge, check, version, tag, store regulations, then their chunks."""
+"""The batch pipeline over landed frames: merge, check, deduplicate and version, tag, store regulations, chunks, vectors and a health row."""
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statuta import schema
 from statuta.functions.tagging import tag_regulations
-from statuta.operators import chunking, dedup, quality, store
+from statuta.operators import chunking, dedup, embedding, quality, store
+from statuta.scratch import materialize
+from statuta.sources import readers, records
+
+from . import views
+
+VECTORS = "chunk_id string, embedding array<float>"
 
 
 def as_landed(regs: DataFrame) -> DataFrame:
@@ -15,31 +24,61 @@ def as_landed(regs: DataFrame) -> DataFrame:
     return regs.withColumn("ingested_at", F.lit("2024-01-30").cast("timestamp"))
 
 
-def _table(spark: SparkSession, path: str, kind) -> DataFrame:
+def table(spark: SparkSession, path: str, kind) -> DataFrame:
+    """What is stored at a path; an empty table if nothing is."""
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
     return spark.read.schema(kind).parquet(path) if there else spark.createDataFrame([], kind)
 
 
-def run(spark: SparkSession, frames: list[DataFrame], warehouse: str, order: str = "doc_id", check: bool = True) -> dict[str, int]:
-    """One run; returns counts. Known hashes are dropped, amended regulations become new versions, chunks follow their version."""
+def run(
+    spark: SparkSession, frames: list[DataFrame], warehouse: str, order: str = "doc_id", check: bool = True, blocks: DataFrame | None = None,
+    model: Callable[[list[str]], list[list[float]]] | None = None, source: str = "merged",
+) -> dict[str, int]:
+    """One run; returns counts. What is stored is only appended to: known texts are dropped and amended regulations get new versions,
+    so a new row's key is never there yet.
+
+    ``blocks`` (regulation_id, block_idx, text, ...): structural blocks of some regulations, chunked by them. ``model``: texts to
+    vectors, applied to all chunks that aren't marked yet; those that it fails for are tried again by the next run. A health row
+    of the run is logged in any case.
+    """
+    started = time.time()
+    at = {name: f"{warehouse}/{name}" for name in ("regulations", "chunks", "vectors", "pipeline_health")}
     merged = dedup.union_first(frames, "source_hash", order)
     if check:
         quality.gate(merged)
-    regs_at, chunks_at = f"{warehouse}/regulations", f"{warehouse}/chunks"
-    old = _table(spark, regs_at, schema.REGULATIONS)
-    known = old.select("source_hash").distinct()
-    fresh = dedup.amendments(merged.join(known, "source_hash", "left_anti"), old, order)
-    # within one run several new versions of one unknown regulation keep their own numbers
-    rows, _ = schema.conform(tag_regulations(fresh), schema.REGULATIONS)
-    rows = rows.persist()
-    try:
-        added = rows.count()
-        store.replace(spark, store.upsert(old, rows, ["regulation_id", "version_id"], ["source_hash", "title", "raw_text", "ingested_at"]), regs_at)
-        cut = chunking.chunk_text(rows, "regulation_id", "raw_text").drop("raw_text").withColumnsRenamed({"chunk_text": "text"})
-        chunks, _ = schema.conform(cut.withColumn("block_type", F.lit("body")), schema.CHUNKS)
-        store.replace(spark, store.insert_ignore(_table(spark, chunks_at, schema.CHUNKS), dedup.keep_first(chunks, "chunk_id", "version_id"), "chunk_id"), chunks_at)
-    finally:
-        rows.unpersist()
-    return {"new": added, "regulations": spark.read.parquet(regs_at).count(), "chunks": spark.read.parquet(chunks_at).count()}
+    old = table(spark, at["regulations"], schema.REGULATIONS)
+    fresh, report = dedup.deduplicate(merged, old, order)
+    rows, drift = schema.conform(tag_regulations(fresh), schema.REGULATIONS)
+    rows = materialize(rows)
+    counts = {k: v for k, v in report.first().asDict().items()}
+    rows.write.mode("append").parquet(at["regulations"])
+    slim = rows.select("regulation_id", "version_id", "jurisdiction", "regulation_type", "effective_date", "source_url", "raw_text")
+    cut = chunking.chunk_documents(slim, "regulation_id", "raw_text", blocks, [F.col("version_id").desc()]).withColumnRenamed("chunk_text", "text")
+    body = F.coalesce("block_type", F.lit("body")) if "block_type" in cut.columns else F.lit("body")
+    chunks, _ = schema.conform(cut.withColumn("block_type", body), schema.CHUNKS)
+    new = materialize(store.unknown(table(spark, at["chunks"], schema.CHUNKS), chunks, "chunk_id", ["version_id"]))
+    new.write.mode("append").parquet(at["chunks"])
+    embedded = 0
+    if model is not None:
+        embedded = embed_chunks(spark, warehouse, model)
+    health = records.run_metrics(merged, source, started, time.time(), drift)
+    readers.new_health(table(spark, at["pipeline_health"], schema.PIPELINE_HEALTH), health).write.mode("append").parquet(at["pipeline_health"])
+    return {"new": rows.count(), "regulations": spark.read.parquet(at["regulations"]).count(), "chunks": spark.read.parquet(at["chunks"]).count(), "embedded": embedded, **counts}
+
+
+def embed_chunks(spark: SparkSession, warehouse: str, model: Callable[[list[str]], list[list[float]]], name: str = "parquet") -> int:
+    """Vectors of the stored chunks that have none yet; marks those that got one. Returns their number."""
+    chunks_at, vectors_at = f"{warehouse}/chunks", f"{warehouse}/vectors"
+    chunks = spark.read.schema(schema.CHUNKS).parquet(chunks_at)
+    done = materialize(embedding.embed(chunks.where("vector_store is null").select("chunk_id", "text"), "text", model).where("embedding is not null").select("chunk_id", "embedding"))
+    store.replace(spark, embedding.upsert_vectors(table(spark, vectors_at, VECTORS), done), vectors_at)
+    marked = store.mark(chunks, "chunk_id", done, {"vector_store": name})
+    now = F.current_timestamp()
+    store.replace(spark, marked.withColumn("embedded_at", F.when(F.col("embedded_at").isNull() & F.col("vector_store").isNotNull(), now).otherwise(F.col("embedded_at"))), chunks_at)
+    return done.count()
+
+
+def latest(spark: SparkSession, warehouse: str) -> DataFrame:
+    return views.regulations_latest(table(spark, f"{warehouse}/regulations", schema.REGULATIONS))

@@ -45,12 +45,12 @@ def total_counts(regs: DataFrame, chunks: DataFrame, conflicts: DataFrame, healt
     return one
 
 
-def browse(regs: DataFrame, jurisdiction: str | None = None, regulation_type: str | None = None, limit: int = 100, latest_only: bool = True) -> DataFrame:
-    """Newest first; filters reach the scan."""
+def browse(regs: DataFrame, jurisdiction: str | list[str] | None = None, regulation_type: str | list[str] | None = None, limit: int = 100, latest_only: bool = True) -> DataFrame:
+    """Newest first; filters, a value or a list of them, reach the scan."""
     rows = regs
     for column, value in (("jurisdiction", jurisdiction), ("regulation_type", regulation_type)):
         if value is not None:
-            rows = rows.where(F.col(column) == value)
+            rows = rows.where(F.col(column).isin(value))
     return (regulations_latest(rows) if latest_only else rows).orderBy(F.col("effective_date").desc_nulls_last(), "regulation_id", "version_id").limit(limit)
 
 
@@ -94,3 +94,9 @@ def last_turns(turns: DataFrame, group: str, order: str, n: int = 5) -> DataFram
     """The last n rows of each group, newest first (place 1)."""
     rows = turns.withColumn("place", F.row_number().over(W.partitionBy(group).orderBy(F.col(order).desc())))
     return rows.where(F.col("place") <= n)
+
+
+def value_counts(df: DataFrame, column: str) -> DataFrame:
+    """One row: a map of the column's values, nulls left out, to their numbers of rows. For columns of few values."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+    return counts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(column, "n")))).alias("counts"))

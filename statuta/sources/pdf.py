@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PAGES = "path string, method string, errors array<string>, page_number int, text string"
 
@@ -15,6 +16,14 @@ def read_pdfs(spark: SparkSession, path: str, extractors: Sequence[tuple[str, Ca
     return extract(spark.read.format("binaryFile").load(path).select("path", "content"), extractors)
 
 
+def read_urls(requests: DataFrame, get: Callable[[str], bytes | None], extractors: Sequence[tuple[str, Callable[[bytes], list[str]]]]) -> DataFrame:
+    """Pages of the PDF files at ``requests`` (url), fetched by tasks; one that can't be fetched has method "none"."""
+    from .readers import fetch_bytes
+
+    found = fetch_bytes(requests.select("url"), get)
+    return extract(found.select(F.col("url").alias("path"), F.coalesce("payload", F.lit(b"")).alias("content")), extractors)
+
+
 def extract(files: DataFrame, extractors: Sequence[tuple[str, Callable[[bytes], list[str]]]]) -> DataFrame:
     """``files`` (path, content) -> PAGES."""
 

@@ -5,7 +5,10 @@ Fetching is apart (``readers``): what comes back is landed as it is, and parsing
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+from urllib.parse import urlencode
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statuta.functions import ids, text
@@ -133,6 +136,41 @@ def ico_html(pages: DataFrame, ingested_at: Column, limit: int) -> DataFrame:
     return _ico(rows.select("title", F.lit(None).cast("string").alias("effective_date"), "source_url", F.concat(F.col("title"), F.lit(" GDPR enforcement ICO UK")).alias("raw_text")), ingested_at)
 
 
+def ico_with_fallback(feed: DataFrame, pages: DataFrame, ingested_at: Column, limit: int) -> DataFrame:
+    """The feed's first ``limit`` items or, if it has none, those of the HTML list."""
+    rows = ico(feed, ingested_at)
+    return (ico_html(pages, ingested_at, limit) if rows.isEmpty() else rows).limit(limit)
+
+
+# What is asked of the public SPARQL service: works in force from a date on, titles and kinds in English, newest first.
+SPARQL = """
+PREFIX cdm: <http://publications.europa.eu/ontology/cdm#>
+PREFIX skos: <http://www.w3.org/2004/02/skos/core#>
+PREFIX dc: <http://purl.org/dc/elements/1.1/>
+PREFIX xsd: <http://www.w3.org/2001/XMLSchema#>
+SELECT DISTINCT ?work ?title ?date ?type ?celex WHERE {
+  ?work cdm:work_date_document ?date ; cdm:resource_legal_id_celex ?celex .
+  OPTIONAL { ?work dc:title ?title . FILTER(lang(?title) = "en") }
+  OPTIONAL { ?work cdm:work_has_resource-type ?kind . ?kind skos:prefLabel ?type . FILTER(lang(?type) = "en") }
+  FILTER(?date >= "%s"^^xsd:date && STRSTARTS(STR(?celex), "3"))
+} ORDER BY DESC(?date) LIMIT %d
+"""
+
+
+def sparql_request(spark: SparkSession, endpoint: str, since: str, limit: int) -> DataFrame:
+    """The one request (url) that ``eurlex`` parses the answer of."""
+    query = urlencode({"query": SPARQL % (since, limit), "format": "application/sparql-results+json"})
+    return spark.createDataFrame([(f"{endpoint}?{query}",)], "url string")
+
+
+def run_metrics(rows: DataFrame, source: str, started: float, ended: float, drift: bool = False, errors: list[str] = [], sla: float = 300.0) -> DataFrame:
+    """A health row of a source's run: rows, duplicates, null rate, and whether it took under ``sla`` seconds."""
+    return health_row(rows, source).withColumns({
+        "run_id": ids.run_id(F.lit(source), F.lit(str(started))), "run_at": F.timestamp_seconds(F.lit(started)), "elapsed_seconds": F.lit(ended - started), "sla_met": F.lit(ended - started < sla),
+        "schema_drift": F.lit(drift), "errors": F.lit(json.dumps(errors)),
+    })
+
+
 def health_row(rows: DataFrame, source: str, columns: list[str] = ["title", "jurisdiction", "regulation_type", "effective_date", "raw_text"]) -> DataFrame:
     """Rows, duplicate hashes and the mean null rate of a landed batch."""
     rate = sum((F.avg(F.col(c).isNull().cast("double")) for c in columns[1:]), F.avg(F.col(columns[0]).isNull().cast("double"))) / len(columns)
