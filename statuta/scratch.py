@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders made inside each ``tidy`` call that is running, the innermost last.
+_MADE: list[list[str]] = []
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``; where that is unset, below the context's checkpoint folder, else a
@@ -16,7 +21,10 @@ def scratch_dir(spark: SparkSession) -> str:
         root = tempfile.mkdtemp(prefix="statuta-")
         spark.sparkContext.setCheckpointDir(root)
     root = root or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/statuta-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/statuta-{uuid.uuid4().hex}"
+    if _MADE:
+        _MADE[-1].append(path)
+    return path
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -24,3 +32,28 @@ def materialize(df: DataFrame) -> DataFrame:
     path = scratch_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tidy(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A function whose result is written to a folder of its own; the tables that it made on the way are then removed."""
+
+    @wraps(build)
+    def run(*args, **kwargs) -> DataFrame:
+        _MADE.append([])
+        try:
+            found = build(*args, **kwargs)
+            made = _MADE.pop()
+        except BaseException:
+            _MADE.pop()
+            raise
+        kept = materialize(found)
+        remove(found.sparkSession, made)
+        return kept
+
+    return run
