@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordHashes, materialize, mix, shuffle_partitions, text_bytes
+from .common import LOWER, WordHashes, materialize, mix, shuffle_partitions, text_bytes, tidy
 
 _U64 = np.uint64
 _START, _END = _U64(0x5354415254), _U64(0x454E44)
@@ -258,6 +258,7 @@ def _score_block(given: pa.Table, model: pa.Table, p: LmParams, bits: int, corpu
     })
 
 
+@tidy
 def score_texts(docs: DataFrame, held_out, params: LmParams = LmParams()) -> DataFrame:
     """Score every row of ``docs`` (doc_id, text) with a model of the rows where ``held_out`` isn't true.
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidy
 
 #: Flips of one segment at one distance that a task makes at most (32 MB).
 MAX_FLIPS = 1 << 22
@@ -211,6 +211,7 @@ def _nearer(state: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     return state.join(new, "q", "left").select("q", best.alias("best"))
 
 
+@tidy
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """For each row of ``queries`` its k nearest rows of ``vectors``: query_id, rank (from 1), neighbor_id, distance."""
     entries = materialize(_first_ids(materialize(binary_codes(vectors, id_column, vector)), k))

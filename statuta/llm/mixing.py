@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidy
 
 #: Runs of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -50,6 +50,7 @@ def seeded_order(doc_id: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))).cast("binary"))
 
 
+@tidy
 def mix_sources(docs: DataFrame, weights: list[float], budget: float = 1.5, max_epochs: float = 2.0, seed: int = 17, keys: list[str] | None = None) -> DataFrame:
     """``docs`` (doc_id, source, text and ``keys``) -> doc_id, *keys, source, size, source_size, target, taken.
 

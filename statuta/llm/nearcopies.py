@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, materialize, mix, text_bytes
+from .common import LOWER, materialize, mix, text_bytes, tidy
 from .simhash import components
 
 _U64 = np.uint64
@@ -81,6 +81,7 @@ def _mapped(docs: DataFrame, keep: list[str], shingle: int, name: str, of) -> Da
     return docs.select(*keep, text_bytes().alias("__text")).mapInArrow(run, kind)
 
 
+@tidy
 def near_copies(docs: DataFrame, keep: list[str], shingle: int = 5, least: float = 0.8) -> DataFrame:
     """The columns ``keep`` of ``docs`` (doc_id among them), ``root`` and ``component_id``, for every row."""
     marked = docs.withColumn("__th", F.xxhash64(text_bytes()))

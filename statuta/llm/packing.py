@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidy
 from .mixing import WORD
 
 
@@ -52,6 +52,7 @@ def pack(items: np.ndarray, residual: np.ndarray) -> np.ndarray:
     return out
 
 
+@tidy
 def pack_shards(docs: DataFrame, params: PackParams = PackParams()) -> DataFrame:
     """``docs`` (doc_id, text) -> doc_id, size, text_crc32, law, shard, slot, grown_shard, for every row."""
     spark = docs.sparkSession

@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidy
 
 
 @dataclass(frozen=True)
@@ -139,6 +139,7 @@ def _spans(order: int, k: Kind) -> Column:
     return F.when(lengths.isNotNull(), F.transform(hits, span))
 
 
+@tidy
 def candidates(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns ``keep`` and ``cands``: spans with kind, start, end, base, votes and shape, for every row."""
     text = F.coalesce("text", F.lit(""))
@@ -149,7 +150,7 @@ def candidates(docs: DataFrame, keep: list[str]) -> DataFrame:
     with_sums = materialize(with_sums.select("*", *[F.when(F.col(f"l_{k.name}").isNotNull(), _blocks(F.col(f"l_{k.name}"))).alias(f"b_{k.name}") for k in KINDS]))
     each = [_spans(order, k) for order, k in enumerate(KINDS)]
     empty = F.array().cast("array<struct<start:int,order:int,end:int,kind:string,base:boolean,pattern:int,gazetteer:int,context:int,touching:int,shape:string>>")
-    return materialize(with_sums.select(*keep, F.concat(*[F.coalesce(e, empty) for e in each]).alias("cands")))
+    return with_sums.select(*keep, F.concat(*[F.coalesce(e, empty) for e in each]).alias("cands"))
 
 
 def estimate_reliability(patterns: DataFrame, rounds: int = 10) -> tuple[float, dict]:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, materialize, shuffle_partitions, text_bytes
+from .common import LOWER, materialize, shuffle_partitions, text_bytes, tidy
 
 _U64 = np.uint64
 _PAIRS = 2_000_000
@@ -244,6 +244,7 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
+@tidy
 def near_duplicates(docs: DataFrame, keep: list[str], threshold: int = 4) -> DataFrame:
     """The columns ``keep`` of ``docs`` (doc_id among them), ``fp`` and ``component_id``, for every row."""
     rows = materialize(with_fingerprint(docs, keep))

@@ -3,8 +3,8 @@
 Documents are put in ascending order of doc_id, dealt to shards of neighbouring ids, tokenized and followed by an end id. Each
 shard becomes one Arrow file whose rows are sequences of ``seq_len`` ids (fixed-size list of the narrowest unsigned type
 that holds the vocabulary), a mask (fixed-size list of booleans, false on the padding that ends a shard) and the
-documents that end in the sequence with their end places. Files are written under a temporary name and renamed, with a
-table of what each holds beside them, so a task that runs twice leaves one file. ``TokenFile`` maps a file into memory:
+documents that end in the sequence with their end places. Files are written under a temporary name and renamed; a manifest
+names those that count, with their SHA-1, and readers go by it, so a task that runs twice does no harm. ``TokenFile`` maps a file into memory:
 a sequence is a view of it, found by its number alone.
 
 Nulls and odd rows: a null text is an empty one and holds the end id only; null ids come first; rows of one id are ordered by
@@ -17,7 +17,6 @@ from __future__ import annotations
 import json
 import math
 import re
-import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -27,13 +26,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.fs as pafs
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import range_bounds, range_shard, shuffle_partitions
+from .common import Hashed, range_bounds, range_shard, read_committed, shuffle_partitions
 
 
 @dataclass(frozen=True)
@@ -190,13 +188,10 @@ class _Writer:
     ROWS = 256
 
     def __init__(self, root: str, shard: int, p: TokenParams, kind):
-        self.fs, base = pafs.FileSystem.from_uri(root)
-        self.fs.create_dir(base, recursive=True)
-        self.name, self.temp = f"{base}/tokens-{shard:07d}.arrow", f"{base}/_tokens-{shard:07d}-{uuid.uuid4().hex}"
         self.p, self.kind, self.shard = p, np.dtype(kind), shard
-        schema = _schema(p, kind).with_metadata({"shard": str(shard)})
-        self.out = self.fs.open_output_stream(self.temp)
-        self.ipc, self.schema = pa.ipc.new_file(self.out, schema), schema
+        self.schema = _schema(p, kind).with_metadata({"shard": str(shard)})
+        self.out = Hashed(root, f"tokens-{shard:07d}.arrow")
+        self.ipc = pa.ipc.new_file(pa.PythonFile(self.out, mode="w"), self.schema)
         self.held, self.ends, self.written, self.docs, self.tokens = [], [], 0, 0, 0
 
     def add(self, doc_ids: pa.Array, ids: np.ndarray, counts: np.ndarray) -> None:
@@ -228,13 +223,15 @@ class _Writer:
             names, ends = names[done:], ends[done:]
         self.held, self.ends = [ids[rows * n :]], [(names, ends)]
 
-    def close(self) -> tuple[int, int, int, int]:
+    def close(self) -> tuple[int, str, int, int, int, str]:
+        """The file's row of the manifest."""
         if left := sum(map(len, self.held)):
             self._write(-(-left // self.p.seq_len))
         self.ipc.close()
-        self.out.close()
-        self.fs.move(self.temp, self.name)
-        return self.shard, self.docs, self.tokens, self.written
+        return self.shard, self.out.file, self.docs, self.tokens, self.written, self.out.commit()
+
+
+MANIFEST = "shard long, file string, docs long, tokens long, sequences long, sha1 string"
 
 
 def _runs(shards: np.ndarray, texts: pa.Array, size: int = 8 << 20) -> Iterator[tuple[int, int]]:
@@ -249,12 +246,14 @@ def _runs(shards: np.ndarray, texts: pa.Array, size: int = 8 << 20) -> Iterator[
 
 
 def write_tokens(docs: DataFrame, root: str, params: TokenParams) -> DataFrame:
-    """Write ``docs`` (doc_id: integer, text) below ``root``; returns the written table of files (shard, docs, tokens, sequences)."""
+    """Write ``docs`` (doc_id: integer, text) below ``root``; returns the manifest (shard, file, docs, tokens, sequences, sha1), a row a file."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(math.ceil(size / params.shard_bytes), shuffle_partitions(spark))
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    placed = given.select(range_shard("doc_id", range_bounds(given, "doc_id", shards)).alias("shard"), "doc_id", "text")
+    # null ids are the lowest; rows of one id stand by a hash of their text
+    key, tie = F.coalesce("doc_id", F.lit(-(2**63))), F.xxhash64("text")
+    placed = given.select(range_shard(spark, key, tie, range_bounds(given, key, tie, shards)).alias("shard"), "doc_id", "text")
     placed = placed.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,10 +267,11 @@ def write_tokens(docs: DataFrame, root: str, params: TokenParams) -> DataFrame:
                     writer = _Writer(root, shard, params, encoder.type)
                 writer.add(batch.column(1)[start:end], *encoder.ids(batch.column(2)[start:end], params.end_id))
         done += [writer.close()] if writer else []
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*done) if done else ([],) * 4)], names=["shard", "docs", "tokens", "sequences"])
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done) if done else ([],) * 6, kinds)], names=["shard", "file", "docs", "tokens", "sequences", "sha1"])
 
-    placed.mapInArrow(write, "shard long, docs long, tokens long, sequences long").write.parquet(f"{root}/files")
-    return spark.read.schema("shard long, docs long, tokens long, sequences long").parquet(f"{root}/files")
+    placed.mapInArrow(write, MANIFEST).write.parquet(f"{root}/files")
+    return spark.read.schema(MANIFEST).parquet(f"{root}/files")
 
 
 def _documents(data: pa.Buffer) -> Iterator[tuple]:
@@ -294,21 +294,19 @@ def _documents(data: pa.Buffer) -> Iterator[tuple]:
 
 
 def read_tokens(spark: SparkSession, root: str) -> DataFrame:
-    """The documents of all files below ``root``: doc_id, start (ids before it), n_tokens, ids_crc32."""
-    files = spark.read.schema("shard long, docs long, tokens long, sequences long").parquet(f"{root}/files")
-    base = files.select(F.col("shard").alias("s"), F.coalesce(F.sum("tokens").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    """The documents of all files that the manifest below ``root`` names: doc_id, start (ids before it), n_tokens, ids_crc32."""
+    files = spark.read.schema(MANIFEST).parquet(f"{root}/files")
+    # one row a file: a window over the manifest alone
+    base = F.coalesce(F.sum("tokens").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    named = files.select("file", "sha1", base.alias("base"))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                shard = int(re.search(r"tokens-(\d+)\.arrow$", name)[1])
-                rows = [(shard, doc_id, place, len(ids), zlib.crc32(ids)) for doc_id, place, ids in _documents(data.as_buffer())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["shard", "doc_id", "place", "n_tokens", "ids_crc32"])
-
-    if files.isEmpty():
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    found = spark.read.format("binaryFile").load(f"{root}/tokens-*.arrow").select("path", "content").mapInArrow(parse, "shard long, doc_id long, place long, n_tokens long, ids_crc32 long")
-    return found.join(base, found.shard == base.s).select("doc_id", (F.col("base") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
+            for name, sha1, base in zip(*(c.to_pylist() for c in batch.columns)):
+                rows = [(doc_id, base + place, len(ids), zlib.crc32(ids)) for doc_id, place, ids in _documents(read_committed(root, name, sha1))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    return named.repartition(max(1, min(files.count(), 10_000)), "file").mapInArrow(parse, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 class TokenFile:

@@ -25,11 +25,10 @@ from dataclasses import dataclass
 from urllib.parse import quote
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, range_bounds, range_shard, shuffle_partitions, text_bytes
+from .common import Hashed, materialize, range_bounds, range_shard, read_committed, shuffle_partitions, text_bytes
 
 
 @dataclass(frozen=True)
@@ -65,26 +64,19 @@ def record(page_id: int | None, url: str | None, payload: bytes | None, digest:
 
 class _Shard:
     def __init__(self, root: str, shard: int, p: WarcParams):
-        self.fs, self.base = pafs.FileSystem.from_uri(root)
-        self.fs.create_dir(self.base, recursive=True)
-        self.shard, self.p, self.files, self.out = shard, p, [], None
+        self.root, self.shard, self.p, self.files, self.out = root, shard, p, [], None
 
     def add(self, data: bytes) -> None:
         if self.out is None:
-            self.temp = f"{self.base}/_part-{self.shard:07d}-{len(self.files):05d}-{uuid.uuid4().hex}"
-            self.out, self.size, self.records, self.sha = self.fs.open_output_stream(self.temp), 0, 0, hashlib.sha1()
+            self.out, self.records = Hashed(self.root, f"part-{self.shard:07d}-{len(self.files):05d}.warc.gz"), 0
         self.out.write(data)
-        self.sha.update(data)
-        self.size, self.records = self.size + len(data), self.records + 1
-        if self.size >= self.p.roll_bytes:
+        self.records += 1
+        if self.out.size >= self.p.roll_bytes:
             self.roll()
 
     def roll(self) -> None:
         if self.out is not None:
-            name = f"part-{self.shard:07d}-{len(self.files):05d}.warc.gz"
-            self.out.close()
-            self.fs.move(self.temp, f"{self.base}/{name}")
-            self.files.append((self.shard, name, self.records, self.size, self.sha.hexdigest()))
+            self.files.append((self.shard, self.out.file, self.records, self.out.size, self.out.commit()))
             self.out = None
 
 
@@ -106,9 +98,12 @@ def write_warc(pages: DataFrame, root: str, params: WarcParams = WarcParams()) -
     spark = pages.sparkSession
     size = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
     shards = max(math.ceil(size / params.shard_bytes), shuffle_partitions(spark))
-    bounds = range_bounds(pages, "page_id", shards)
+    # null ids are the highest; pages of one id stand by their digests
+    key = F.coalesce(F.col("page_id").cast("long"), F.lit(2**63 - 1))
+    tie = lambda digest: F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+    bounds = range_bounds(pages, key, tie(F.sha1(text_bytes("html"))), shards)
     rows = mark_revisits(pages, params.min_bytes)
-    placed = rows.withColumn("shard", F.when(F.col("page_id").isNull(), F.lit(shards - 1)).otherwise(range_shard("page_id", bounds)))
+    placed = rows.withColumn("shard", range_shard(spark, key, tie(F.col("digest")), bounds))
     placed = placed.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "digest", "url")
     placed = placed.select("shard", "page_id", "url", "payload", "digest", "size", "refers_to")
 
@@ -165,10 +160,9 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def read_warc(spark: SparkSession, root: str) -> DataFrame:
-    """All records below ``root``: page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload."""
+    """All records of the files that the manifest below ``root`` names: page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload."""
     out = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
-    if spark.read.schema(MANIFEST).parquet(f"{root}/manifest").isEmpty():
-        return spark.createDataFrame([], out)
+    files = spark.read.schema(MANIFEST).parquet(f"{root}/manifest")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = lambda x: None if x is None or x == "None" else int(x)
@@ -179,9 +173,9 @@ def read_warc(spark: SparkSession, root: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
         for batch in batches:
-            for data in batch.column(0):
+            for name, sha1 in zip(*(c.to_pylist() for c in batch.columns)):
                 rows, size = [], 0
-                for member in members(memoryview(data.as_buffer())):
+                for member in members(memoryview(read_committed(root, name, sha1))):
                     f, payload = parse_record(member)
                     rows.append((number(f.get("X-Page")), int(f["X-Payload-Length"]), f["WARC-Payload-Digest"][5:], f["WARC-Type"], number(f.get("X-Refers-To-Page")), f["WARC-Target-URI"], payload if f["WARC-Type"] == "response" else None))
                     size += len(payload)
@@ -191,4 +185,4 @@ def read_warc(spark: SparkSession, root: str) -> DataFrame:
                 if rows:
                     yield batch_of(rows)
 
-    return spark.read.format("binaryFile").load(f"{root}/part-*.warc.gz").select("content").mapInArrow(parse, out)
+    return files.select("file", "sha1").repartition(max(1, min(files.count(), 10_000)), "file").mapInArrow(parse, out)

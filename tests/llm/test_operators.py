@@ -444,3 +444,39 @@ def test_lm_few_texts_in_many_blocks(spark):
     assert got.keys() == want.keys()
     for i, r in got.items():
         assert (r.n_tokens, r.train_tokens) == (want[i].n_tokens, want[i].train_tokens) and abs(r.score - want[i].score) < 1e-9
+
+
+def test_second_attempt_of_a_task(spark, tmp_path):
+    """A task that runs again leaves one file, and a file that no manifest names isn't read."""
+    from tokenizers import Tokenizer  # noqa: F401
+
+    p = tokens.TokenParams(public_tokenizers.path("word_bpe_49k.json"), seq_len=8)
+    docs = spark.createDataFrame([(i, f"text number {i}") for i in range(50)], "doc_id long, text string")
+    root = scratch_dir(spark)
+    tokens.write_tokens(docs, root, p)
+    before = sorted(map(tuple, tokens.read_tokens(spark, root).collect()))
+    name = spark.read.parquet(f"{root}/files").first()
+    again = tokens._Writer(root, name.shard, p, np.uint16)
+    encoder = tokens._encoder(p.tokenizer)
+    rows = sorted((r.doc_id, r.n_tokens) for r in tokens.read_tokens(spark, root).collect())
+    import pyarrow as pa
+
+    mine = [i for i, _ in rows][: name.docs] if name.shard == 0 else None
+    if mine:
+        again.add(pa.array(mine), *encoder.ids(pa.array([f"text number {i}" for i in mine]), 1))
+        assert again.close()[5] == name.sha1
+    stray = tokens._Writer(root, 999, p, np.uint16)
+    stray.add(pa.array([7]), *encoder.ids(pa.array(["stray"]), 1))
+    stray.close()
+    assert sorted(map(tuple, tokens.read_tokens(spark, root).collect())) == before
+
+
+def test_ranges_cut_inside_a_hot_key(spark):
+    from statuta.llm.common import range_bounds, range_shard
+
+    df = spark.range(4000).select(F.when(F.col("id") % 2 == 0, 5).otherwise(F.col("id")).cast("long").alias("k"), F.xxhash64("id").alias("t"))
+    cuts = range_bounds(df, F.col("k"), F.col("t"), 16)
+    rows = df.withColumn("s", range_shard(spark, F.col("k"), F.col("t"), cuts)).collect()
+    assert max(Counter(r.s for r in rows).values()) < 600 and len({r.s for r in rows}) == 16
+    order = sorted(rows, key=lambda r: (r.k, r.t))
+    assert [r.s for r in order] == sorted(r.s for r in rows)
