@@ -1,7 +1,7 @@
 """Toxicity scores: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features of a text are the distinct 32-bit hashes of its lower-cased words without punctuation, of neighbouring word pairs and
-of pairs with one word between. A bounded, hash-chosen sample of labelled rows is dealt to shards; each
+of pairs with one word between. A bounded, hash-chosen sample of labelled rows is dealt to shards, a task each; each
 shard runs FTRL-proximal (a learning rate per coordinate, L1 and L2) and the shards' weights are averaged.
 L1 leaves few weights, which are broadcast and applied to every text in one scan without a shuffle.
 
@@ -31,16 +31,17 @@ _WORDS = bytes((b + 32 if 65 <= b <= 90 else b) if b >= 128 or chr(b).isalnum()
 @dataclass(frozen=True)
 class Ftrl:
     """alpha, beta: the per-coordinate rate; l1, l2: penalties; positive: weight of a toxic row's gradient.
-    max_train bounds the labelled rows that are fitted."""
+    max_train bounds the labelled rows that are fitted, max_weights the weights that are broadcast."""
 
     alpha: float = 3.0
     beta: float = 1.0
-    l1: float = 8.0
+    l1: float = 16.0
     l2: float = 0.1
     positive: float = 3.0
     epochs: int = 4
     max_train: int = 40_000
     rows_per_shard: int = 5_000
+    max_weights: int = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -79,23 +80,31 @@ def _groups(texts: list[bytes], size: int = 4 << 20) -> Iterator[tuple[int, int]
         start = end
 
 
+def _distinct_features(texts: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's distinct features, one text after the other, and how many each has."""
+    keys, owner = _features(texts, hashes)
+    pairs = np.unique(owner.astype(np.uint64) << np.uint64(32) | keys)
+    return (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.bincount((pairs >> np.uint64(32)).astype(np.int64), minlength=len(texts))
+
+
 def _fit_shard(texts: list[bytes], toxic: np.ndarray, prior: float, p: Ftrl) -> tuple[np.ndarray, np.ndarray]:
-    """FTRL-proximal over one shard, row after row; the intercept stays at the prior log-odds."""
-    hashes, own, sizes = WordHashes(), [], []
-    for start, end in _groups(texts):  # each text's distinct features, a few texts at a time
-        keys, owner = _features(texts[start:end], hashes)
-        pairs = np.unique(owner.astype(np.uint64) << np.uint64(32) | keys)
-        own.append((pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-        sizes.append(np.bincount((pairs >> np.uint64(32)).astype(np.int64), minlength=end - start))
-    coords, at = np.unique(np.concatenate(own), return_inverse=True)
-    at, ends = at.astype(np.int32), np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
+    """FTRL-proximal over one shard's texts, row after row."""
+    hashes = WordHashes()
+    parts = [_distinct_features(texts[i:j], hashes) for i, j in _groups(texts)]
+    return _fit_features(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]), toxic, prior, p)
+
+
+def _fit_features(keys: np.ndarray, sizes: np.ndarray, toxic: np.ndarray, prior: float, p: Ftrl) -> tuple[np.ndarray, np.ndarray]:
+    """``keys``: the rows' features one after the other, ``sizes`` of each; the intercept stays at the prior log-odds."""
+    coords, at = np.unique(keys, return_inverse=True)
+    at, ends = at.astype(np.int32), np.concatenate(([0], np.cumsum(sizes)))
     z, n = np.zeros(len(coords)), np.zeros(len(coords))
 
     def weight(zi, ni):
         return np.where(np.abs(zi) <= p.l1, 0.0, (np.sign(zi) * p.l1 - zi) / ((p.beta + np.sqrt(ni)) / p.alpha + p.l2))
 
     for _ in range(p.epochs):
-        for row in range(len(texts)):
+        for row in range(len(sizes)):
             i = at[ends[row] : ends[row + 1]]
             w = weight(z[i], n[i])
             g = 1 / (1 + math.exp(-max(-35.0, min(35.0, prior + w.sum())))) - toxic[row]
@@ -110,25 +119,38 @@ def _fit_shard(texts: list[bytes], toxic: np.ndarray, prior: float, p: Ftrl) ->
 def fit_toxicity(docs: DataFrame, labels: DataFrame, params: Ftrl = Ftrl()) -> Weights:
     """Fit on ``labels`` (doc_id, toxic) joined with ``docs`` (doc_id, text); labels must hold training rows only."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = materialize(known.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(params.max_train))
-    rows, positive = chosen.agg(F.count("*"), F.sum(F.col("toxic"))).first()
-    prior = math.log(((positive or 0) * params.positive + 0.5) / (rows - (positive or 0) + 1.5))
+    # rows are told apart by id and text, so an id or a row that is often repeated counts once for each of its texts
+    marked = docs.select("doc_id", F.xxhash64(text_bytes()).alias("h"), text_bytes().alias("text"))
+    rows = marked.select("doc_id", "h").distinct().join(known, "doc_id")
+    chosen = materialize(rows.orderBy(F.xxhash64("doc_id", "h", F.lit(3)), "doc_id", "h").limit(params.max_train))
+    count, positive = chosen.agg(F.count("*"), F.sum(F.col("toxic"))).first()
+    prior = math.log(((positive or 0) * params.positive + 0.5) / (count - (positive or 0) + 1.5))
     prior = min(prior, -0.5)  # a text without any sign is clean
-    if not rows:
+    if not count:
         return Weights(np.zeros(0, np.uint32), np.zeros(0, np.float32), prior)
-    shards = max(1, math.ceil(rows / params.rows_per_shard))
-    # at most max_train rows of two numbers: safe to broadcast
-    train = docs.select("doc_id", text_bytes().alias("text")).join(F.broadcast(chosen), "doc_id")
-    train = train.select(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(shards)).cast("int").alias("shard"), "doc_id", "toxic", "text")
-
-    def fit(table: pa.Table) -> pa.Table:
-        order = np.lexsort((table["doc_id"].to_numpy(),))
-        texts = table["text"].to_pylist()
-        keys, values = _fit_shard([texts[i] for i in order], table["toxic"].to_numpy()[order], prior, params)
-        return pa.table({"coord": keys.astype(np.int64), "weight": values})
-
-    parts = train.groupBy("shard").applyInArrow(fit, "coord long, weight double")
-    mixed = parts.groupBy("coord").agg((F.sum("weight") / shards).alias("weight")).toPandas()
+    shards = max(1, math.ceil(count / params.rows_per_shard))
+    # at most max_train rows of three numbers: safe to broadcast
+    train = marked.join(F.broadcast(chosen), ["doc_id", "h"]).groupBy("doc_id", "h", "toxic").agg(F.first("text").alias("text"))
+    train = train.select(F.pmod(F.xxhash64("doc_id", "h", F.lit(5)), F.lit(shards)).cast("int").alias("shard"), "doc_id", "h", "toxic", "text")
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task has one shard; of its texts only the features are held."""
+        hashes, keys, sizes, toxic = WordHashes(), [], [], []
+        for b in batches:
+            texts = b.column(4).to_pylist()
+            for i, j in _groups(texts):
+                k, n = _distinct_features(texts[i:j], hashes)
+                keys.append(k)
+                sizes.append(n)
+            toxic += b.column(3).to_pylist()
+        if keys:
+            coords, values = _fit_features(np.concatenate(keys), np.concatenate(sizes), np.array(toxic), prior, params)
+            yield pa.RecordBatch.from_arrays([pa.array(coords.astype(np.int64)), pa.array(values)], names=["coord", "weight"])
+
+    dealt = train.repartitionById(shards, F.col("shard")).sortWithinPartitions(F.xxhash64("doc_id", "h", F.lit(9)), "doc_id", "h")
+    mixed = dealt.mapInArrow(fit, "coord long, weight double").groupBy("coord").agg((F.sum("weight") / shards).alias("weight"))
+    # L1 leaves few; the largest max_weights if there were more
+    mixed = mixed.orderBy(F.abs("weight").desc(), "coord").limit(params.max_weights).toPandas()
     order = np.argsort(mixed["coord"].to_numpy())
     return Weights(mixed["coord"].to_numpy()[order].astype(np.uint32), mixed["weight"].to_numpy()[order].astype(np.float32), prior)
 

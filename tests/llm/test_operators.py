@@ -39,6 +39,39 @@ def test_toxicity_finds_held_out_labels(spark):
     assert sum(r.predicted for r in clean) < 0.01 * len(clean)
 
 
+def test_ftrl_against_a_plain_loop():
+    """The same updates, one coordinate after the other."""
+    rng = np.random.default_rng(8)
+    p = toxicity.Ftrl(alpha=0.7, beta=0.5, l1=0.3, l2=0.2, positive=2.0, epochs=3)
+    rows = [sorted(set(rng.integers(0, 40, rng.integers(1, 12)).tolist())) for _ in range(120)]
+    toxic = np.array([int(3 in r or 7 in r) for r in rows])
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        if abs(z[i]) <= p.l1:
+            return 0.0
+        return -(z[i] - math.copysign(p.l1, z[i])) / ((p.beta + math.sqrt(n[i])) / p.alpha + p.l2)
+
+    for _ in range(p.epochs):
+        for row, y in zip(rows, toxic):
+            w = {i: weight(i) for i in row}
+            g = (1 / (1 + math.exp(-(-1.0 + sum(w.values())))) - y) * (p.positive if y else 1.0)
+            for i in row:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / p.alpha * w[i]
+                n[i] += g * g
+    want = {i: weight(i) for i in range(40) if weight(i)}
+    keys, values = toxicity._fit_features(np.concatenate([np.array(r, np.uint32) for r in rows]), np.array([len(r) for r in rows]), toxic, -1.0, p)
+    assert keys.tolist() == sorted(want) and np.allclose(values, [want[i] for i in sorted(want)])
+
+
+def test_toxicity_counts_repeated_rows_once(spark):
+    docs = spark.createDataFrame([(1, "bad words here"), (2, "good words there"), (3, "fine")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    many = docs.union(docs.where("doc_id = 1").crossJoin(spark.range(500)).select("doc_id", "text"))
+    one, two = toxicity.fit_toxicity(docs, labels, toxicity.Ftrl(l1=0.01)), toxicity.fit_toxicity(many, labels, toxicity.Ftrl(l1=0.01))
+    assert one.keys.tolist() == two.keys.tolist() and np.allclose(one.values, two.values) and one.intercept == two.intercept and len(one.keys)
+
+
 def test_toxicity_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(5, 1), (5, 0), (3, 0), (None, 1), (8, None), (11, 1)], "doc_id long, toxic int")
     w = toxicity.fit_toxicity(odd, labels)
@@ -136,8 +169,9 @@ def brute_lm(docs, order, mu):
     return out
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_lm_against_formula(spark, data, order):
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_lm_against_formula(spark, data, order, monkeypatch):
+    monkeypatch.setattr(lm.Automaton, "STRETCH", 7)
     docs = spark.read.parquet(f"{data}/documents.parquet")
     got = by_id(lm.score_texts(docs, fold("doc_id", 7) == 2, lm.LmParams(order=order, mu=30.0, block_bytes=50_000)))
     want = brute_lm([(d["doc_id"], d["text"], zlib.crc32(str(d["doc_id"]).encode()) % 7 == 2) for d in table(data, "documents")], order, 30.0)
@@ -229,9 +263,9 @@ def brute_hits(docs, items, window):
     return out
 
 
-@pytest.mark.parametrize("block_words", [2_000_000, 200])
-def test_decontamination(spark, odd, none, data, block_words):
-    p = decontam.Winnow(block_words=block_words, piece_words=40)
+@pytest.mark.parametrize("block_bytes", [16 << 20, 2000])
+def test_decontamination(spark, odd, none, data, block_bytes):
+    p = decontam.Winnow(block_bytes=block_bytes, piece_words=40)
     docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
     bench = spark.read.parquet(f"{data}/benchmark.parquet")
     more = spark.createDataFrame([(900, "one"), (901, "another text of seven"), (None, "a b c " * 9), (902, None), (903, ""), (904, "x y " * 200)], "item_id long, text string")
@@ -320,8 +354,8 @@ def test_simhash_against_pairs(spark, odd, none, data):
     assert simhash.near_duplicates(none, ["doc_id"]).count() == 0
 
 
-@pytest.mark.parametrize("code", [None, (3, 4), (2, 5), (5, 3), (4, 4), (2, 3)])
-def test_links_at_every_distance(spark, code):
+@pytest.mark.parametrize("code,crowd", [(None, 50_000), ((3, 4), 50_000), ((2, 5), 50_000), ((5, 3), 50_000), ((4, 4), 50_000), ((2, 3), 50_000), ((3, 4), 40), ((5, 3), 7)])
+def test_links_at_every_distance(spark, code, crowd):
     rng = np.random.default_rng(11)
     seeds = [int(x) for x in rng.integers(0, 1 << 63, 60)]
     fps = set(seeds)
@@ -334,7 +368,7 @@ def test_links_at_every_distance(spark, code):
         fps.add(chain)
     fps |= {seeds[1] ^ (1 << i) ^ (1 << j) for i in range(64) for j in range(i)}
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    roots = {r.node: r.root for r in simhash.components(simhash.fingerprint_links(spark.createDataFrame([(x,) for x in signed], "fp long"), 4, code)).collect()}
+    roots = {r.node: r.root for r in simhash.components(simhash.fingerprint_links(spark.createDataFrame([(x,) for x in signed], "fp long"), 4, code, crowd)).collect()}
     arr = np.array(signed, np.int64).view(np.uint64)
     near = np.bitwise_count(arr[:, None] ^ arr[None, :]) <= 4
     label = np.arange(len(arr))
@@ -425,10 +459,38 @@ def test_packing(spark, odd, none):
 
 def test_key_packing():
     rng = np.random.default_rng(9)
-    for n in (1, 2, 1000):
+    for n in (0, 1, 2, 1000):
         for top in (1 << 30, 1 << 50, (1 << 64) - 1):
-            keys = np.unique(rng.integers(0, top, n, dtype=np.uint64, endpoint=True))
-            assert (lm._unpack_keys(lm._pack_keys(keys)) == keys).all()
+            for low in (5, 4):
+                keys = np.unique(rng.integers(0, top, n, dtype=np.uint64, endpoint=True) & ~np.uint64(0 if low == 5 else 0xFF))
+                assert (lm._unpack_keys(lm._pack_keys(keys, low), low) == keys).all()
+        counts = rng.choice([0, 1, 2, 254, 255, 256, 1 << 40], n)
+        assert (lm._unpack_counts(lm._pack_counts(counts), n) == counts).all()
+
+
+def test_lm_repeated_rows(spark):
+    """Equal rows travel as one: they count as often as they occur, and each has its row."""
+    docs = spark.createDataFrame([(1, "a b c a b"), (2, "c d"), (None, None)], "doc_id long, text string")
+    many = docs.union(docs.where("doc_id = 1").crossJoin(spark.range(99)).select("doc_id", "text"))
+    got = lm.score_texts(many, F.lit(False), lm.LmParams(mu=2.0)).collect()
+    want = brute_lm([(i, r.doc_id and r.text, False) for i, r in enumerate(many.collect())], 3, 2.0)
+    assert Counter((r.n_tokens, round(r.score, 9)) for r in got) == Counter((w[0], round(w[4], 9)) for w in want.values())
+    assert len(got) == 102 and {r.train_tokens for r in got} == {next(iter(want.values()))[2]}
+
+
+def test_lm_rows_follow_the_blocks(spark, data):
+    """Rows that blocks send are as many for each block, whatever the number of blocks."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    one = lm._count_block(pa_docs(docs.collect()), 3, 8)
+    two = lm._count_block(pa_docs(docs.collect() * 2), 3, 8)
+    assert one.num_rows == two.num_rows <= 256
+
+
+def pa_docs(rows):
+    import pyarrow as pa
+
+    table = pa.record_batch([pa.array([0] * len(rows), pa.int32()), pa.array([r.doc_id for r in rows]), pa.array([False] * len(rows)), pa.array(range(len(rows)), pa.int64()), pa.array([(r.text or "").encode() for r in rows])], names=["block", "doc_id", "held_out", "order", "text"])
+    return pa.Table.from_batches(list(lm._pack_docs(iter([table]))))
 
 
 def test_lm_few_texts_in_many_blocks(spark):
