@@ -6,8 +6,8 @@ Words are runs of ASCII letters and digits and of other than ASCII characters, A
 to its window of words and compared with the benchmark's windows word for word: no equal window is missed and no other is
 reported. An item of fewer words than a window is one window of its own length, looked up by its whole hash.
 
-The benchmark is cut into pieces (overlapping by window - 1 words) that are dealt into blocks of at most
-``block_words`` words, about; one block at a time is broadcast and joined with all documents in a scan without a shuffle.
+The benchmark is cut into pieces (overlapping by window - 1 words), each kept once, that are dealt into blocks of at most
+``block_bytes`` bytes, about; one block at a time is broadcast and joined with all documents in a scan without a shuffle.
 Usually there is one block; with more, what was hit so far is written between the scans.
 
 Nulls and odd rows: a null text has no words, is not hit and, as an item, has no window; a null item id is named "null"; items
@@ -37,11 +37,11 @@ _U64 = np.uint64
 
 @dataclass(frozen=True)
 class Winnow:
-    """window: words that must be equal; k: words of a fingerprinted gram."""
+    """window: words that must be equal; k: words of a fingerprinted gram; block_bytes: of items that are broadcast at a time, about."""
 
     window: int = 10
     k: int = 5
-    block_words: int = 2_000_000
+    block_bytes: int = 16 << 20
     piece_words: int = 10_000
 
 
@@ -103,7 +103,7 @@ class _Block:
 
 
 def _pieces(benchmark: DataFrame, p: Winnow) -> DataFrame:
-    """(item, words: long, text): items cut into overlapping pieces of a bounded size."""
+    """(item, words: long, text): items cut into overlapping pieces of a bounded number of words."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,9 +121,9 @@ def _pieces(benchmark: DataFrame, p: Winnow) -> DataFrame:
 def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], params: Winnow = Winnow()) -> DataFrame:
     """The columns ``keep`` of ``docs`` (with text), n_words, n_hit, n_items, items_sha256, contaminated, for every row."""
     spark = docs.sparkSession
-    pieces = materialize(_pieces(benchmark, params))
-    total = pieces.agg(F.sum("words")).first()[0] or 0
-    blocks = max(1, math.ceil(total / params.block_words))
+    pieces = materialize(_pieces(benchmark, params).select("item", "text").distinct())
+    total = pieces.agg(F.sum(F.octet_length("text") + F.octet_length("item"))).first()[0] or 0
+    blocks = max(1, math.ceil(total / params.block_bytes))
     carried = [docs.schema[c] for c in keep] + [T.StructField("__text", T.BinaryType())]
     state = docs.select(*keep, text_bytes().alias("__text"), F.array().cast("array<int>").alias("__hit"), F.array().cast("array<string>").alias("__items"))
     for b in range(blocks):
