@@ -10,7 +10,8 @@ bits. The number of segments and r follow the number of fingerprints by a cost e
 them.
 
 Of the links at an anchor only a spanning set goes on (each fingerprint to the smallest one that it is joined with), so a
-large group of near copies gives rows in proportion to its size, not to its square. Components come from alternating star
+large group of near copies gives rows in proportion to its size, not to its square. A crowded anchor's visitors are dealt to
+parts, tasks of their own that each have its homes. Components come from alternating star
 contractions, and a component is named by its smallest doc_id.
 
 Nulls and odd rows: null and empty texts have fingerprint zero and link like any other; null ids are left out of the
@@ -20,6 +21,7 @@ rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from math import comb
 
@@ -135,26 +137,49 @@ def _span(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[other], nodes[label[other]]
 
 
-def fingerprint_links(fps: DataFrame, threshold: int = 4, code: tuple[int, int] | None = None) -> DataFrame:
-    """``fps`` (fp: distinct longs) -> spanning links (a, b) of fingerprints within ``threshold`` bits, through anchors."""
-    segments, r = code or choose_code(max(1, fps.count()), threshold)
-    parts = [(start, bits, CoveringCode(bits, r, threshold // segments)) for start, bits in _layout(segments)]
+def _place(codes: list[tuple[int, int, CoveringCode]], crowded: dict[int, int]):
+    """Rows (anchor, fp, home): each fingerprint at all anchors that it visits; an anchor's number holds its part and its segment."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 fp = batch.column(0).slice(at, 4096).to_numpy().view(_U64)
-                for s, (start, bits, c) in enumerate(parts):
+                for s, (start, bits, c) in enumerate(codes):
                     x = fp >> _U64(start) & _U64((1 << bits) - 1)
                     syndrome = c.syndrome(x)
                     for y, flips in enumerate(c.visits):
                         own = np.flatnonzero(syndrome == y)
                         if len(own):
-                            anchors = (x[own, None] ^ flips[None, :]).ravel()
+                            anchors = ((x[own, None] ^ flips[None, :]).ravel() << _U64(3) | _U64(s)).view(np.int64)
                             home = np.tile(np.arange(len(flips)) == 0, len(own))  # the nearest code word is the first
-                            yield pa.RecordBatch.from_arrays([pa.array((anchors << _U64(3) | _U64(s)).view(np.int64)), pa.array(np.repeat(fp[own], len(flips)).view(np.int64)), pa.array(home)], names=["anchor", "fp", "home"])
+                            who = np.repeat(fp[own], len(flips))
+                            if crowded:
+                                parts = np.fromiter((crowded.get(a, 1) for a in anchors.tolist()), np.int64, len(anchors))
+                                copies = np.where(home, parts, 1)
+                                nth = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+                                own_part = (who * _U64(0x9E3779B97F4A7C15) >> _U64(40)).astype(np.int64) % parts
+                                part = np.where(np.repeat(home, copies), nth, np.repeat(own_part, copies))
+                                anchors, home, who = xor_part(np.repeat(anchors, copies), part), np.repeat(home, copies), np.repeat(who, copies)
+                            yield pa.RecordBatch.from_arrays([pa.array(anchors), pa.array(who.view(np.int64)), pa.array(home)], names=["anchor", "fp", "home"])
+
+    return place
+
 
-    placed = fps.select("fp").mapInArrow(place, "anchor long, fp long, home boolean")
+def xor_part(anchors: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """An anchor's number for a part of it: itself for part 0. Equal numbers of unlike parts would only be compared in vain."""
+    return anchors ^ (part.astype(_U64) * _U64(0xD1B54A32D192ED03)).view(np.int64)
+
+
+def fingerprint_links(fps: DataFrame, threshold: int = 4, code: tuple[int, int] | None = None, crowd: int = 50_000) -> DataFrame:
+    """``fps`` (fp: distinct longs) -> spanning links (a, b) of fingerprints within ``threshold`` bits, through anchors."""
+    count = max(1, fps.count())
+    segments, r = code or choose_code(count, threshold)
+    codes = [(start, bits, CoveringCode(bits, r, threshold // segments)) for start, bits in _layout(segments)]
+    crowd = max(crowd, math.ceil(count * segments * max(len(v) for _, _, c in codes for v in c.visits) / 10_000))
+    # at most 10,000 anchors have more rows than that: their visitors are dealt to parts, and their homes go to each part
+    sizes = fps.select("fp").mapInArrow(_place(codes, {}), "anchor long, fp long, home boolean").groupBy("anchor").count()
+    crowded = {x.anchor: math.ceil(x["count"] / crowd) for x in sizes.where(F.col("count") > crowd).collect()}
+    placed = fps.select("fp").mapInArrow(_place(codes, crowded), "anchor long, fp long, home boolean")
     n = max(shuffle_partitions(fps.sparkSession), 1)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
