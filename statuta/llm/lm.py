@@ -9,12 +9,14 @@ log10(mu / (c(h) + mu)) to the state of h'. A text is read once from left to rig
 history known so far; while it has no arc for the next word, its failure arc is taken.
 
 Nothing of the corpus goes to the driver or to every executor. Texts are dealt by a hash into blocks of bounded size; a
-block lists its distinct n-grams with their training counts, packed into arrays by hash range; each hash range is added
+block lists its distinct n-grams with their training counts, packed into one row per hash range; each hash range is added
 up over all blocks; and a block gets back the totals that differ from its own counts. So a block's slice of the
-automaton is exact and as large as the block. N-grams are told apart by 64-bit hashes.
+automaton is exact and as large as the block. There are 2^8 hash ranges, more only where a range would hold the n-grams
+of over ``bucket_bytes`` of text: so a block makes as many rows at any size up to some GB, and beyond that rows get smaller, to
+some forty n-grams at a TB (larger blocks make them larger again). Words are told apart by 64-bit hashes, longer n-grams by 56 bits.
 
 Nulls and odd rows: a null text is an empty one, which holds its end token only; a null id is a training row; repeated
-rows count as often as they occur and each gets a score; an empty table gives no rows. Extra columns are ignored.
+rows count as often as they occur and each gets a score (equal rows of a batch travel as one with their number); an empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,11 +39,13 @@ _START, _END = _U64(0x5354415254), _U64(0x454E44)
 
 @dataclass(frozen=True)
 class LmParams:
-    """order: longest n-gram; mu: weight of the lower order in counts; block_bytes: text in a block."""
+    """order: longest n-gram; mu: weight of the lower order in counts; block_bytes: text in a block; bucket_bytes: text whose
+    n-grams a hash range holds, about."""
 
-    order: int = 2
+    order: int = 3
     mu: float = 300.0
     block_bytes: int = 8 << 20
+    bucket_bytes: int = 16 << 20
 
 
 def _grams(texts: list[bytes], order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
@@ -56,20 +60,23 @@ def _grams(texts: list[bytes], order: int) -> tuple[np.ndarray, list[np.ndarray]
     h = np.concatenate(parts) if parts else np.zeros(0, _U64)
     ends = np.cumsum(sizes)
     place = np.arange(len(h)) - np.repeat(ends - sizes, sizes)  # 0: the start token
-    grams, there = [h], [place > 0]
+    grams, there, whole = [h], [place > 0], h
     for k in range(2, order + 1):
         g = np.zeros_like(h)
-        g[1:] = mix(grams[-1][:-1] + _U64(k), h[1:])
-        grams.append(g)
+        g[1:] = mix(whole[:-1] + _U64(k), h[1:])
+        whole = g
+        grams.append(g & ~_U64(0xFF))
         there.append(place >= k - 1)
     return ends, grams, there
 
 
 def _pack_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (block, docs): a batch's documents of each block as one compressed Arrow stream."""
+    """Rows (block, docs): a batch's documents of each block as one compressed Arrow stream, equal rows once with their number n."""
     options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))
     for batch in batches:
-        block, rest = batch.column(0).to_numpy(), pa.Table.from_batches([batch]).drop_columns(["block"])
+        _, first, n = np.unique(batch.column(3).to_numpy(), return_index=True, return_counts=True)
+        table = pa.Table.from_batches([batch]).take(pa.array(first)).append_column("n", pa.array(n.astype(np.int32)))
+        block, rest = table["block"].to_numpy(), table.drop_columns(["block"])
         order = np.argsort(block, kind="stable")
         for own in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
             if len(own):
@@ -85,23 +92,43 @@ def _unpack_docs(table: pa.Table) -> pa.Table:
     return docs.take(pa.array(np.argsort(docs["order"].to_numpy(), kind="stable")))
 
 
-def _pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys as the steps of their upper 24 bits, which are small, and their lower 40 bits."""
+def _pack_keys(keys: np.ndarray, low: int) -> bytes:
+    """Sorted keys as the steps of their upper 24 bits, which are small, and the next ``low`` bytes; the rest is zero."""
+    if not len(keys):
+        return b""
     high = (keys >> _U64(40)).astype(np.int64)
     steps = np.diff(high)
     kind = next(k for k in (np.uint8, np.uint16, np.uint32) if steps.max(initial=0) <= np.iinfo(k).max)
-    low = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-    return bytes([np.dtype(kind).itemsize]) + int(high[0]).to_bytes(3, "little") + steps.astype(kind).tobytes() + low.tobytes()
+    rest = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 5 - low : 5]
+    return bytes([np.dtype(kind).itemsize]) + int(high[0]).to_bytes(3, "little") + steps.astype(kind).tobytes() + rest.tobytes()
 
 
-def _unpack_keys(data: bytes) -> np.ndarray:
+def _unpack_keys(data: bytes, low: int) -> np.ndarray:
+    if not data:
+        return np.zeros(0, _U64)
     size = data[0]
-    n = (len(data) - 4 + size) // (size + 5)
+    n = (len(data) - 4 + size) // (size + low)
     steps = np.frombuffer(data, f"<u{size}", n - 1, 4)
     high = np.cumsum(np.append(int.from_bytes(data[1:4], "little"), steps.astype(np.int64)))
-    low = np.zeros((n, 8), np.uint8)
-    low[:, :5] = np.frombuffer(data, np.uint8, n * 5, 4 + (n - 1) * size).reshape(n, 5)
-    return low.view("<u8").ravel() | high.astype(_U64) << _U64(40)
+    rest = np.zeros((n, 8), np.uint8)
+    rest[:, 5 - low : 5] = np.frombuffer(data, np.uint8, n * low, 4 + (n - 1) * size).reshape(n, low)
+    return rest.view("<u8").ravel() | high.astype(_U64) << _U64(40)
+
+
+def _low(k: int) -> int:
+    """Bytes of a key below its upper 24 bits: words have 64 bits, longer n-grams 56."""
+    return 5 if k == 1 else 4
+
+
+def _pack_counts(counts: np.ndarray) -> bytes:
+    """A byte each; 255 stands for one of the larger counts at the end."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<u8").tobytes()
+
+
+def _unpack_counts(data: bytes, n: int) -> np.ndarray:
+    counts = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(data, "<u8", -1, n).astype(np.int64) if len(data) > n else 0
+    return counts
 
 
 def _cuts(keys: np.ndarray, bits: int) -> list[int]:
@@ -109,45 +136,61 @@ def _cuts(keys: np.ndarray, bits: int) -> list[int]:
     return np.searchsorted(keys >> _U64(64 - bits) if bits else np.zeros_like(keys), np.arange((1 << bits) + 1, dtype=_U64)).tolist()
 
 
-def _count_block(given: pa.Table, order: int, bits: int) -> pa.Table:
-    """Rows (bucket, block, k, keys, counts): the block's distinct k-grams by the high bits of their hashes."""
-    docs = _unpack_docs(given)
+_LISTED = "bucket int, block int, keys array<binary>, counts array<binary>"
+_TOLD = "block int, bucket int, marks array<binary>, totals array<binary>, tokens long, types long, once long, twice long"
+
+
+def _listed(docs: pa.Table, order: int):
+    """The texts' grams (``_grams``), and for each k the distinct ones with their training counts."""
     texts, train = docs["text"].to_pylist(), ~np.array(docs["held_out"].to_pylist(), bool)
     ends, grams, there = _grams(texts, order)
-    taught = np.repeat(train, np.diff(ends, prepend=0))
-    block, rows = given["block"][0].as_py(), []
-    for k in range(1, order + 1):
-        keys, at = np.unique(grams[k - 1][there[k - 1]], return_inverse=True)
-        counts = np.bincount(at, taught[there[k - 1]], len(keys)).astype(np.uint32)
-        cuts = _cuts(keys, bits)
-        rows += [(b, block, k, _pack_keys(keys[i:j]), counts[i:j].tobytes()) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i]
-    return pa.table(dict(zip(("bucket", "block", "k", "keys", "counts"), map(list, zip(*rows)))), schema=pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("k", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
+    taught = np.repeat(train * docs["n"].to_numpy(), np.diff(ends, prepend=0))
+    found = []
+    for g, ok in zip(grams, there):
+        keys, at = np.unique(g[ok], return_inverse=True)
+        found.append((keys, np.bincount(at, taught[ok], len(keys)).astype(np.int64)))
+    return ends, grams, there, found
+
+
+def _count_block(given: pa.Table, order: int, bits: int) -> pa.Table:
+    """A row for each hash range: the block's distinct k-grams with their counts, k = 1, 2, ..."""
+    block, *_, found = given["block"][0].as_py(), *_listed(_unpack_docs(given), order)
+    cuts = [_cuts(keys, bits) for keys, _ in found]
+    rows = []
+    for b in range(1 << bits):
+        own = [(keys[c[b] : c[b + 1]], counts[c[b] : c[b + 1]]) for (keys, counts), c in zip(found, cuts)]
+        if any(len(k) for k, _ in own):
+            rows.append((b, block, [_pack_keys(keys, _low(k)) for k, (keys, _) in enumerate(own, 1)], [_pack_counts(c) for _, c in own]))
+    kinds = [pa.int32(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.binary())]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["bucket", "block", "keys", "counts"])
 
 
 def _merge_bucket(table: pa.Table) -> pa.Table:
     """Totals over blocks: to each block a bit for every gram it listed, set if the total differs from its own count, and those
     totals. Block -1 has the bucket's sums for the whole corpus."""
-    rows, ks, bucket = [], np.array(table["k"].to_pylist()), table["bucket"][0].as_py()
-    for k in np.unique(ks):
-        own = table.filter(pa.array(ks == k))
-        keys = [_unpack_keys(x) for x in own["keys"].to_pylist()]
+    blocks, listed, counted = table["block"].to_pylist(), table["keys"].to_pylist(), table["counts"].to_pylist()
+    bucket, orders = table["bucket"][0].as_py(), len(listed[0])
+    told: list[tuple[list[bytes], list[bytes]]] = [([], []) for _ in blocks]
+    sums_of_words = (0, 0, 0, 0)
+    for k in range(1, orders + 1):
+        keys = [_unpack_keys(x[k - 1], _low(k)) for x in listed]
+        counts = np.concatenate([_unpack_counts(x[k - 1], len(own)) for x, own in zip(counted, keys)])
         ends = np.cumsum([len(x) for x in keys])
-        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in own["counts"].to_pylist()]).astype(np.int64)
         keys = np.concatenate(keys)
         order = np.argsort(keys, kind="stable")
-        first = np.flatnonzero(np.append(True, keys[order[1:]] != keys[order[:-1]]))
-        sums = np.add.reduceat(counts[order], first)
+        first = np.flatnonzero(np.append(True, keys[order[1:]] != keys[order[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        sums = np.add.reduceat(counts[order], first) if len(keys) else counts
         if k == 1:
-            rows.append((-1, 1, bucket, b"", b"", int(sums.sum()), *(int(x.sum()) for x in (sums > 0, sums == 1, sums == 2))))
+            sums_of_words = (int(sums.sum()), *(int(x.sum()) for x in (sums > 0, sums == 1, sums == 2)))
         total = np.empty_like(counts)
         total[order] = np.repeat(sums, np.diff(np.append(first, len(keys))))
-        for block, i, j in zip(own["block"].to_pylist(), [0, *ends[:-1]], ends):
+        for (marks, totals), i, j in zip(told, [0, *ends[:-1]], ends):
             tell = total[i:j] != counts[i:j]
-            if tell.any():
-                rows.append((block, int(k), bucket, np.packbits(tell).tobytes(), zlib.compress(total[i:j][tell].astype("<u8").tobytes(), 1), 0, 0, 0, 0))
-    kinds = [pa.int32()] * 3 + [pa.binary()] * 2 + [pa.int64()] * 4
-    columns = zip(*rows) if rows else ([],) * len(kinds)  # a bucket of longer grams that are all told already has no row
-    return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=["block", "k", "bucket", "marks", "totals", "tokens", "types", "once", "twice"])
+            marks.append(np.packbits(tell).tobytes() if tell.any() else b"")
+            totals.append(zlib.compress(total[i:j][tell].astype("<u8").tobytes(), 1) if tell.any() else b"")
+    rows = [(-1, bucket, [], [], *sums_of_words)] + [(block, bucket, m, t, 0, 0, 0, 0) for block, (m, t) in zip(blocks, told) if any(m)]
+    kinds = [pa.int32()] * 2 + [pa.list_(pa.binary())] * 2 + [pa.int64()] * 4
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[c.split()[0] for c in _TOLD.split(", ")])
 
 
 @dataclass(frozen=True)
@@ -201,52 +244,66 @@ class Automaton:
             lower = totals[k - 2][1].astype(float)
             self.fail.append(np.where(lower > 0, np.log10(mu / (lower + mu)), np.nan))
 
-    def walk(self, there) -> np.ndarray:
-        """log10-probability that each position adds, all texts side by side; 0 at start tokens."""
-        size = len(self.at[0])
-        # the state after each position: the longest gram ending there that is a state (0: the root)
-        state = np.zeros(size, np.int64)
-        for k in range(1, self.order):
-            state[there[k - 1] & ~np.isnan(self.fail[k - 1][self.at[k - 1]])] = k
-        start = ~there[0]
-        before = np.roll(state, 1)
-        after_start = np.roll(start, 1)
-        out, todo = np.zeros(size), there[0].copy()
-        for k in range(self.order, 0, -1):
-            # those in a state of k - 1 words take its arc, or its failure arc
-            here = np.flatnonzero(todo & ((before >= k - 1) | (after_start & (k == 2))))
-            arc = self.arc[k - 1][self.at[k - 1][here]]
-            if k > 1:
-                arc = np.where(there[k - 1][here], arc, np.nan)
-            took = ~np.isnan(arc)
-            out[here[took]] += arc[took]
-            todo[here[took]] = False
-            if k > 1:
-                lost = here[~took]
-                first = after_start[lost]
-                out[lost[first]] += self.fail_start
-                lost = lost[~first]
-                out[lost] += self.fail[k - 2][self.at[k - 2][lost - 1]]
+    def walk(self, ends: np.ndarray, there: list[np.ndarray]) -> np.ndarray:
+        """log10-probability that each position adds, 0 at start tokens: one pass from left to right that carries the state.
+
+        Texts go side by side, long ones in stretches; a stretch that begins inside a text first walks the order - 1 words
+        before it, which settle the state. The state carried is its number of words (0: the root): with the place it is
+        the state. While it has no arc for the next word, its failure arc is taken.
+        """
+        # by place: the arc that ends there for each order, and the failure arc of the state that ends there
+        none = np.full(len(self.at[0]), np.nan)  # also where the block has no gram of an order
+        arcs = [np.where(ok, arc[at], np.nan) if len(arc) else none for arc, at, ok in zip(self.arc, self.at, there)]
+        fails = [none] + [f[at] if len(f) else none for f, at in zip(self.fail, self.at)]
+        if self.order > 1:
+            fails[1] = np.where(there[0], fails[1], self.fail_start)
+        starts = np.concatenate(([0], ends[:-1]))
+        parts = -(-(ends - starts - 1) // self.STRETCH)
+        text = np.repeat(np.arange(len(ends)), parts)
+        scored = starts[text] + 1 + (np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)) * self.STRETCH
+        stop = np.minimum(scored + self.STRETCH, ends[text])
+        first = np.maximum(scored - (self.order - 1), starts[text] + 1)
+        by = np.argsort(first - stop, kind="stable")  # the longest first, so that those still going are a prefix
+        first, scored, stop = first[by], scored[by], stop[by]
+        state = np.where((first - 1 == starts[text][by]) & (self.order > 1), 1, 0)
+        out = np.zeros(len(self.at[0]))
+        for t in range(int((stop - first).max(initial=0))):
+            going = int(np.searchsorted(first - stop, -t, side="left"))
+            place, k = first[:going] + t, state[:going] + 1
+            added = np.zeros(going)
+            todo = np.arange(going)
+            for n in range(self.order, 0, -1):
+                here = todo[k[todo] == n]
+                if len(here):
+                    arc = arcs[n - 1][place[here]]
+                    lost = np.isnan(arc)
+                    added[here[~lost]] += arc[~lost]
+                    if lost.any():
+                        back = here[lost]
+                        added[back] += fails[n - 1][place[back] - 1]
+                        k[back] -= 1
+            # an unknown word leads to the root, the longest n-gram to the state of its last words
+            if self.order > 1:
+                k[(k == 1) & np.isnan(fails[1][place])] = 0
+            state[:going] = np.minimum(k, self.order - 1)
+            own = place >= scored[:going]
+            out[place[own]] = added[own]
         return out
 
+    #: Positions of a text that are walked one after the other; the stretches of a block go side by side.
+    STRETCH = 256
+
 
 def _score_block(given: pa.Table, model: pa.Table, p: LmParams, bits: int, corpus: Corpus) -> pa.Table:
     docs = _unpack_docs(given)
-    texts, train = docs["text"].to_pylist(), ~np.array(docs["held_out"].to_pylist(), bool)
-    ends, grams, there = _grams(texts, p.order)
-    taught = np.repeat(train, np.diff(ends, prepend=0))
-    totals = []
-    ks = np.array(model["k"].to_pylist(), int)
-    for k in range(1, p.order + 1):
-        ok = there[k - 1]
-        keys, at = np.unique(grams[k - 1][ok], return_inverse=True)
-        counts = np.bincount(at, taught[ok], len(keys)).astype(np.int64)
-        cuts = _cuts(keys, bits)
-        for row in np.flatnonzero(ks == k):
-            i, j = (cuts[model["bucket"][row].as_py() + x] for x in (0, 1))
-            marks = np.unpackbits(np.frombuffer(model["marks"][row].as_py(), np.uint8), count=j - i).astype(bool)
-            counts[i + np.flatnonzero(marks)] = np.frombuffer(zlib.decompress(model["totals"][row].as_py()), "<u8")
-        totals.append((keys, counts))
+    ends, grams, there, totals = _listed(docs, p.order)
+    cuts = [_cuts(keys, bits) for keys, _ in totals]
+    for bucket, marks, told in zip(model["bucket"].to_pylist(), model["marks"].to_pylist(), model["totals"].to_pylist()):
+        for k in range(p.order):
+            if marks[k]:
+                i, j = cuts[k][bucket], cuts[k][bucket + 1]
+                differ = np.unpackbits(np.frombuffer(marks[k], np.uint8), count=j - i).astype(bool)
+                totals[k][1][i + np.flatnonzero(differ)] = np.frombuffer(zlib.decompress(told[k]), "<u8").astype(np.int64)
     auto = Automaton(grams, there, totals, corpus, p.mu)
     starts = np.concatenate(([0], ends[:-1]))
     known = totals[0][1][auto.at[0]]
@@ -254,11 +311,10 @@ def _score_block(given: pa.Table, model: pa.Table, p: LmParams, bits: int, corpu
     add = lambda a: np.add.reduceat(a, starts)
     return pa.table({
         "doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": add(there[0].astype(np.int64)), "n_known": add((there[0] & (known > 0)).astype(np.int64)),
-        "train_tokens": np.full(len(texts), corpus.tokens, np.int64), "base_score": add(base), "score": add(auto.walk(there)),
+        "train_tokens": np.full(len(docs), corpus.tokens, np.int64), "base_score": add(base), "score": add(auto.walk(ends, there)), "n": docs["n"],
     })
 
 
-@tidy
 def score_texts(docs: DataFrame, held_out, params: LmParams = LmParams()) -> DataFrame:
     """Score every row of ``docs`` (doc_id, text) with a model of the rows where ``held_out`` isn't true.
 
@@ -267,17 +323,19 @@ def score_texts(docs: DataFrame, held_out, params: LmParams = LmParams()) -> Dat
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(math.ceil(size / params.block_bytes), shuffle_partitions(spark))
-    bits = max(0, math.ceil(math.log2(blocks)))
+    bits = max(8, math.ceil(math.log2(max(1, size / params.bucket_bytes))))
     given = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
-    dealt = given.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "held_out", F.xxhash64("doc_id", "text", F.lit(1)).alias("order"), text_bytes().alias("text"))
+    order = F.xxhash64("doc_id", "text", "held_out", F.lit(1)).alias("order")
+    dealt = given.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "held_out", order, text_bytes().alias("text"))
     packed = dealt.mapInArrow(_pack_docs, "block int, docs binary")
-    counts = packed.groupBy("block").applyInArrow(lambda t: _count_block(t, params.order, bits), "bucket int, block int, k int, keys binary, counts binary")
-    model = materialize(counts.groupBy("bucket").applyInArrow(_merge_bucket, "block int, k int, bucket int, marks binary, totals binary, tokens long, types long, once long, twice long"))
+    counts = packed.groupBy("block").applyInArrow(lambda t: _count_block(t, params.order, bits), _LISTED)
+    model = materialize(counts.groupBy("bucket").applyInArrow(_merge_bucket, _TOLD))
     corpus = Corpus(*(x or 0 for x in model.where("block = -1").agg(*map(F.sum, ("tokens", "types", "once", "twice"))).first()))
-    out = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    out = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n int"
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         return _score_block(left, right, params, bits, corpus)
 
     # every block of the model has documents
-    return packed.groupBy("block").cogroup(model.where("block >= 0").groupBy("block")).applyInArrow(score, out)
+    scored = packed.groupBy("block").cogroup(model.where("block >= 0").groupBy("block")).applyInArrow(score, out)
+    return scored.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("n")))).drop("n")
