@@ -11,12 +11,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statuta.functions.text import tokens
 from statuta.scratch import scratch_dir
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -41,16 +39,43 @@ class Bm25Index:
     avgdl: float
 
 
+def term_counts(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``docs`` -> key, dl (its tokens), term, tf: a row per document and token that it holds. A document is counted where it is read,
+    column-wise and some MB at a time, so nothing is shuffled. Tokens are those of ``functions.text.tokens``; nulls have none."""
+    kind = T.StructType([docs.schema[key], T.StructField("dl", T.IntegerType()), T.StructField("term", T.StringType()), T.StructField("tf", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends, start = np.cumsum(pc.binary_length(b.column(1)).to_numpy()), 0
+            while start < b.num_rows:
+                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + (4 << 20), side="right")))
+                yield _counted(b.slice(start, stop - start), kind.names)
+                start = stop
+
+    return docs.select(key, F.coalesce(F.col(text), F.lit("")).alias(text)).mapInArrow(run, kind)
+
+
+def _counted(batch: pa.RecordBatch, names: list[str]) -> pa.RecordBatch:
+    cut = pc.split_pattern_regex(pc.utf8_lower(batch.column(1)), r"[^\p{L}\p{N}_]+")
+    coded = cut.flatten().dictionary_encode()
+    owner = np.repeat(np.arange(len(cut)), np.diff(cut.offsets.to_numpy()))
+    code = coded.indices.to_numpy().astype(np.int64)
+    real = pc.not_equal(coded.dictionary, "").to_numpy(zero_copy_only=False)[code]
+    owner, code = owner[real], code[real]
+    pairs, tf = np.unique(owner * len(coded.dictionary) + code, return_counts=True)
+    doc, term = np.divmod(pairs, max(1, len(coded.dictionary)))
+    dl = np.bincount(owner, minlength=len(cut))[doc].astype(np.int32)
+    return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(dl), coded.dictionary.take(pa.array(term)), pa.array(tf.astype(np.int32))], names=names)
+
+
 def build_bm25(docs: DataFrame, path: str | None = None) -> Bm25Index:
     """Tokenize ``docs`` (doc_id, text) once and store the postings, below a scratch folder if no path is given."""
     spark = docs.sparkSession
     path = path or scratch_dir(spark)
-    seen = Observation()
-    words = docs.select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("w")).observe(seen, F.count("*").alias("n"), F.sum(F.size("w")).alias("words"))
-    rows = words.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
-    rows.groupBy("doc_id", "dl", "term").agg(F.count("*").cast("int").alias("tf")).write.parquet(f"{path}/postings")
-    n, total = seen.get["n"], seen.get["words"] or 0
-    spark.createDataFrame([(n, total / n if n else 0.0)], "n long, avgdl double").coalesce(1).write.parquet(f"{path}/sizes")
+    term_counts(docs, "doc_id").write.parquet(f"{path}/postings")
+    words = spark.read.parquet(f"{path}/postings").agg(F.sum("tf")).first()[0] or 0
+    n = docs.count()
+    spark.createDataFrame([(n, words / n if n else 0.0)], "n long, avgdl double").coalesce(1).write.parquet(f"{path}/sizes")
     return read_bm25(spark, path)
 
 
@@ -69,7 +94,7 @@ def search_bm25(index: Bm25Index, queries: DataFrame, k: int, where: DataFrame |
     idf = index.postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = idf.withColumn("idf", F.log(index.n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = idf.agg(F.avg("idf").alias("mean_idf"))
-    asked = queries.select("query_id", F.explode(tokens(F.coalesce("text", F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
+    asked = term_counts(queries, "query_id").select("query_id", "term", F.col("tf").alias("qf"))
     terms = asked.select("term").distinct()
     small = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     terms = F.broadcast(terms) if small else terms
