@@ -28,10 +28,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordHashes, materialize, mix, shuffle_partitions, text_bytes, tidy
+from .common import materialize, mix, shuffle_partitions, text_bytes, tidy
 
 _U64 = np.uint64
 _START, _END = _U64(0x5354415254), _U64(0x454E44)
@@ -48,17 +50,23 @@ class LmParams:
     bucket_bytes: int = 16 << 20
 
 
-def _grams(texts: list[bytes], order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+def _grams(texts: pa.Array, order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """Ends of the texts in the token sequence (start and end tokens included), and for each k the k-gram ending at
     each position with whether there is one. A gram may begin with the start token but isn't the start token alone."""
-    hashes = WordHashes()
-    parts, sizes = [], np.zeros(len(texts), np.int64)
-    for i, t in enumerate(texts):
-        words = t.translate(LOWER).split()
-        sizes[i] = len(words) + 2
-        parts += [np.array([_START]), hashes.of(words), np.array([_END])]
-    h = np.concatenate(parts) if parts else np.zeros(0, _U64)
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string())))
+    coded = cut.flatten().dictionary_encode()
+    known = coded.dictionary.view(pa.binary()).to_pylist()
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, 7) for w in known), _U64, len(known))
+    code = coded.indices.to_numpy()
+    real = np.array([len(w) > 0 for w in known], bool)[code]  # white space at a text's ends leaves an empty word
+    upto = np.concatenate(([0], np.cumsum(real)))[cut.offsets.to_numpy()]
+    sizes = np.diff(upto) + 2
     ends = np.cumsum(sizes)
+    h = np.full(int(sizes.sum()), _END)
+    h[ends - sizes] = _START
+    inside = np.ones(len(h), bool)
+    inside[ends - sizes] = inside[ends - 1] = False
+    h[inside] = hashes[code[real]]
     place = np.arange(len(h)) - np.repeat(ends - sizes, sizes)  # 0: the start token
     grams, there, whole = [h], [place > 0], h
     for k in range(2, order + 1):
@@ -140,21 +148,35 @@ _LISTED = "bucket int, block int, keys array<binary>, counts array<binary>"
 _TOLD = "block int, bucket int, marks array<binary>, totals array<binary>, tokens long, types long, once long, twice long"
 
 
-def _listed(docs: pa.Table, order: int):
-    """The texts' grams (``_grams``), and for each k the distinct ones with their training counts."""
-    texts, train = docs["text"].to_pylist(), ~np.array(docs["held_out"].to_pylist(), bool)
-    ends, grams, there = _grams(texts, order)
-    taught = np.repeat(train * docs["n"].to_numpy(), np.diff(ends, prepend=0))
-    found = []
+def _distinct(g: np.ndarray, taught: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct grams with their training counts; the order that sorts all, and where each distinct one begins in it."""
+    order = np.argsort(g)
+    ranked = g[order]
+    first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(g) else np.zeros(0, np.int64)
+    counts = np.add.reduceat(taught[order], first) if len(g) else np.zeros(0, np.int64)
+    return ranked[first], counts, order, first
+
+
+def _listed(docs: pa.Table, order: int, places: bool = False):
+    """The texts' grams (``_grams``), and for each k the distinct ones with their training counts and, if asked for, the number of the gram that ends at each place."""
+    train = ~docs["held_out"].to_numpy()
+    ends, grams, there = _grams(docs["text"].combine_chunks(), order)
+    taught = np.repeat((train * docs["n"].to_numpy()).astype(np.int64), np.diff(ends, prepend=0))
+    found, at = [], []
     for g, ok in zip(grams, there):
-        keys, at = np.unique(g[ok], return_inverse=True)
-        found.append((keys, np.bincount(at, taught[ok], len(keys)).astype(np.int64)))
-    return ends, grams, there, found
+        here = np.flatnonzero(ok)
+        keys, counts, by, first = _distinct(g[here], taught[here])
+        found.append((keys, counts))
+        if places:
+            number = np.zeros(len(g), np.int64)
+            number[here[by]] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(by))))
+            at.append(number)
+    return ends, there, found, at
 
 
 def _count_block(given: pa.Table, order: int, bits: int) -> pa.Table:
     """A row for each hash range: the block's distinct k-grams with their counts, k = 1, 2, ..."""
-    block, *_, found = given["block"][0].as_py(), *_listed(_unpack_docs(given), order)
+    block, found = given["block"][0].as_py(), _listed(_unpack_docs(given), order)[2]
     cuts = [_cuts(keys, bits) for keys, _ in found]
     rows = []
     for b in range(1 << bits):
@@ -218,12 +240,8 @@ class Automaton:
     fail[k][g]: weight of the failure arc of the state of k-gram g, NaN if there is no such state.
     """
 
-    def __init__(self, grams, there, totals, corpus: Corpus, mu: float):
-        self.order, self.at, self.count = len(grams), [], totals
-        for g, ok, (keys, _) in zip(grams, there, totals):
-            at = np.zeros(len(g), np.int64)
-            at[ok] = np.searchsorted(keys, g[ok])
-            self.at.append(at)
+    def __init__(self, at, there, totals, corpus: Corpus, mu: float):
+        self.order, self.at, self.count = len(at), at, totals
         keys, c = totals[0]
         p = np.where(c > 0, (c - corpus.discount) / max(1, corpus.tokens), corpus.unknown)
         self.arc, self.fail = [np.log10(p)], []
@@ -296,7 +314,7 @@ class Automaton:
 
 def _score_block(given: pa.Table, model: pa.Table, p: LmParams, bits: int, corpus: Corpus) -> pa.Table:
     docs = _unpack_docs(given)
-    ends, grams, there, totals = _listed(docs, p.order)
+    ends, there, totals, at = _listed(docs, p.order, places=True)
     cuts = [_cuts(keys, bits) for keys, _ in totals]
     for bucket, marks, told in zip(model["bucket"].to_pylist(), model["marks"].to_pylist(), model["totals"].to_pylist()):
         for k in range(p.order):
@@ -304,7 +322,7 @@ def _score_block(given: pa.Table, model: pa.Table, p: LmParams, bits: int, corpu
                 i, j = cuts[k][bucket], cuts[k][bucket + 1]
                 differ = np.unpackbits(np.frombuffer(marks[k], np.uint8), count=j - i).astype(bool)
                 totals[k][1][i + np.flatnonzero(differ)] = np.frombuffer(zlib.decompress(told[k]), "<u8").astype(np.int64)
-    auto = Automaton(grams, there, totals, corpus, p.mu)
+    auto = Automaton(at, there, totals, corpus, p.mu)
     starts = np.concatenate(([0], ends[:-1]))
     known = totals[0][1][auto.at[0]]
     base = np.where(there[0], np.log10((known + 1) / (corpus.tokens + corpus.types + 1)), 0)
