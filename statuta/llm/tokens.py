@@ -99,7 +99,7 @@ class _Encoder:
         self.pattern = _word_pattern(spec)
         self.cut = regex.compile(self.pattern).findall if self.pattern else None
         self.special = "|".join([_UNUSUAL, *(re.escape(t["content"]) for t in spec.get("added_tokens", []))])
-        self.words = _Recent(self._word, 300_000)
+        self.words = _Recent(self._word, 100_000)
 
     def _encode(self, text: str) -> bytes:
         return array(self.code, self.whole.encode(text, add_special_tokens=False).ids).tobytes()
