@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statuta.llm import decontam, mixing, nearcopies, tokens, toxicity
+from statuta.llm import decontam, mixing, simhash, tokens, toxicity
 from statuta.llm.common import materialize, scratch_dir, tidy
 
 
@@ -31,12 +31,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of five-word Jaccard similarity 0.8 or more: that with the smallest id; of rows that share it, the one whose text has the smallest hash.
-    Null and empty texts are one component; a null id stands behind all others; of repeated rows one stays."""
+    """One document of each component of SimHash fingerprints of five-word shingles: that with the smallest id; of rows that share
+    it, the one whose text has the smallest hash. Null and empty texts are one component; a null id stands behind all others; of
+    repeated rows one stays."""
     marked = _boxed(docs, F.xxhash64("text").alias("__h"))
-    found = nearcopies.near_copies(marked, ["doc_id", "__h"])
+    found = simhash.near_duplicates(marked, ["doc_id", "__h"], shingle=5)
+    # components of null ids alone have no smallest id and are told apart by their fingerprint
+    group = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone")]
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("__h").alias("h"))
-    best = materialize(found.groupBy("root").agg(F.min(rank).alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.h").alias("__hash")))
+    best = materialize(found.groupBy(*group).agg(F.min(rank).alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.h").alias("__hash")))
     kept = marked.join(best, marked.doc_id.eqNullSafe(best["__id"]) & (marked["__h"] == best["__hash"]), "left_semi")
     return kept.dropDuplicates(["doc_id", "__h"]).select("__row.*")
 
