@@ -54,12 +54,12 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
     return int((1 << np.arange(64, dtype=object))[counts * 2 > n].sum())
 
 
-def with_fingerprint(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` and ``fp``, the fingerprint as a signed long."""
+def with_fingerprint(docs: DataFrame, keep: list[str], shingle: int = 4) -> DataFrame:
+    """The columns ``keep`` and ``fp``, the fingerprint of ``shingle`` words as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint(x.as_py()) for x in b.column(len(keep))), _U64, b.num_rows)
+            fps = np.fromiter((fingerprint(x.as_py(), shingle) for x in b.column(len(keep))), _U64, b.num_rows)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(fps.view(np.int64))], names=[*keep, "fp"])
 
     return docs.select(*keep, text_bytes().alias("__text")).mapInArrow(run, T.StructType([docs.schema[c] for c in keep] + [T.StructField("fp", T.LongType())]))
@@ -270,9 +270,9 @@ def components(links: DataFrame) -> DataFrame:
 
 
 @tidy
-def near_duplicates(docs: DataFrame, keep: list[str], threshold: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, keep: list[str], threshold: int = 4, shingle: int = 4) -> DataFrame:
     """The columns ``keep`` of ``docs`` (doc_id among them), ``fp`` and ``component_id``, for every row."""
-    rows = materialize(with_fingerprint(docs, keep))
+    rows = materialize(with_fingerprint(docs, keep, shingle))
     classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(fingerprint_links(classes, threshold))
     named = classes.join(roots, classes.fp == roots.node, "left").select(classes.fp.alias("f"), "least", F.coalesce("root", classes.fp).alias("root"))

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from test_operators import SPACE, brute_hits, fill, lower
 
 import corpus_pipeline
@@ -43,9 +44,10 @@ def plain(rows):
     return Counter((r.doc_id, r.text, r.source) for r in rows)
 
 
-def shingles(text):
-    w = SPACE.findall(lower(text or ""))
-    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+def brute_fp(text):
+    w = [x.encode() for x in SPACE.findall(lower(text or ""))]
+    h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 5]), 42) for i in range(max(1, len(w) - 4))] if w else []
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
 def test_toxic_texts_go_and_clean_ones_stay(spark, fixture, monkeypatch):
@@ -59,11 +61,10 @@ def test_toxic_texts_go_and_clean_ones_stay(spark, fixture, monkeypatch):
 def test_one_of_each_group_of_near_copies_stays(spark, fixture):
     docs, sf, _ = fixture
     rows = docs.collect()
-    sets, root = [shingles(r.text) for r in rows], list(range(len(rows)))
+    fps, root = [brute_fp(r.text) for r in rows], list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
-            a, b = sets[i], sets[j]
-            if a == b or len(a & b) >= 0.8 * len(a | b):
+            if (fps[i] ^ fps[j]).bit_count() <= 4:
                 old, new = root[i], root[j]
                 root = [new if x == old else x for x in root]
     groups = defaultdict(list)
