@@ -5,25 +5,29 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Folders made inside each ``tidy`` call that is running, the innermost last.
-_MADE: list[list[str]] = []
+#: Folders made inside the innermost ``tidy`` call that runs in this thread.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``; where that is unset, below the context's checkpoint folder, else a
-    temporary folder if all runs in this process, else the warehouse."""
+    temporary folder if all runs in this process, else the warehouse, which must then be in a shared store."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root and spark.sparkContext.master.startswith("local"):
         root = tempfile.mkdtemp(prefix="statuta-")
         spark.sparkContext.setCheckpointDir(root)
-    root = root or spark.conf.get("spark.sql.warehouse.dir")
+    if not root:
+        root = spark.conf.get("spark.sql.warehouse.dir")
+        if ":" not in root or root.startswith("file:"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = f"{root.rstrip('/')}/statuta-{uuid.uuid4().hex}"
-    if _MADE:
-        _MADE[-1].append(path)
+    if (made := _MADE.get()) is not None:
+        made.append(path)
     return path
 
 
@@ -45,13 +49,12 @@ def tidy(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
 
     @wraps(build)
     def run(*args, **kwargs) -> DataFrame:
-        _MADE.append([])
+        made: list[str] = []
+        outer = _MADE.set(made)
         try:
             found = build(*args, **kwargs)
-            made = _MADE.pop()
-        except BaseException:
-            _MADE.pop()
-            raise
+        finally:
+            _MADE.reset(outer)
         kept = materialize(found)
         remove(found.sparkSession, made)
         return kept
