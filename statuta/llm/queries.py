@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lm, mih, mixing, packing, pii, simhash, tokens, toxicity, warc
+from . import decontam, lm, mih, mixing, packing, pii, simhash, tokens, toxicity, trie, warc
 from .common import fold, scratch_dir
 
 
@@ -66,8 +66,13 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_shards(_read(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv_id")
+    return trie.rebuilt_trie(_read(spark, sf_dir, "conversations"), conv - conv % 5, fold("conv_id", 9), 8)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_toxicity, op2_pii, op3_lm_score, op4_mixing, op5_decontamination, op6_token_ids, op7_simhash, op8_warc, op9_exact_topk, op10_sharding)
+    found = (op1_toxicity, op2_pii, op3_lm_score, op4_mixing, op5_decontamination, op6_token_ids, op7_simhash, op8_warc, op9_exact_topk, op10_sharding, op11_prefix_trie)
     return {f.__name__: f for f in found}
 
 
@@ -110,5 +115,25 @@ FROM (SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS s FROM embedd
 """
 
 
+OP11_SQL = """
+WITH RECURSIVE t AS (SELECT conv_id, coalesce("role", '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS p FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list({'r': r, 'x': x} ORDER BY p) AS own FROM t GROUP BY conv_id),
+crc AS (SELECT n, CASE WHEN k & 1 = 1 THEN xor(k >> 1, 3988292384) ELSE k >> 1 END AS k, 1 AS i FROM (SELECT unnest(generate_series(0, 255))::BIGINT AS n, unnest(generate_series(0, 255))::BIGINT AS k)
+  UNION ALL SELECT n, CASE WHEN k & 1 = 1 THEN xor(k >> 1, 3988292384) ELSE k >> 1 END, i + 1 FROM crc WHERE i < 8),
+tab AS (SELECT list(k ORDER BY n) AS tab FROM crc WHERE i = 8),
+h AS (SELECT conv_id, own, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda z: ord(z)::BIGINT)),
+  lambda s, z: xor(tab[(xor(s, z) & 255) + 1], s >> 8)), 4294967295) % 9 AS h FROM c, tab),
+b AS (SELECT h.conv_id, list_concat(coalesce(list_slice(o.own, 1, h.h), []), list_slice(h.own, h.h + 1, len(h.own))) AS q FROM h LEFT JOIN c o ON o.conv_id = h.conv_id - h.conv_id % 5),
+m AS (SELECT conv_id, len(q) AS n, unnest(generate_series(0, len(q))) AS d, q FROM b),
+k AS (SELECT d AS depth, list_slice(q, 1, d) AS q, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(octet_length(encode(q[d].x)), 0) AS bytes,
+  sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = d), '')) AS ends_sha256 FROM m GROUP BY ALL),
+a AS (SELECT k.*, (k.n_convs - 1) * k.bytes AS saved, p.conv_id AS parent_conv_id FROM k LEFT JOIN k p ON k.depth = p.depth + 1 AND list_slice(k.q, 1, k.depth - 1) = p.q),
+f AS (SELECT *, NOT EXISTS (SELECT 1 FROM k y WHERE y.depth = a.depth + 1 AND list_slice(y.q, 1, a.depth) = a.q) AS leaf FROM a),
+u AS (SELECT list_slice(q, 1, g) AS q, g AS depth, leaf, saved, f.depth AS own FROM (SELECT *, unnest(generate_series(0, depth)) AS g FROM f) f)
+SELECT f.conv_id, f.depth, f.parent_conv_id, f.n_convs, CAST(s.n_children AS BIGINT) AS n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM f JOIN (SELECT q, depth, count(*) FILTER (WHERE own = depth + 1) AS n_children, count(*) FILTER (WHERE leaf) AS n_leaves, sum(saved) AS saved_tokens FROM u GROUP BY ALL) s ON f.q = s.q AND f.depth = s.depth
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": OP4_SQL, "op5_decontamination": OP5_SQL, "op9_exact_topk": OP9_SQL}
+    return {"op4_mixing": OP4_SQL, "op5_decontamination": OP5_SQL, "op9_exact_topk": OP9_SQL, "op11_prefix_trie": OP11_SQL}
