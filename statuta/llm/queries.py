@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lm, mih, mixing, packing, pii, simhash, tokens, toxicity, trie, warc
+from . import decontam, lm, mih, mixing, negatives, packing, pii, simhash, tokens, toxicity, trie, warc
 from .common import fold, scratch_dir
 
 
@@ -71,8 +71,13 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.rebuilt_trie(_read(spark, sf_dir, "conversations"), conv - conv % 5, fold("conv_id", 9), 8)
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec, label = F.col("vec_id"), F.col("label")
+    return negatives.hard_negatives(_read(spark, sf_dir, "embeddings"), vec % 50 == 0, F.when(vec % 7 == 0, (label + 1) % 10).otherwise(label))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_toxicity, op2_pii, op3_lm_score, op4_mixing, op5_decontamination, op6_token_ids, op7_simhash, op8_warc, op9_exact_topk, op10_sharding, op11_prefix_trie)
+    found = (op1_toxicity, op2_pii, op3_lm_score, op4_mixing, op5_decontamination, op6_token_ids, op7_simhash, op8_warc, op9_exact_topk, op10_sharding, op11_prefix_trie, op13_hard_negatives)
     return {f.__name__: f for f in found}
 
 
@@ -135,5 +140,15 @@ FROM f JOIN (SELECT q, depth, count(*) FILTER (WHERE own = depth + 1) AS n_child
 """
 
 
+OP13_SQL = """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v::DOUBLE[], b.v::DOUBLE[]) AS BIGINT) AS score FROM r a, r b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": OP4_SQL, "op5_decontamination": OP5_SQL, "op9_exact_topk": OP9_SQL, "op11_prefix_trie": OP11_SQL}
+    return {"op4_mixing": OP4_SQL, "op5_decontamination": OP5_SQL, "op9_exact_topk": OP9_SQL, "op11_prefix_trie": OP11_SQL, "op13_hard_negatives": OP13_SQL}
