@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lm, mih, mixing, negatives, packing, pii, simhash, tokens, toxicity, trie, warc
+from . import decontam, lm, mih, mixing, negatives, packing, pii, simhash, spans, tokens, toxicity, trie, warc
 from .common import fold, scratch_dir
 
 
@@ -71,13 +71,17 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.rebuilt_trie(_read(spark, sf_dir, "conversations"), conv - conv % 5, fold("conv_id", 9), 8)
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.remove_repeats(_read(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vec, label = F.col("vec_id"), F.col("label")
     return negatives.hard_negatives(_read(spark, sf_dir, "embeddings"), vec % 50 == 0, F.when(vec % 7 == 0, (label + 1) % 10).otherwise(label))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_toxicity, op2_pii, op3_lm_score, op4_mixing, op5_decontamination, op6_token_ids, op7_simhash, op8_warc, op9_exact_topk, op10_sharding, op11_prefix_trie, op13_hard_negatives)
+    found = (op1_toxicity, op2_pii, op3_lm_score, op4_mixing, op5_decontamination, op6_token_ids, op7_simhash, op8_warc, op9_exact_topk, op10_sharding, op11_prefix_trie, op12_suffix_dedup, op13_hard_negatives)
     return {f.__name__: f for f in found}
 
 
