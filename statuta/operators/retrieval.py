@@ -136,20 +136,21 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None =
     return found.select("query_id", "chunk_id", F.round("exact", 4).alias("score"), "rank")
 
 
-def _unit(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+def unit(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """Rows of a list column, of length one; zero rows stay zero."""
-    x = pc.list_flatten(column).to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    x = pc.list_flatten(column).to_numpy(zero_copy_only=False)
+    x = x.reshape(len(column), len(x) // max(1, len(column)))
     return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
 
 
 def _nearest(sent, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = sent.value["query_id"].combine_chunks(), _unit(sent.value["vector"].combine_chunks())
+        ids, q = sent.value["query_id"].combine_chunks(), unit(sent.value["vector"].combine_chunks())
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 own = batch.slice(at, 4096)
                 own = own.take(pc.sort_indices(own.column(0)))  # ties go to the smaller id
-                v = _unit(own.column(1))
+                v = unit(own.column(1))
                 for i in range(0, len(q), 256):
                     cosine = q[i : i + 256] @ v.T
                     near = np.argsort(-np.round(cosine, EQUAL), axis=1, kind="stable")[:, :k]

@@ -480,7 +480,7 @@ def wildcard_search(spark, sf):
 
 
 def queries() -> dict[str, Query]:
-    from . import more_queries  # noqa: F401  registers its own
+    from . import index_queries, more_queries  # noqa: F401  register their own
 
     return dict(QUERIES)
 
