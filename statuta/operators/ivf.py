@@ -23,7 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statuta.operators.retrieval import EQUAL, first_k, unit
+from statuta.operators.ranking import first_k
+from statuta.operators.retrieval import EQUAL, unit
 from statuta.scratch import materialize, scratch_dir
 
 #: Rows to which centroids are fitted, at most, and how many each gets at least.

@@ -1,118 +1,27 @@
-"""Hybrid retrieval for tables of queries: a stored BM25 index, cosine top-k, reciprocal rank fusion, reranking."""
+"""Hybrid retrieval for tables of queries: BM25 by the stored index, cosine top-k, reciprocal rank fusion, reranking."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statuta.scratch import scratch_dir
+from statuta.operators.bm25 import Bm25Index, append_bm25, bm25, build_bm25, read_bm25, search_bm25, term_counts  # noqa: F401
+from statuta.operators.ranking import first_k
 
-K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Query terms up to this many are broadcast; more are joined by a shuffle.
-BROADCAST_TERMS = 200_000
 #: Query vectors that are broadcast at a time.
 QUERY_BLOCK = 10_000
 #: Scores that differ less are ties: sums in another order may differ in the last digits.
 EQUAL = 12
 
 
-def first_k(df: DataFrame, query: str, order: list[Column], k: int, name: str = "rank") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(W.partitionBy(query).orderBy(*order))).where(F.col(name) <= k)
-
-
-@dataclass(frozen=True)
-class Bm25Index:
-    """postings: doc_id, dl (its tokens), term, tf; a row per document and term. n documents of avgdl tokens."""
-
-    postings: DataFrame
-    n: int
-    avgdl: float
-
-
-def term_counts(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``docs`` -> key, dl (its tokens), term, tf: a row per document and token that it holds. A document is counted where it is read,
-    column-wise and some MB at a time, so nothing is shuffled. Tokens are those of ``functions.text.tokens``; nulls have none."""
-    kind = T.StructType([docs.schema[key], T.StructField("dl", T.IntegerType()), T.StructField("term", T.StringType()), T.StructField("tf", T.IntegerType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ends, start = np.cumsum(pc.binary_length(b.column(1)).to_numpy()), 0
-            while start < b.num_rows:
-                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + (4 << 20), side="right")))
-                yield _counted(b.slice(start, stop - start), kind.names)
-                start = stop
-
-    return docs.select(key, F.coalesce(F.col(text), F.lit("")).alias(text)).mapInArrow(run, kind)
-
-
-def _counted(batch: pa.RecordBatch, names: list[str]) -> pa.RecordBatch:
-    cut = pc.split_pattern_regex(pc.utf8_lower(batch.column(1)), r"[^\p{L}\p{N}_]+")
-    coded = cut.flatten().dictionary_encode()
-    owner = np.repeat(np.arange(len(cut)), np.diff(cut.offsets.to_numpy()))
-    code = coded.indices.to_numpy().astype(np.int64)
-    real = pc.not_equal(coded.dictionary, "").to_numpy(zero_copy_only=False)[code]
-    owner, code = owner[real], code[real]
-    pairs, tf = np.unique(owner * len(coded.dictionary) + code, return_counts=True)
-    doc, term = np.divmod(pairs, max(1, len(coded.dictionary)))
-    dl = np.bincount(owner, minlength=len(cut))[doc].astype(np.int32)
-    return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(dl), coded.dictionary.take(pa.array(term)), pa.array(tf.astype(np.int32))], names=names)
-
-
-def build_bm25(docs: DataFrame, path: str | None = None) -> Bm25Index:
-    """Tokenize ``docs`` (doc_id, text) once and store the postings, below a scratch folder if no path is given."""
-    spark = docs.sparkSession
-    path = path or scratch_dir(spark)
-    term_counts(docs, "doc_id").write.parquet(f"{path}/postings")
-    words = spark.read.parquet(f"{path}/postings").agg(F.sum("tf")).first()[0] or 0
-    n = docs.count()
-    spark.createDataFrame([(n, words / n if n else 0.0)], "n long, avgdl double").coalesce(1).write.parquet(f"{path}/sizes")
-    return read_bm25(spark, path)
-
-
-def read_bm25(spark: SparkSession, path: str) -> Bm25Index:
-    sizes = spark.read.parquet(f"{path}/sizes").first()
-    return Bm25Index(spark.read.parquet(f"{path}/postings"), sizes.n, sizes.avgdl)
-
-
-def search_bm25(index: Bm25Index, queries: DataFrame, k: int, where: DataFrame | None = None) -> DataFrame:
-    """``queries`` (query_id, text) -> query_id, doc_id, score, rank: Okapi BM25, repeats of a query term count.
-
-    Terms in over half of the documents, whose idf is negative, get EPSILON times the mean idf of the vocabulary. ``where``
-    (doc_id) limits the documents before the first k are taken; statistics stay those of the index. Scores of zero and
-    less are dropped after the first k are taken.
-    """
-    idf = index.postings.groupBy("term").agg(F.count("*").alias("df"))
-    idf = idf.withColumn("idf", F.log(index.n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = idf.agg(F.avg("idf").alias("mean_idf"))
-    asked = term_counts(queries, "query_id").select("query_id", "term", F.col("tf").alias("qf"))
-    terms = asked.select("term").distinct()
-    small = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    terms = F.broadcast(terms) if small else terms
-    weights = idf.join(terms, "term", "left_semi").crossJoin(F.broadcast(mean))
-    weights = weights.select("term", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
-    tf = index.postings if where is None else index.postings.join(where.select("doc_id").distinct(), "doc_id", "left_semi")
-    weighted = asked.join(weights, "term")
-    scored = tf.join(F.broadcast(weighted) if small else weighted, "term")
-    part = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / index.avgdl))
-    total = scored.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
-    return first_k(total, "query_id", [F.round("score", 9).desc(), F.col("doc_id")], k).where("score > 0")
-
-
-def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Index ``docs`` and search it once."""
-    return search_bm25(build_bm25(docs), queries, k)
-
-
 def dense(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = None) -> DataFrame:
     """``vectors`` (chunk_id, embedding), ``queries`` (query_id, vector) -> query_id, chunk_id, score (cosine, 4 digits), rank.
 
