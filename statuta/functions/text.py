@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Months.
-_MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
+MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
 
 
 def tokens(text: Column) -> Column:
@@ -75,8 +75,8 @@ def dates(text: Column) -> Column:
 
     return F.array_distinct(F.concat(
         parsed(r"\d{4}-\d{2}-\d{2}", "yyyy-MM-dd"),
-        parsed(rf"\d{{1,2}}\s+(?:{_MONTHS})\s+\d{{4}}", "d MMMM yyyy"),
-        parsed(rf"(?:{_MONTHS})\s+\d{{1,2}},?\s+\d{{4}}", "MMMM d yyyy"),
+        parsed(rf"\d{{1,2}}\s+(?:{MONTHS})\s+\d{{4}}", "d MMMM yyyy"),
+        parsed(rf"(?:{MONTHS})\s+\d{{1,2}},?\s+\d{{4}}", "MMMM d yyyy"),
         found(r"\d{2}/\d{2}/\d{4}"),
     ))
 

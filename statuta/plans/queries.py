@@ -318,8 +318,7 @@ _COUNTS = ", ".join(f"CAST({' + '.join(f"len(regexp_extract_all(text, '(?i){p}')
 def label_scores(spark, sf):
     plain = F.regexp_replace("text", r"[^ -~\s]", "x")
     d = corpus.read(spark, sf, "documents").select("doc_id", plain.alias("text"))
-    gated = {name: [(p, p.replace(r"\b", "")) for p in ps] for name, ps in _LANGUAGES.items()}
-    return tagging.with_label(d, F.col("text"), gated, "label", "confidence").drop("text")
+    return tagging.with_label(d, F.col("text"), _LANGUAGES, "label", "confidence").drop("text")
 
 
 def _first_ones(lists: str) -> str:
@@ -343,7 +342,7 @@ def _plain(pattern: str) -> str:
     return re.sub(r"[^\x00-\x7f£€]", "x", pattern).replace("'", "''")
 
 
-_COUNT_SQL = ", ".join(f"{' + '.join(f"len(regexp_extract_all(p, '(?i){_plain(x)}'))" for x, _ in ps)} AS n_{name}" for name, ps in tagging.JURISDICTION_PATTERNS.items())
+_COUNT_SQL = ", ".join(f"{' + '.join(f"len(regexp_extract_all(p, '(?i){_plain(x)}'))" for x in ps)} AS n_{name}" for name, ps in tagging.JURISDICTION_PATTERNS.items())
 _MOST_SQL = f"greatest({', '.join(f'n_{n}' for n in tagging.JURISDICTION_PATTERNS)})"
 _MONTH = "(?:January|February|March|April|May|June|July|August|September|October|November|December)"
 _CITED = r"(?i)(Article\s+\d+[a-z]?(?:\(\d+\))?(?:\s+(?:of\s+)?(?:the\s+)?(?:GDPR|UK\s+GDPR|DSA|DMA|AI\s+Act))?)"
