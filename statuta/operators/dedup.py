@@ -60,50 +60,65 @@ def indel_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([2 * _common_subsequence(x, y) / (len(x) + len(y)) if x or y else 1.0 for x, y in zip(a, b)])
 
 
-def similar_strings(new: DataFrame, old: DataFrame, threshold: float = 0.92, grams: int = 3) -> DataFrame:
+def _segments(m: Column, edits: Column, i: Column) -> tuple[Column, Column]:
+    """Start (from 0) and length of the ith (from 1) of edits + 1 even segments of m characters; the longer ones are the last."""
+    base = F.floor(m / (edits + 1))
+    short = edits + 1 - (m - base * (edits + 1))
+    return (i - 1) * base + F.greatest(i - 1 - short, F.lit(0)), base + (i > short).cast("int")
+
+
+def similar_strings(new: DataFrame, old: DataFrame, threshold: float = 0.92) -> DataFrame:
     """Pairs (a, b, similarity) of distinct strings of ``new`` and ``old`` (column s) whose Indel similarity reaches the threshold.
 
-    Lossless prefix filter: similar strings of m and n characters are at most (1 - t)(m + n) single-character edits apart, and
-    an edit spoils at most ``grams`` of a string's character grams. With the grams of all strings in one order, rarest first,
-    two similar strings share one among their first few, and only strings that do are compared.
+    Lossless by segment signatures: similar strings of m and n characters are at most (1 - t)(m + n) single-character edits
+    apart, and n is at most (2 - t) / t m, so at most e = 2 m (1 - t) / t. Of e + 1 segments of the one, an edit spoils one at
+    most; so for some i the ith stands whole in the other, moved by no more than the i - 1 edits before it, and by no more than
+    the others after it allow. Each string of ``old`` has e + 1 signatures (its length, i, the segment); those of ``new``, the
+    smaller side, are asked for at every place where a segment may stand, for every length that may be similar. The join of
+    signatures is one that AQE splits where very many strings share one.
     """
-    if not 0.9 <= threshold <= 1:
-        raise ValueError("the filter is lossless for thresholds from 0.9 on")
-    longest = (2 - threshold) / threshold  # of two similar strings, n / m is at most this
-
-    def by_gram(df: DataFrame) -> DataFrame:
-        n = F.length("s")
-        cut = F.transform(F.sequence(F.lit(1), F.greatest(n - grams + 1, F.lit(1))), lambda i: F.substring("s", i, grams))
-        seen = df.select("s", F.posexplode(cut).alias("at", "gram"))
-        # the nth repeat of a gram is a gram of its own
-        return seen.withColumn("nth", F.row_number().over(W.partitionBy("s", "gram").orderBy("at"))).drop("at")
-
-    a, b = (by_gram(df.select("s").distinct()) for df in (new, old))
-    count = a.select("gram", "nth").union(b.select("gram", "nth")).groupBy("gram", "nth").count()
-
-    def prefix(g: DataFrame, name: str) -> DataFrame:
-        edits = F.floor((1 - threshold) * F.length("s") * (1 + longest) + 1e-9)
-        place = F.row_number().over(W.partitionBy("s").orderBy("count", "gram", "nth"))
-        return g.join(count, ["gram", "nth"]).withColumn("place", place).where(F.col("place") <= edits * grams + 1).select(F.col("s").alias(name), "gram", "nth")
-
-    pairs = prefix(a, "a").join(prefix(b, "b"), ["gram", "nth"])
+    if not 0.7 <= threshold <= 1:
+        raise ValueError("below 0.7 a string can't be cut into enough segments")
+    longest, room = (2 - threshold) / threshold, 2 * (1 - threshold) / threshold
+    edits = lambda m: F.floor(m * room + 1e-9).cast("int")
+    size = lambda df: df.select("s").distinct().withColumn("n", F.length("s"))
+    signature = lambda start, length: F.xxhash64("m", "i", F.substring(F.col("s"), (start + 1).cast("int"), length.cast("int")))
+
+    own = size(old).withColumnsRenamed({"n": "m"}).select("s", "m", F.explode(F.sequence(F.lit(1), edits(F.col("m")) + 1)).alias("i"))
+    own = own.select(F.col("s").alias("b"), signature(*_segments(F.col("m"), edits(F.col("m")), F.col("i"))).alias("sig"))
+
+    asked = size(new).withColumn("m", F.explode(F.sequence(F.ceil(F.col("n") / longest - 1e-9).cast("int"), F.floor(F.col("n") * longest + 1e-9).cast("int"))))
+    asked = asked.withColumn("e", edits(F.col("m"))).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("e") + 1)))
+    start, length = _segments(F.col("m"), F.col("e"), F.col("i"))
+    more, later = F.col("n") - F.col("m"), F.col("e") + 1 - F.col("i")
+    # how far the segment may have moved, by the edits before it and by those after it
+    first = F.greatest(start + F.greatest(1 - F.col("i"), more - later), F.lit(0))
+    last = F.least(start + F.least(F.col("i") - 1, more + later), F.col("n") - length)
+    asked = asked.withColumns({"first": first.cast("int"), "last": last.cast("int"), "length": length}).where("first <= last")
+    asked = asked.withColumn("start", F.explode(F.sequence("first", "last"))).select(F.col("s").alias("a"), signature(F.col("start"), F.col("length")).alias("sig")).distinct()
+
     low, high = F.least(F.length("a"), F.length("b")), F.greatest(F.length("a"), F.length("b"))
-    pairs = pairs.where(2 * low >= threshold * (low + high) - 1e-9).select("a", "b").distinct()
+    pairs = asked.join(own, "sig").where(2 * low >= threshold * (low + high) - 1e-9).select("a", "b").distinct()
     return pairs.withColumn("similarity", indel_similarity("a", "b")).where(F.col("similarity") >= threshold - 1e-12)
 
 
 def drop_similar(new: DataFrame, existing: DataFrame, threshold: float = 0.92) -> DataFrame:
     """``new`` without rows whose token-sorted title is similar to one of ``existing`` of another source and another regulation.
 
-    Both have regulation_id, source_name and title. Equal titles are compared once; the rows come back by a semi join.
+    Both have regulation_id, source_name and title; nulls are values. Equal titles are compared once. Whether a title has such an
+    old row is a matter of counts: of its distinct (source, regulation), less those of the row's source, less those of its
+    regulation, and the pair of both again. So a title that very many rows share is a few numbers, and joins are by equality.
     """
     of = lambda df: df.withColumn("s", sorted_tokens(F.coalesce("title", F.lit(""))))
-    n, e = of(new), of(existing)
-    pairs = similar_strings(n, e, threshold)
-    old = e.select(F.col("s").alias("b"), F.col("source_name").alias("src"), F.col("regulation_id").alias("reg")).distinct()
-    near = pairs.join(old, "b").select("a", "src", "reg").distinct()
-    other = (n.s == near.a) & ~n.source_name.eqNullSafe(near.src) & ~n.regulation_id.eqNullSafe(near.reg)
-    return n.join(near, other, "left_anti").drop("s")
+    named = lambda df: df.select("s", F.struct(F.col("source_name").alias("x")).alias("src"), F.struct(F.col("regulation_id").alias("x")).alias("reg")).distinct()
+    n, e = of(new), named(of(existing)).withColumnRenamed("s", "b")
+    asked = named(n).join(similar_strings(n, e.select(F.col("b").alias("s")), threshold).withColumnRenamed("a", "s"), "s").drop("similarity")
+    for name, keys in (("all", ["b"]), ("by_src", ["b", "src"]), ("by_reg", ["b", "reg"]), ("by_both", ["b", "src", "reg"])):
+        asked = asked.join(e.groupBy(*keys).agg(F.count("*").alias(name)), keys, "left")
+    count = lambda c: F.coalesce(c, F.lit(0))
+    near = asked.where(count("all") - count("by_src") - count("by_reg") + count("by_both") > 0).select("s", F.col("src.x").alias("__src"), F.col("reg.x").alias("__reg")).distinct()
+    same = (n.s == near.s) & n.source_name.eqNullSafe(near["__src"]) & n.regulation_id.eqNullSafe(near["__reg"])
+    return n.join(near, same, "left_anti").drop("s")
 
 
 def deduplicate(new: DataFrame, existing: DataFrame, order: str, threshold: float = 0.92, fuzzy: bool = True) -> tuple[DataFrame, DataFrame]:

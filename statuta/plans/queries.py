@@ -178,7 +178,16 @@ def vector_delete(spark, sf):
     return store.delete_where(corpus.read(spark, sf, "embeddings").select("vec_id", "label"), {"label": 3})
 
 
-@_query()
+#: Longest common subsequences by a row of bits: where[c] has a bit for each place of c in the one, row loses one for each match.
+@_query("""WITH t AS (SELECT p_partkey AS id, p_brand AS src, concat_ws(' ', p_name, p_type, p_brand) AS title FROM part),
+  s AS (SELECT *, array_to_string(list_sort(list_filter(string_split_regex(title, '\\s+'), lambda x: x <> '')), ' ') AS s FROM t),
+  u AS (SELECT s, length(s) AS n, string_split(s, '') AS cs, list_transform(string_split('abcdefghijklmnopqrstuvwxyz0123456789', ''), lambda c: length(s) - length(replace(lower(s), c, ''))) AS bag FROM (SELECT DISTINCT s FROM s)),
+  c AS (SELECT a.s AS a, b.s AS b, a.n AS m, b.n AS n, a.cs AS acs, b.cs AS bcs FROM u a, u b
+    WHERE 2 * least(a.n, b.n) >= 0.92 * (a.n + b.n) - 1e-9 AND list_sum(list_transform(list_zip(a.bag, b.bag), lambda x: abs(x[1] - x[2]))) <= 0.08 * (a.n + b.n) + 1e-9),
+  w AS (SELECT *, map_from_entries(list_transform(list_distinct(acs), lambda x: {'k': x, 'v': list_sum(list_transform(acs, lambda y, i: CASE WHEN y = x THEN (1::HUGEINT << (i - 1)) ELSE 0::HUGEINT END))::HUGEINT})) AS mask FROM c WHERE m <= 120),
+  r AS (SELECT a, b, m, n, list_reduce(list_prepend((1::HUGEINT << m) - 1, list_transform(bcs, lambda x: coalesce(mask[x], 0::HUGEINT))), lambda z, hit: ((z + (z & hit)) | (z - (z & hit))) & ((1::HUGEINT << m) - 1)) AS z FROM w),
+  p AS (SELECT a, b FROM r WHERE 2.0 * (m - bit_count(z)) / (m + n) >= 0.92 - 1e-12)
+  SELECT id, title FROM s WHERE id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM p JOIN s o ON o.s = p.b WHERE p.a = s.s AND o.id % 2 = 1 AND o.src <> s.src)""")
 def fuzzy_dedup(spark, sf):
     p = corpus.read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("source_name"), F.col("p_partkey").cast("string").alias("regulation_id"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("title"))
     return dedup.drop_similar(p.where("id % 2 = 0"), p.where("id % 2 = 1")).select("id", "title")
