@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialize, scratch_dir, shuffle_partitions, text_bytes, tidy
@@ -239,7 +240,10 @@ def _by_windows(crowded: DataFrame, length: int) -> DataFrame:
 
     found = materialize(crowded.mapInArrow(windows, "one long, two long, value long, seg long, copies long, start long"))
     more = found.groupBy("one", "two").agg(F.sum("copies").alias("n")).where("n > 1").drop("n")
-    return found.join(more, ["one", "two"]).select("value", "seg", "start", F.lit(1).cast("long").alias("count"))
+    # neighbouring windows become one range: less their place among a run's repeated windows, their starts are equal
+    place = F.row_number().over(W.partitionBy("value", "seg").orderBy("start"))
+    repeated = found.join(more, ["one", "two"]).select("value", "seg", "start", (F.col("start") - place).alias("range"))
+    return repeated.groupBy("value", "seg", "range").agg(F.min("start").alias("start"), F.count("*").alias("count")).drop("range")
 
 
 def _write_texts(docs: DataFrame, p: SpanParams) -> tuple[str, DataFrame]:
