@@ -28,8 +28,9 @@ class Running:
     column: str | None = None
 
 
-def _in_range(r: Running, order: list[str]) -> Column:
-    ordered = W.partitionBy(_PART, "__key").orderBy(*order)
+def in_window(r: Running, keys: list[str], order: list[str]) -> Column:
+    """The value by a plain window: for keys of which none is large. ``prior`` is wrapped, to tell a null value from no row."""
+    ordered = W.partitionBy(*keys).orderBy(*order)
     so_far = ordered.rowsBetween(W.unboundedPreceding, 0)
     match r.kind:
         case "count":
@@ -40,7 +41,7 @@ def _in_range(r: Running, order: list[str]) -> Column:
             return F.bit_xor(r.column).over(so_far)
         case "last":
             return F.last(r.column, ignorenulls=True).over(so_far)
-        case "prior":  # wrapped, to tell a null value from no row
+        case "prior":
             return F.lag(F.struct(r.column)).over(ordered)
     raise ValueError(r.kind)
 
@@ -106,7 +107,7 @@ def carried(df: DataFrame, keys: list[str], order: list[str], values: dict[str,
     at_edge = sums.join(F.broadcast(edges), _PART).where(F.col("__key").eqNullSafe(F.col("__first")) | F.col("__key").eqNullSafe(F.col("__last")))
     handed = at_edge.select(_PART, "__key", *[_before(r, name).alias(f"__{name}") for name, r in values.items()])
     handed = handed.where(reduce(Column.__or__, [F.col(f"__{name}").isNotNull() for name in values]))
-    rows = cut.select("*", *[_in_range(r, order).alias(name) for name, r in values.items()])
+    rows = cut.select("*", *[in_window(r, [_PART, "__key"], order).alias(name) for name, r in values.items()])
     # a range goes on with one key at most, which is then its first
     rows = rows.join(F.broadcast(handed.withColumnRenamed("__key", "__on")), _PART, "left")
     other = ~F.col("__key").eqNullSafe(F.col("__on"))

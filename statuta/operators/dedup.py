@@ -8,6 +8,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from statuta.operators.carried import Running, carried
+
 
 def keep_first(df: DataFrame, key: str | list[str], order: str | list[str | Column]) -> DataFrame:
     """First row of each key by ``order``; nulls are equal. One shuffle, rows that can't be first are dropped before it."""
@@ -26,16 +28,24 @@ def union_first(frames: list[DataFrame], key: str, order: str) -> DataFrame:
     return keep_first(rows, key, ["__source", order]).drop("__source")
 
 
-def amendments(new: DataFrame, existing: DataFrame, order: str) -> DataFrame:
+def numbered(df: DataFrame, key: str, order: list[Column] | list[str], name: str, hot: bool = False) -> DataFrame:
+    """A row's place within its key, from 1. ``hot``: a key may hold a large part of the rows; ``order`` is then names of columns."""
+    if hot:
+        return carried(df, [key], order, {name: Running("count")})
+    return df.withColumn(name, F.row_number().over(W.partitionBy(key).orderBy(*order)))
+
+
+def amendments(new: DataFrame, existing: DataFrame, order: str, hot: bool = False) -> DataFrame:
     """``new`` against ``existing`` (regulation_id, version_id, source_hash): status new or amended, rows with a known hash dropped.
 
     Amended rows get version_id = latest + 1, + 2, ... in the order given, others 1 if null; old_hash is the hash of the latest.
+    ``hot``: one regulation may hold a large part of the rows.
     """
     old = existing.groupBy(F.col("regulation_id").alias("__id")).agg(F.max("version_id").alias("__version"), F.max_by("source_hash", "version_id").alias("old_hash"))
     rows = new.join(old, new.regulation_id == F.col("__id"), "left").where(F.col("old_hash").isNull() | (F.col("old_hash") != F.col("source_hash")))
-    nth = F.row_number().over(W.partitionBy("regulation_id").orderBy(order))
-    version = F.when(F.col("__id").isNotNull(), F.col("__version") + nth).otherwise(F.coalesce("version_id", F.lit(1)))
-    return rows.withColumns({"status": F.when(F.col("__id").isNotNull(), "amended").otherwise("new"), "version_id": version.cast("int")}).drop("__id", "__version")
+    rows = numbered(rows, "regulation_id", [order], "__nth", hot)
+    version = F.when(F.col("__id").isNotNull(), F.col("__version") + F.col("__nth")).otherwise(F.coalesce("version_id", F.lit(1)))
+    return rows.withColumns({"status": F.when(F.col("__id").isNotNull(), "amended").otherwise("new"), "version_id": version.cast("int")}).drop("__id", "__version", "__nth")
 
 
 def sorted_tokens(title: Column) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from statuta.operators.carried import Running, carried, in_window
+
 # Headings, tried in this order on a paragraph's first line.
 HEADINGS = (
     ("chapter", r"^(?:Chapter|CHAPTER)\s+([IVXLCDM]+|\d+)", "chapter_"),
@@ -29,17 +32,25 @@ def classify(paras: DataFrame) -> DataFrame:
     return paras.withColumns({"block_type": kind, "ref": ref})
 
 
-def with_context(paras: DataFrame, key: str) -> DataFrame:
-    """Adds block_idx, block_id, chapter_ref, article_ref and section_ref; a chapter ends article and section, an article its section."""
-    order = W.partitionBy(key).orderBy("page_number", "para")
-    upto = order.rowsBetween(W.unboundedPreceding, 0)
-    last = lambda kind, w: F.last(F.when(F.col("block_type") == kind, F.col("ref")), ignorenulls=True).over(w)
-    rows = paras.withColumns({
-        "block_idx": (F.row_number().over(order) - 1).cast("int"),
-        "__chapters": F.count_if(F.col("block_type") == "chapter").over(upto), "chapter_ref": last("chapter", upto),
-    })
-    inner = W.partitionBy(key, "__chapters").orderBy("page_number", "para").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumns({"__articles": F.count_if(F.col("block_type") == "article").over(inner), "article_ref": last("article", inner)})
-    innermost = W.partitionBy(key, "__chapters", "__articles").orderBy("page_number", "para").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("section_ref", last("section", innermost)).drop("__chapters", "__articles")
-    return rows.withColumn("block_id", F.coalesce("ref", F.concat_ws("_", "block_type", F.col("block_idx").cast("string"))))
+def with_context(paras: DataFrame, key: str, hot: bool = False) -> DataFrame:
+    """Adds block_idx, block_id, chapter_ref, article_ref and section_ref; a chapter ends article and section, an article its section.
+
+    A heading's place is carried with it: an article counts if it stands behind the last chapter, a section if it stands behind
+    the last chapter and the last article. ``hot``: one document may hold a large part of the paragraphs.
+    """
+    kinds = ("chapter", "article", "section")
+    at = lambda kind, x: F.when(F.col("block_type") == kind, x)
+    order = ["page_number", "para"]
+    place = F.struct("page_number", "para")
+    rows = paras.withColumns({f"__{k}": at(k, F.struct(place.alias("at"), "ref")) for k in kinds})
+    values = {"__n": Running("count")} | {f"__last_{k}": Running("last", f"__{k}") for k in kinds}
+    rows = carried(rows, [key], order, values) if hot else rows.withColumns({n: in_window(r, [key], order) for n, r in values.items()})
+    last = {k: F.col(f"__last_{k}") for k in kinds}
+
+    def within(kind: str, *outer: str) -> Column:
+        own = last[kind]
+        return reduce(lambda ref, o: F.when(last[o].isNull() | (own["at"] > last[o]["at"]), ref), outer, own["ref"])
+
+    rows = rows.withColumns({"block_idx": (F.col("__n") - 1).cast("int"), "chapter_ref": last["chapter"]["ref"], "article_ref": within("article", "chapter"), "section_ref": within("section", "chapter", "article")})
+    rows = rows.withColumn("block_id", F.coalesce("ref", F.concat_ws("_", "block_type", F.col("block_idx").cast("string"))))
+    return rows.drop(*[f"__{k}" for k in kinds], *values)

@@ -488,7 +488,7 @@ def wildcard_search(spark, sf):
 
 
 def queries() -> dict[str, Query]:
-    from . import index_queries, more_queries  # noqa: F401  register their own
+    from . import hot_queries, index_queries, more_queries  # noqa: F401  register their own
 
     return dict(QUERIES)
 

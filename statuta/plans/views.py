@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from statuta.operators.carried import Running, carried
+
 
 def regulations_latest(regs: DataFrame) -> DataFrame:
     """Rows of each regulation's highest version, all of them on a tie; others are dropped before the shuffle."""
@@ -31,11 +33,19 @@ def pipeline_health_recent(health: DataFrame, as_of: Column, days: int = 7) -> D
     ).orderBy(F.col("last_run_at").desc())
 
 
-def amendment_history(regs: DataFrame) -> DataFrame:
-    """Versions of regulations that have several, each with the hash before it; one shuffle serves count and lag."""
-    by = W.partitionBy("regulation_id")
-    rows = regs.withColumns({"__n": F.count("*").over(by), "prev_hash": F.lag("source_hash").over(by.orderBy("version_id"))})
-    return rows.where("__n > 1").select("regulation_id", "title", "jurisdiction", "version_id", "effective_date", "prev_hash", F.col("source_hash").alias("current_hash"))
+def amendment_history(regs: DataFrame, hot: bool = False) -> DataFrame:
+    """Versions of regulations that have several, each with the hash before it; one shuffle serves count and lag.
+
+    ``hot``: one regulation may hold a large part of the rows; they are then cut into ranges instead of one task's window.
+    """
+    if hot:
+        rows = carried(regs, ["regulation_id"], ["version_id"], {"prev_hash": Running("prior", "source_hash")})
+        several = regs.groupBy("regulation_id").agg(F.count("*").alias("__n")).where("__n > 1").drop("__n")
+        rows = rows.join(several, "regulation_id", "left_semi")
+    else:
+        by = W.partitionBy("regulation_id")
+        rows = regs.withColumns({"__n": F.count("*").over(by), "prev_hash": F.lag("source_hash").over(by.orderBy("version_id"))}).where("__n > 1")
+    return rows.select("regulation_id", "title", "jurisdiction", "version_id", "effective_date", "prev_hash", F.col("source_hash").alias("current_hash"))
 
 
 def total_counts(regs: DataFrame, chunks: DataFrame, conflicts: DataFrame, health: DataFrame) -> DataFrame:
