@@ -37,7 +37,7 @@ def text_bytes(column: str = "text") -> Column:
 class WordHashes(dict):
     """word -> 64-bit hash, remembered up to ``limit`` words so that a worker's memory stays bounded."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 100_000):
         super().__init__()
         self.limit = limit
 

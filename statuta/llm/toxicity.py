@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,15 +69,13 @@ def _features(texts: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.nd
     return (np.concatenate(keys) >> np.uint64(32)).astype(np.uint32), np.concatenate(owners)
 
 
-def _groups(texts: list[bytes], size: int = 4 << 20) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about ``size`` bytes, so that very long texts in one batch don't add up in memory."""
-    start = 0
+def _groups(texts: pa.Array, size: int = 4 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of texts of about ``size`` bytes and where each begins; no more than a run is held beside the batch."""
+    ends, start = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)), 0
     while start < len(texts):
-        end, held = start, 0
-        while end < len(texts) and (end == start or held + len(texts[end]) < size):
-            held += len(texts[end])
-            end += 1
-        yield start, end
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield start, texts.slice(start, end - start).to_pylist()
         start = end
 
 
@@ -90,7 +89,7 @@ def _distinct_features(texts: list[bytes], hashes: WordHashes) -> tuple[np.ndarr
 def _fit_shard(texts: list[bytes], toxic: np.ndarray, prior: float, p: Ftrl) -> tuple[np.ndarray, np.ndarray]:
     """FTRL-proximal over one shard's texts, row after row."""
     hashes = WordHashes()
-    parts = [_distinct_features(texts[i:j], hashes) for i, j in _groups(texts)]
+    parts = [_distinct_features(own, hashes) for _, own in _groups(pa.array(texts, pa.binary()))]
     return _fit_features(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]), toxic, prior, p)
 
 
@@ -137,9 +136,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, params: Ftrl = Ftrl()) -> W
         """A task has one shard; of its texts only the features are held."""
         hashes, keys, sizes, toxic = WordHashes(), [], [], []
         for b in batches:
-            texts = b.column(4).to_pylist()
-            for i, j in _groups(texts):
-                k, n = _distinct_features(texts[i:j], hashes)
+            for _, texts in _groups(b.column(4)):
+                k, n = _distinct_features(texts, hashes)
                 keys.append(k)
                 sizes.append(n)
             toxic += b.column(3).to_pylist()
@@ -165,10 +163,9 @@ def score_toxicity(docs: DataFrame, weights: Weights, keep: list[str]) -> DataFr
         near = np.zeros(1 << 22, bool)
         near[w.keys >> np.uint32(10)] = True
         for batch in batches:
-            texts = batch.column(len(keep)).to_pylist()
-            out = np.full(len(texts), w.intercept)
-            for start, end in _groups(texts):
-                keys, owner = _features(texts[start:end], hashes)
+            out = np.full(batch.num_rows, w.intercept)
+            for start, texts in _groups(batch.column(len(keep))):
+                keys, owner = _features(texts, hashes)
                 hit = np.flatnonzero(near[keys >> np.uint32(10)])
                 if len(hit):
                     pos = np.minimum(np.searchsorted(w.keys, keys[hit]), max(0, len(w.keys) - 1))
