@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from statuta.operators.carried import Running, carried
+from statuta.scratch import materialize
 
 
 def keep_first(df: DataFrame, key: str | list[str], order: str | list[str | Column]) -> DataFrame:
@@ -131,16 +132,31 @@ def drop_similar(new: DataFrame, existing: DataFrame, threshold: float = 0.92) -
     return n.join(near, same, "left_anti").drop("s")
 
 
+def _fresh(new: DataFrame, existing: DataFrame, order: str) -> DataFrame:
+    """Rows of unknown texts, with their versions."""
+    first = keep_first(new, "source_hash", order)
+    fresh = amendments(first.join(existing.select("source_hash").distinct(), "source_hash", "left_anti"), existing, order)
+    nth = F.row_number().over(W.partitionBy("regulation_id").orderBy(F.col("version_id").asc_nulls_last(), order)).cast("int")
+    return fresh.withColumn("version_id", F.when(F.col("status") == "new", nth).otherwise(F.col("version_id")))
+
+
+def deduplicate_written(new: DataFrame, existing: DataFrame, order: str, threshold: float = 0.92) -> tuple[DataFrame, dict[str, int]]:
+    """As ``deduplicate``, written as it goes: the rows left and the report come from the jobs that write them, so the batch is read once."""
+    came, went, stayed = Observation(), Observation(), Observation()
+    fresh = _fresh(new.observe(came, F.count("*").alias("n")), existing, order)
+    fresh = materialize(fresh.observe(went, F.count("*").alias("n"), F.count_if(F.col("status") == "amended").alias("amended")))
+    left = materialize(drop_similar(fresh, existing, threshold).observe(stayed, F.count("*").alias("n")))
+    n = [x.get["n"] for x in (came, went, stayed)]
+    return left, {"input_rows": n[0], "exact_dropped": n[0] - n[1], "amendments": went.get["amended"], "similar_dropped": n[1] - n[2], "output_rows": n[2]}
+
+
 def deduplicate(new: DataFrame, existing: DataFrame, order: str, threshold: float = 0.92, fuzzy: bool = True) -> tuple[DataFrame, DataFrame]:
     """A batch against what is stored: rows of known texts go, amended regulations get the next versions, near-equal titles of other sources go.
 
     Returns the rows left (status, version_id, old_hash added; new regulations are numbered from 1 in their order) and a report of
     one row: input_rows, exact_dropped, amendments, similar_dropped, output_rows.
     """
-    first = keep_first(new, "source_hash", order)
-    fresh = amendments(first.join(existing.select("source_hash").distinct(), "source_hash", "left_anti"), existing, order)
-    nth = F.row_number().over(W.partitionBy("regulation_id").orderBy(F.col("version_id").asc_nulls_last(), order)).cast("int")
-    fresh = fresh.withColumn("version_id", F.when(F.col("status") == "new", nth).otherwise(F.col("version_id")))
+    fresh = _fresh(new, existing, order)
     left = drop_similar(fresh, existing, threshold) if fuzzy else fresh
     counts = [df.agg(F.count("*").alias("n"), *more) for df, more in ((new, []), (fresh, [F.count_if(F.col("status") == "amended").alias("amended")]), (left, []))]
     report = counts[0].withColumnRenamed("n", "input_rows").crossJoin(counts[1].withColumnRenamed("n", "fresh")).crossJoin(counts[2].withColumnRenamed("n", "output_rows"))

@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from statuta.scratch import materialize
+
+#: Parts of a table by a hash of its key; a table keeps the number that it was begun with.
+BUCKETS = 64
+
 
 def one_per_key(new: DataFrame, keys: list[str], order: list[str | Column] | None, last: bool) -> DataFrame:
     """The first or last row of each key by ``order`` (if none is given by all other columns, so that reruns agree); rows with a null key go."""
@@ -60,6 +66,29 @@ def delete_counted(table: DataFrame, equal: dict) -> tuple[DataFrame, int]:
     return left, table.count() - left.count()
 
 
+def with_bucket(rows: DataFrame, key: str, buckets: int = BUCKETS) -> DataFrame:
+    """The column ``bucket``, by which a table is partitioned."""
+    return rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+
+
+def append_buckets(rows: DataFrame, path: str, key: str, buckets: int = BUCKETS) -> None:
+    with_bucket(rows, key, buckets).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(path)
+
+
+def merge_buckets(old: DataFrame, new: DataFrame, path: str, key: str, merge: Callable[[DataFrame, DataFrame], DataFrame], buckets: int = BUCKETS) -> int:
+    """Put ``merge(old rows, new rows)`` in place of the buckets of the table at ``path`` that ``new`` touches; returns their number.
+
+    ``old``: the table, its column ``bucket`` included. Only touched buckets are read and written, in one job that swaps them at its
+    end; all other files stay as they are, and the table is there at any time.
+    """
+    new = materialize(with_bucket(new, key, buckets))
+    touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most ``buckets``
+    if touched:
+        merged = materialize(with_bucket(merge(old.where(F.col("bucket").isin(touched)).drop("bucket"), new.drop("bucket")), key, buckets))
+        merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    return len(touched)
+
+
 def replace(spark: SparkSession, content: DataFrame, path: str) -> None:
     """Write the content beside the table, then put it in the old one's place; ``content`` may read the old one.
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from statuta.operators import dedup, structure
 from statuta.plans import corpus, views
 from statuta.plans.registry import query
+from statuta.scratch import scratch_dir
+from statuta.streaming import landing
 
 _SRC = corpus.BY_SOURCE_SQL
 
@@ -44,3 +46,20 @@ def structure_of_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.when(n == 0, F.concat(F.lit("Chapter "), heading)).when(n == 3, F.concat(F.lit("Article "), heading)).when(n == 5, F.concat(F.lit("Section "), heading)).otherwise(F.concat(F.lit("Body of "), heading))
     paras = corpus.read(spark, sf_dir, "documents").select("source", "doc_id", F.lit(1).alias("page_number"), F.col("doc_id").alias("para"), line.alias("text"))
     return structure.with_context(structure.classify(paras), "source", hot=True).select("source", "doc_id", "block_idx", "block_type", "chapter_ref", "article_ref", "section_ref")
+
+
+@query("""WITH r AS (SELECT concat_ws('-', source, CAST(doc_id % 40 AS VARCHAR)) AS regulation_id, doc_id AS seq, CAST(doc_id // 60 % 3 AS VARCHAR) AS source_hash FROM documents),
+  c AS (SELECT *, lag(source_hash) OVER w AS old_hash FROM r WINDOW w AS (PARTITION BY regulation_id ORDER BY seq))
+  SELECT regulation_id, seq, source_hash, CAST(row_number() OVER (PARTITION BY regulation_id ORDER BY seq) AS INT) AS version_id, old_hash FROM c WHERE old_hash IS DISTINCT FROM source_hash""")
+def stream_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that land in three batches, the stream restarted for each: a regulation's rows are numbered on by its state."""
+    docs = corpus.read(spark, sf_dir, "documents")
+    name = F.concat_ws("-", "source", (F.col("doc_id") % 40).cast("string"))
+    rows = docs.select(name.alias("regulation_id"), F.col("doc_id").alias("seq"), F.floor(F.col("doc_id") / 60 % 3).cast("string").alias("source_hash"))
+    source, out = scratch_dir(spark), scratch_dir(spark)
+    third = docs.agg((F.max("doc_id") / 3).alias("x")).first().x or 0
+    for i in range(3):
+        rows.where((F.col("seq") > third * i if i else F.lit(True)) & (F.col("seq") <= third * (i + 1) if i < 2 else F.lit(True))).write.mode("append").parquet(source)
+        versions = landing.Versions(landing.landed_stream(spark, source, rows.schema)).rows()
+        landing.start(versions, lambda batch, _: batch.write.mode("append").parquet(f"{out}/rows"), f"{out}/state").awaitTermination()
+    return spark.read.parquet(f"{out}/rows")

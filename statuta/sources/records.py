@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statuta.functions import ids, text
+from statuta.operators.dedup import keep_first
 from statuta.schema import LANDED
 
 # First keyword found decides.
@@ -88,16 +89,23 @@ def regulations_gov(payloads: DataFrame, ingested_at: Column) -> DataFrame:
     ), "regulations_gov", ingested_at)
 
 
-def _items(payloads: DataFrame) -> DataFrame:
+def _items(payloads: DataFrame, *more: str) -> DataFrame:
     item = "struct<title:string,link:string,pubDate:string,description:string>"
     j = F.from_xml("payload", f"struct<channel:struct<item:array<{item}>>>")
-    return payloads.select(F.explode(j["channel"]["item"]).alias("i")).select("i.*")
+    return payloads.select(*more, F.posexplode(j["channel"]["item"]).alias("__at", "i")).select(*more, "__at", "i.*")
 
 
-def ftc(payloads: DataFrame, ingested_at: Column) -> DataFrame:
-    """RSS items on enforcement."""
+def ftc(payloads: DataFrame, ingested_at: Column, limit: int | None = None, feed: str | None = None) -> DataFrame:
+    """RSS items on enforcement, the first of each address (a missing one is an address like any other), then the first ``limit``.
+
+    ``feed``: a column by which the feeds are ordered; without one they go by their content.
+    """
     body = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit("")))
-    rows = _items(payloads).withColumn("raw_text", body).where(F.lower("raw_text").rlike("|".join(FTC_KEYWORDS)))
+    order = [F.col("__feed") if feed else F.xxhash64("title", "link", "pubDate", "description"), F.col("__at")]
+    rows = _items(payloads.withColumn("__feed", F.col(feed)) if feed else payloads, *(["__feed"] if feed else []))
+    rows = rows.withColumn("raw_text", body).where(F.lower("raw_text").rlike("|".join(FTC_KEYWORDS)))
+    rows = keep_first(rows.withColumn("__url", F.coalesce("link", F.lit(""))), "__url", order)
+    rows = rows if limit is None else rows.orderBy(*order).limit(limit)
     return landed(rows.select(
         F.coalesce("title", F.lit("")).alias("title"), F.lit("US").alias("jurisdiction"), text.first_label(F.col("raw_text"), FTC_TOPICS, "Enforcement Action").alias("regulation_type"),
         text.feed_date(F.col("pubDate")).alias("effective_date"), F.col("link").alias("source_url"), "raw_text",
@@ -142,6 +150,8 @@ def ico_with_fallback(feed: DataFrame, pages: DataFrame, ingested_at: Column, li
     return (ico_html(pages, ingested_at, limit) if rows.isEmpty() else rows).limit(limit)
 
 
+#: Messages of a run's requests that its health row keeps, at most.
+MESSAGES = 100
 # What is asked of the public SPARQL service: works in force from a date on, titles and kinds in English, newest first.
 SPARQL = """
 PREFIX cdm: <http://publications.europa.eu/ontology/cdm#>
@@ -163,12 +173,35 @@ def sparql_request(spark: SparkSession, endpoint: str, since: str, limit: int) -
     return spark.createDataFrame([(f"{endpoint}?{query}",)], "url string")
 
 
-def run_metrics(rows: DataFrame, source: str, started: float, ended: float, drift: bool = False, errors: list[str] = [], sla: float = 300.0) -> DataFrame:
-    """A health row of a source's run: rows, duplicates, null rate, and whether it took under ``sla`` seconds."""
-    return health_row(rows, source).withColumns({
-        "run_id": ids.run_id(F.lit(source), F.lit(str(started))), "run_at": F.timestamp_seconds(F.lit(started)), "elapsed_seconds": F.lit(ended - started), "sla_met": F.lit(ended - started < sla),
-        "schema_drift": F.lit(drift), "errors": F.lit(json.dumps(errors)),
-    })
+def run_metrics(rows: DataFrame, source: str, started: float, ended: float, drift: bool = False, errors: list[str] = [], sla: float = 300.0, fetched: DataFrame | None = None) -> DataFrame:
+    """A health row of a source's run: rows, duplicates, null rate, and whether it took under ``sla`` seconds.
+
+    ``fetched``: what the source's requests gave, whose column ``error`` tells why some gave nothing. Its distinct messages follow
+    ``errors``, in order, the first MESSAGES of them.
+    """
+    row = health_row(rows, source)
+    found = F.array(*map(F.lit, errors)).cast("array<string>")
+    if fetched is not None:
+        said = fetched.where("error IS NOT NULL").select("error").distinct().orderBy("error").limit(MESSAGES)
+        row = row.crossJoin(F.broadcast(said.agg(F.sort_array(F.collect_list("error")).alias("__said"))))
+        found = F.concat(found, F.col("__said"))
+    return _run(row.withColumn("__errors", F.to_json(found)), source, started, ended, drift, F.lit(ended - started < sla)).drop("__said")
+
+
+def _run(row: DataFrame, source: str, started: float, ended: float, drift: bool, in_time: Column) -> DataFrame:
+    return row.withColumns({
+        "run_id": ids.run_id(F.lit(source), F.lit(str(started))), "run_at": F.timestamp_seconds(F.lit(started)), "elapsed_seconds": F.lit(ended - started), "sla_met": in_time,
+        "schema_drift": F.lit(drift), "errors": F.col("__errors"),
+    }).drop("__errors")
+
+
+def failed_runs(spark: SparkSession, lost: dict[str, str], started: float, ended: float) -> list[DataFrame]:
+    """Health rows of sources that gave nothing: no rows, not in time, and why."""
+    rows = []
+    for source, why in sorted(lost.items()):
+        row = spark.range(1).select(F.lit(source).alias("source"), F.lit(0).cast("long").alias("rows_ingested"), F.lit(0).cast("long").alias("duplicate_count"), F.lit(0.0).alias("null_rate"), F.lit(json.dumps([why])).alias("__errors"))
+        rows.append(_run(row, source, started, ended, False, F.lit(False)))
+    return rows
 
 
 def health_row(rows: DataFrame, source: str, columns: list[str] = ["title", "jurisdiction", "regulation_type", "effective_date", "raw_text"]) -> DataFrame:
