@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import warnings
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 
 from statuta.operators.bm25 import Bm25Index, append_bm25, bm25, build_bm25, read_bm25, search_bm25, term_counts  # noqa: F401
 from statuta.operators.ranking import first_k
+from statuta.scratch import materialize
 
 #: Query vectors that are broadcast at a time.
 QUERY_BLOCK = 10_000
@@ -94,17 +96,31 @@ def rerank(hits: DataFrame, model, k: int) -> DataFrame:
     return first_k(scored, "query_id", [F.col("score").desc_nulls_last(), *before, F.col("chunk_id")], k)
 
 
-def retrieve(index: Bm25Index, vectors: DataFrame, queries: DataFrame, k: int = 5, where: Column | None = None, texts: DataFrame | None = None, model=None) -> DataFrame:
+def _attempt(name: str, build: Callable[[], DataFrame]) -> DataFrame | None:
+    try:
+        return materialize(build())
+    except Exception as e:  # whatever a leg raises, the other goes on
+        warnings.warn(f"the {name} leg failed: {e}", stacklevel=3)
+        return None
+
+
+def retrieve(index: Bm25Index, vectors: DataFrame, queries: DataFrame, k: int = 5, where: Column | None = None, texts: DataFrame | None = None, model=None, lenient: bool = False) -> DataFrame:
     """The whole retrieval: ``queries`` (query_id, text, vector) -> query_id, chunk_id, score, rank.
 
     Both legs give 3 k candidates, fused with weights 0.6 (dense) and 0.4 (sparse), then cut at k or, with ``texts``
     (chunk_id, text) and ``model``, reranked. ``where``: a filter on ``vectors``' columns that both legs keep; a query
-    without a vector has its sparse leg alone.
+    without a vector has its sparse leg alone. ``lenient``: both legs are written first, and one that fails is left out with a
+    warning; an error only if both do.
     """
-    near = dense(vectors, queries.select("query_id", "vector"), 3 * k, where)
     allowed = None if where is None else vectors.where(where).select(F.col("chunk_id").alias("doc_id"))
-    sparse = search_bm25(index, queries.select("query_id", "text"), 3 * k, allowed).withColumnRenamed("doc_id", "chunk_id")
-    fused = fuse([("dense", 0.6, near), ("sparse", 0.4, sparse)], k if model is None else 6 * k)
+    legs = {
+        ("dense", 0.6): lambda: dense(vectors, queries.select("query_id", "vector"), 3 * k, where),
+        ("sparse", 0.4): lambda: search_bm25(index, queries.select("query_id", "text"), 3 * k, allowed).withColumnRenamed("doc_id", "chunk_id"),
+    }
+    found = [(*leg, rows) for leg, build in legs.items() if (rows := _attempt(leg[0], build) if lenient else build()) is not None]
+    if not found:
+        raise ValueError("both legs of the retrieval failed")
+    fused = fuse(found, k if model is None else 6 * k)
     if model is not None:
         asked = queries.select("query_id", F.col("text").alias("query"))
         fused = rerank(fused.join(asked, "query_id").join(texts.select("chunk_id", "text"), "chunk_id"), model, k)

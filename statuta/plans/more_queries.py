@@ -165,10 +165,10 @@ def citations(spark, sf):
     return answers.format_citations(cited, "regulation_id", "version_id")
 
 
-@query("""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN trim(substr(text, 1, 100)) ELSE '**X:** ' || trim(substr(text, 1, 100)) END AS section_1, CASE WHEN turn % 2 = 0 THEN '[' || CAST(turn AS VARCHAR) || ']' ELSE '' END AS section_2 FROM (
+@query("""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN trim(text) ELSE '**X:** ' || trim(text) END AS section_1, CASE WHEN turn % 2 = 0 THEN '[' || CAST(turn AS VARCHAR) || ']' ELSE '' END AS section_2 FROM (
   SELECT conv_id, turn, regexp_replace(text, '[^A-Za-z]+', ' ', 'g') AS text FROM conversations)""")
 def answer_sections(spark, sf):
-    plain = F.trim(F.substring(F.regexp_replace("text", "[^A-Za-z]+", " "), 1, 100))
+    plain = F.trim(F.regexp_replace("text", "[^A-Za-z]+", " "))
     said = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("**Answer:** "), plain, F.lit("\n**Sources:** ["), F.col("turn").cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("**X:** "), plain))
     return answers.parse_answer(corpus.read(spark, sf, "conversations").select("conv_id", "turn", said.alias("t")), "t", ("Answer", "Sources")).select("conv_id", "turn", "section_1", "section_2")
 

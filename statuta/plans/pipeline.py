@@ -17,7 +17,7 @@ from statuta.sources import readers, records
 
 from . import views
 
-VECTORS = "chunk_id string, embedding array<float>"
+VECTORS = T.StructType([T.StructField("chunk_id", T.StringType()), T.StructField("embedding", T.ArrayType(T.FloatType()))])
 
 
 def as_landed(regs: DataFrame) -> DataFrame:
@@ -25,16 +25,17 @@ def as_landed(regs: DataFrame) -> DataFrame:
     return regs.withColumn("ingested_at", F.lit("2024-01-30").cast("timestamp"))
 
 
-def table(spark: SparkSession, path: str, kind) -> DataFrame:
+def table(spark: SparkSession, path: str, kind: T.StructType) -> DataFrame:
     """What is stored at a path; an empty table if nothing is."""
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-    return spark.read.schema(kind).parquet(path) if there else spark.createDataFrame([], kind)
+    # without the columns by which it is partitioned, unless they are asked for
+    return spark.read.schema(kind).parquet(path).select(*kind.fieldNames()) if there else spark.createDataFrame([], kind)
 
 
-def _bucketed(kind) -> T.StructType:
-    return T.StructType([*T._parse_datatype_string(kind) if isinstance(kind, str) else kind, T.StructField("bucket", T.IntegerType())])
+def _bucketed(kind: T.StructType) -> T.StructType:
+    return T.StructType([*kind.fields, T.StructField("bucket", T.IntegerType())])
 
 
 def run(

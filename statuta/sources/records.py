@@ -36,6 +36,7 @@ DOCUMENT_TYPES = {
 }
 #: Fixed value: an article, with a paragraph and the act if they follow.
 ARTICLE = r"(?i)(Article\s+\d+[a-z]?(?:\(\d+\))?(?:\s+(?:UK\s+)?GDPR)?)"
+#: Agencies that are asked.
 AGENCIES = ("FCC", "FTC", "NTIA", "DOJ", "SEC", "CFPB", "DHS", "CISA")
 
 
