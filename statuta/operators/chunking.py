@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statuta.functions import ids
@@ -48,6 +48,22 @@ def chunk_text(docs: DataFrame, key: str, text: str, tokens: int = 512, overlap:
     return _finish(rows, key)
 
 
+@F.udtf(returnType="chunk_index int, total_chunks int, chunk_text string, token_estimate int")
+class Chunks:
+    """The chunks of one text, for SQL: ``FROM docs d, LATERAL chunk(d.text, 512, 51)``; a null or blank text gives none."""
+
+    def eval(self, text: str | None, tokens: int = 512, overlap: int = 51) -> Iterator[tuple[int, int, str, int]]:
+        size, shared = sizes(tokens, overlap)
+        found = [c for a, b in windows(text, size, shared) if (c := text[a:b].strip())] if text else []
+        for i, c in enumerate(found):
+            yield i, len(found), c, max(1, len(c) // int(CHARS_PER_TOKEN))
+
+
+def register_chunks(spark: SparkSession, name: str = "chunk") -> None:
+    """The table function ``chunk(text, tokens, overlap)`` of this session."""
+    spark.udtf.register(name, Chunks)
+
+
 def chunk_documents(docs: DataFrame, key: str, text: str, blocks: DataFrame | None = None, order: list | None = None, tokens: int = 512, overlap: int = 51) -> DataFrame:
     """Chunks of every document: by its structural blocks where ``blocks`` has any for its key, else by windows over its text.
 

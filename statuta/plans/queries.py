@@ -284,13 +284,24 @@ CHUNKS_SQL = f"""RECURSIVE cut(doc_id, pos, stop) AS (SELECT doc_id, CAST(-1 AS
   chunks AS (SELECT doc_id, pos, regexp_replace(substr(text, pos + 1, stop - pos), '^\\s+|\\s+$', '', 'g') AS chunk_text FROM cut JOIN documents USING (doc_id) WHERE pos >= 0)"""
 
 
-@_query(f"""WITH {CHUNKS_SQL}, k AS (SELECT doc_id, chunk_text, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INT) AS chunk_index, CAST(count(*) OVER (PARTITION BY doc_id) AS INT) AS total_chunks FROM chunks WHERE chunk_text <> '')
-  SELECT doc_id, total_chunks, chunk_index, chunk_text, CAST(greatest(1, length(chunk_text) // 3) AS INT) AS token_estimate, substr(sha256(CAST(doc_id AS VARCHAR) || '::' || CAST(chunk_index AS VARCHAR) || '::' || substr(chunk_text, 1, 64)), 1, 24) AS chunk_id FROM k""")
+CHUNK_ROWS_SQL = f"""WITH {CHUNKS_SQL}, k AS (SELECT doc_id, chunk_text, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INT) AS chunk_index, CAST(count(*) OVER (PARTITION BY doc_id) AS INT) AS total_chunks FROM chunks WHERE chunk_text <> '')
+  SELECT doc_id, total_chunks, chunk_index, chunk_text, CAST(greatest(1, length(chunk_text) // 3) AS INT) AS token_estimate, substr(sha256(CAST(doc_id AS VARCHAR) || '::' || CAST(chunk_index AS VARCHAR) || '::' || substr(chunk_text, 1, 64)), 1, 24) AS chunk_id FROM k"""
+
+
+@_query(CHUNK_ROWS_SQL)
 def chunk_text(spark, sf):
     d = corpus.read(spark, sf, "documents").select("doc_id", "text")
     return chunking.chunk_text(d, "doc_id", "text").drop("text")
 
 
+@_query(CHUNK_ROWS_SQL)
+def chunk_function(spark, sf):
+    """The same chunks by the table function, in SQL."""
+    chunking.register_chunks(spark)
+    rows = spark.sql("SELECT d.doc_id, c.* FROM {docs} d, LATERAL chunk(d.text, 512, 51) c", docs=corpus.read(spark, sf, "documents"))
+    return rows.withColumn("chunk_id", ids.chunk_id("doc_id", "chunk_index", "chunk_text"))
+
+
 def _paged(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as pages of the legal structure: each line a paragraph, every third one under a heading."""
     d = corpus.read(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body"))
