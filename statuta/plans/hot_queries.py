@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statuta.operators import dedup, structure
+from statuta import schema
+from statuta.operators import dedup, distinct, structure
 from statuta.plans import corpus, views
-from statuta.plans.registry import query
-from statuta.scratch import scratch_dir
+from statuta.plans.registry import SQL, query
+from statuta.scratch import materialize, scratch_dir
 from statuta.streaming import landing
 
 _SRC = corpus.BY_SOURCE_SQL
@@ -63,3 +64,17 @@ def stream_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
         versions = landing.Versions(landing.landed_stream(spark, source, rows.schema)).rows()
         landing.start(versions, lambda batch, _: batch.write.mode("append").parquet(f"{out}/rows"), f"{out}/state").awaitTermination()
     return spark.read.parquet(f"{out}/rows")
+
+
+@query(SQL["jurisdiction_stats"])
+def jurisdiction_stats_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The jurisdictions' numbers from what is stored of each day: bitmaps of regulations and types, dates and amendments."""
+    regs = corpus.regulations(spark, sf_dir)
+    day, place = ["effective_date", "jurisdiction"], ["jurisdiction"]
+    sums = materialize(regs.groupBy(*day).agg(F.sum((F.col("version_id") > 1).cast("long")).alias("amended")))
+    bits = {c: materialize(distinct.bitmaps(regs, day, c, materialize(distinct.grow_dictionary(regs, c)))) for c in ("regulation_id", "regulation_type")}
+    found = sums.groupBy(*place).agg(F.min("effective_date").alias("earliest_date"), F.max("effective_date").alias("latest_date"), F.sum("amended").alias("amendment_count"))
+    for column, name in (("regulation_id", "regulation_count"), ("regulation_type", "type_diversity")):
+        found = found.join(distinct.counts(bits[column], place, name), place)
+    names = schema.jurisdictions(spark).select(F.col("jurisdiction_code").alias("jurisdiction"), "jurisdiction_name")
+    return found.join(F.broadcast(names), "jurisdiction", "left").select("jurisdiction", "jurisdiction_name", "regulation_count", "type_diversity", "earliest_date", "latest_date", "amendment_count")
