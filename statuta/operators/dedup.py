@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -141,13 +141,15 @@ def _fresh(new: DataFrame, existing: DataFrame, order: str) -> DataFrame:
 
 
 def deduplicate_written(new: DataFrame, existing: DataFrame, order: str, threshold: float = 0.92) -> tuple[DataFrame, dict[str, int]]:
-    """As ``deduplicate``, written as it goes: the rows left and the report come from the jobs that write them, so the batch is read once."""
-    came, went, stayed = Observation(), Observation(), Observation()
-    fresh = _fresh(new.observe(came, F.count("*").alias("n")), existing, order)
-    fresh = materialize(fresh.observe(went, F.count("*").alias("n"), F.count_if(F.col("status") == "amended").alias("amended")))
-    left = materialize(drop_similar(fresh, existing, threshold).observe(stayed, F.count("*").alias("n")))
-    n = [x.get["n"] for x in (came, went, stayed)]
-    return left, {"input_rows": n[0], "exact_dropped": n[0] - n[1], "amendments": went.get["amended"], "similar_dropped": n[1] - n[2], "output_rows": n[2]}
+    """As ``deduplicate``, written as it goes, so that the chain runs once: the report counts what was written.
+
+    Counts don't come from ``observe``: a job that proves a frame to be empty on the way drops what it observed before.
+    """
+    fresh = materialize(_fresh(new, existing, order))
+    left = materialize(drop_similar(fresh, existing, threshold))
+    came, stayed = new.count(), left.count()
+    went, amended = fresh.agg(F.count("*"), F.count_if(F.col("status") == "amended")).first()
+    return left, {"input_rows": came, "exact_dropped": came - went, "amendments": amended, "similar_dropped": went - stayed, "output_rows": stayed}
 
 
 def deduplicate(new: DataFrame, existing: DataFrame, order: str, threshold: float = 0.92, fuzzy: bool = True) -> tuple[DataFrame, DataFrame]:

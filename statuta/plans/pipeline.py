@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,9 +81,8 @@ def embed_chunks(spark: SparkSession, warehouse: str, model: Callable[[list[str]
     """
     chunks_at, vectors_at = f"{warehouse}/chunks", f"{warehouse}/vectors"
     chunks = table(spark, chunks_at, _bucketed(schema.CHUNKS))
-    got = Observation()
     done = embedding.embed(chunks.where("vector_store is null").select("chunk_id", "text"), "text", model).where("embedding is not null").select("chunk_id", "embedding")
-    done = materialize(done.observe(got, F.count("*").alias("n")))
+    done = materialize(done)
     store.merge_buckets(table(spark, vectors_at, _bucketed(VECTORS)), done, vectors_at, "chunk_id", embedding.upsert_vectors)
 
     def marked(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -92,7 +91,7 @@ def embed_chunks(spark: SparkSession, warehouse: str, model: Callable[[list[str]
         return rows.withColumn("embedded_at", F.when(F.col("embedded_at").isNull() & F.col("vector_store").isNotNull(), now).otherwise(F.col("embedded_at")))
 
     store.merge_buckets(chunks, done, chunks_at, "chunk_id", marked)
-    return got.get["n"]
+    return done.count()
 
 
 def latest(spark: SparkSession, warehouse: str) -> DataFrame:
