@@ -107,7 +107,8 @@ def append_bm25(docs: DataFrame, path: str) -> Bm25Index:
     version = 0 if known is None else known.version + 1
     text = F.coalesce(F.col("text"), F.lit(""))
     size, rows = docs.agg(F.coalesce(F.sum(F.octet_length(text) + 64), F.lit(0)), F.count("*")).first()
-    shards = max(1, -(-size // SHARD_BYTES))
+    # at least two for each core where the text is small, none much under 1 MB
+    shards = max(1, -(-size // SHARD_BYTES), min(2 * spark.sparkContext.defaultParallelism, size >> 20))
     id_type = docs.schema["doc_id"].dataType
     kind = T.StructType(
         [T.StructField("shard", T.IntegerType()), T.StructField("term", T.StringType()), T.StructField("most", T.IntegerType()), T.StructField("least", T.IntegerType())]
