@@ -27,7 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under one half; the classifier learns from all labels of ``sf_dir``. Repeated rows share their score;
     null and empty texts have the prior's, under one half; a null id has no label."""
     weights = toxicity.fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score_toxicity(_boxed(docs), weights, ["__row"]).where("score < 0.5").select("__row.*")
+    return toxicity.score_toxicity(_boxed(docs), weights, ["__row"], row="__row").where("score < 0.5").select("__row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

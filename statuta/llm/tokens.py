@@ -234,7 +234,7 @@ class _Writer:
 MANIFEST = "shard long, file string, docs long, tokens long, sequences long, sha1 string"
 
 
-def _runs(shards: np.ndarray, texts: pa.Array, size: int = 8 << 20) -> Iterator[tuple[int, int]]:
+def _runs(shards: np.ndarray, texts: pa.Array, size: int = 4 << 20) -> Iterator[tuple[int, int]]:
     """Runs of one shard and of about ``size`` bytes at most, unless one text is longer."""
     ends = np.cumsum(pc.binary_length(texts).to_numpy())
     start = 0
@@ -267,6 +267,7 @@ def write_tokens(docs: DataFrame, root: str, params: TokenParams) -> DataFrame:
                     writer = _Writer(root, shard, params, encoder.type)
                 writer.add(batch.column(1)[start:end], *encoder.ids(batch.column(2)[start:end], params.end_id))
         done += [writer.close()] if writer else []
+        pa.default_memory_pool().release_unused()  # Spark keeps the worker for other stages' tasks
         kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done) if done else ([],) * 6, kinds)], names=["shard", "file", "docs", "tokens", "sequences", "sha1"])
 

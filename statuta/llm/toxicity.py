@@ -69,7 +69,7 @@ def _features(texts: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.nd
     return (np.concatenate(keys) >> np.uint64(32)).astype(np.uint32), np.concatenate(owners)
 
 
-def _groups(texts: pa.Array, size: int = 4 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def _groups(texts: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of texts of about ``size`` bytes and where each begins; no more than a run is held beside the batch."""
     ends, start = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)), 0
     while start < len(texts):
@@ -93,10 +93,31 @@ def _fit_shard(texts: list[bytes], toxic: np.ndarray, prior: float, p: Ftrl) ->
     return _fit_features(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]), toxic, prior, p)
 
 
+def _coordinates(keys: np.ndarray, sizes: np.ndarray, p: Ftrl) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The features that may get a weight, sorted; the rows' places among them, one row after the other; where each row begins.
+
+    While a weight is zero, z moves by the gradient alone: by less than ``positive`` (or 1) an epoch and row. A feature of so few
+    rows that this can't pass ``l1`` stays at zero, so it needs no place: most features are of one row.
+    """
+    ordered = np.sort(keys)
+    new = np.ones(len(ordered), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    first = np.flatnonzero(new).astype(np.int32)
+    rows = np.diff(first, append=np.int32(len(ordered)))
+    coords = ordered[first[rows > math.floor(p.l1 / (p.epochs * max(1.0, p.positive)))]]
+    del ordered, new, first, rows
+    at, known = np.zeros(len(keys), np.int32), np.zeros(len(keys), bool)
+    for i in range(0, len(keys) if len(coords) else 0, 1 << 20):
+        own = keys[i : i + (1 << 20)]
+        at[i : i + len(own)] = places = np.minimum(np.searchsorted(coords, own), len(coords) - 1)
+        known[i : i + len(own)] = coords[places] == own
+    ends = np.cumsum(np.concatenate(([0], sizes)))
+    return coords, at[known], np.concatenate((np.zeros(1, np.int32), np.cumsum(known, dtype=np.int32)))[ends]
+
+
 def _fit_features(keys: np.ndarray, sizes: np.ndarray, toxic: np.ndarray, prior: float, p: Ftrl) -> tuple[np.ndarray, np.ndarray]:
     """``keys``: the rows' features one after the other, ``sizes`` of each; the intercept stays at the prior log-odds."""
-    coords, at = np.unique(keys, return_inverse=True)
-    at, ends = at.astype(np.int32), np.concatenate(([0], np.cumsum(sizes)))
+    coords, at, ends = _coordinates(keys, sizes, p)
     z, n = np.zeros(len(coords)), np.zeros(len(coords))
 
     def weight(zi, ni):
@@ -142,7 +163,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, params: Ftrl = Ftrl()) -> W
                 sizes.append(n)
             toxic += b.column(3).to_pylist()
         if keys:
-            coords, values = _fit_features(np.concatenate(keys), np.concatenate(sizes), np.array(toxic), prior, params)
+            whole = np.concatenate(keys)
+            keys.clear()
+            coords, values = _fit_features(whole, np.concatenate(sizes), np.array(toxic), prior, params)
             yield pa.RecordBatch.from_arrays([pa.array(coords.astype(np.int64)), pa.array(values)], names=["coord", "weight"])
 
     dealt = train.repartitionById(shards, F.col("shard")).sortWithinPartitions(F.xxhash64("doc_id", "h", F.lit(9)), "doc_id", "h")
@@ -153,8 +176,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, params: Ftrl = Ftrl()) -> W
     return Weights(mixed["coord"].to_numpy()[order].astype(np.uint32), mixed["weight"].to_numpy()[order].astype(np.float32), prior)
 
 
-def score_toxicity(docs: DataFrame, weights: Weights, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of ``docs`` and ``score``, for every row, in one scan."""
+def score_toxicity(docs: DataFrame, weights: Weights, keep: list[str], row: str | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` and ``score``, for every row, in one scan. ``row``: that one of ``keep`` which is a struct with
+    the text in it, so that the text is sent once; else it is a column of ``docs``."""
     fields = [docs.schema[c] for c in keep] + [T.StructField("score", T.DoubleType())]
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
@@ -164,7 +188,8 @@ def score_toxicity(docs: DataFrame, weights: Weights, keep: list[str]) -> DataFr
         near[w.keys >> np.uint32(10)] = True
         for batch in batches:
             out = np.full(batch.num_rows, w.intercept)
-            for start, texts in _groups(batch.column(len(keep))):
+            whole = pc.fill_null(pc.struct_field(batch.column(keep.index(row)), "text"), "").cast(pa.binary()) if row else batch.column(len(keep))
+            for start, texts in _groups(whole):
                 keys, owner = _features(texts, hashes)
                 hit = np.flatnonzero(near[keys >> np.uint32(10)])
                 if len(hit):
@@ -175,4 +200,4 @@ def score_toxicity(docs: DataFrame, weights: Weights, keep: list[str]) -> DataFr
             scores = pa.array(1 / (1 + np.exp(-np.clip(out, -35, 35))))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], scores], names=[*keep, "score"])
 
-    return docs.select(*keep, text_bytes().alias("__text")).mapInArrow(score, T.StructType(fields))
+    return docs.select(*keep, *([] if row else [text_bytes().alias("__text")])).mapInArrow(score, T.StructType(fields))
