@@ -79,6 +79,30 @@ def test_spans_against_counting(spark, params):
     assert removed(df, params) == wanted(rows, params.length)
 
 
+def test_a_window_of_very_many_runs_is_split(spark):
+    """The join of windows with repeated ones is one whose skewed partitions Spark splits; its ranges are the counted ones."""
+    rng = random.Random(6)
+    common = bytes(rng.choice(b"abcdefgh") for _ in range(50))
+    runs = [(7, i, 1 + (i == 5), common + rng.randbytes(2)) for i in range(3_000)] + [(7, 3_000, 1, rng.randbytes(60)), (7, 3_001, 2, rng.randbytes(50))]
+    seen = Counter()
+    for _, _, copies, data in runs:
+        seen.update({data[i : i + 50]: copies for i in range(len(data) - 49)})
+    expected = {(7, seg, i) for _, seg, _, data in runs for i in range(len(data) - 49) if seen[data[i : i + 50]] > 1}
+    held = {"autoBroadcastJoinThreshold": "-1", "adaptive.coalescePartitions.enabled": "false", "adaptive.advisoryPartitionSizeInBytes": "4k", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    for k, v in held.items():
+        spark.conf.set(f"spark.sql.{k}", v)
+    try:
+        df = spans._by_windows(spark.createDataFrame(runs, "value long, seg long, copies long, data binary").repartition(8), 50)
+        rows = df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k in held:
+            spark.conf.unset(f"spark.sql.{k}")
+    assert sum(r["count"] for r in rows) == len(expected)
+    assert {(r.value, r.seg, i) for r in rows for i in range(r.start, r.start + r["count"])} == expected
+    assert "skew=true" in plan
+
+
 def test_long_texts_in_pieces(spark, monkeypatch):
     rng = random.Random(5)
     base = "".join(rng.choice("abcdefgh") for _ in range(30_000))
