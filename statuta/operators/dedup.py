@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+from functools import reduce
+from operator import add
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -78,58 +82,100 @@ def _segments(m: Column, edits: Column, i: Column) -> tuple[Column, Column]:
     return (i - 1) * base + F.greatest(i - 1 - short, F.lit(0)), base + (i > short).cast("int")
 
 
+#: Words of 64 bits that a string's letters are noted in.
+_WORDS = ["w0", "w1", "w2", "w3"]
+
+
+@F.pandas_udf(T.StructType([T.StructField(w, T.LongType()) for w in _WORDS]))
+def _letters(s: pd.Series) -> pd.DataFrame:
+    """A bit for each letter and how often it came before, turned over where two share it: an edit turns one bit over, so two strings differ in no more bits than edits."""
+    rows = []
+    for x in s:
+        seen: dict[str, int] = {}
+        bits = 0
+        for c in x:
+            k = seen[c] = seen.get(c, 0) + 1
+            bits ^= 1 << ((ord(c) + (k << 21)) * 0x9E3779B97F4A7C15 >> 32 & 255)
+        rows.append([int.from_bytes(w, "little", signed=True) for w in itertools.batched(bits.to_bytes(32, "little"), 8)])
+    return pd.DataFrame(rows, columns=_WORDS)
+
+
 def similar_strings(new: DataFrame, old: DataFrame, threshold: float = 0.92) -> DataFrame:
     """Pairs (a, b, similarity) of distinct strings of ``new`` and ``old`` (column s) whose Indel similarity reaches the threshold.
 
-    Lossless by segment signatures: similar strings of m and n characters are at most (1 - t)(m + n) single-character edits
-    apart, and n is at most (2 - t) / t m, so at most e = 2 m (1 - t) / t. Of e + 1 segments of the one, an edit spoils one at
-    most; so for some i the ith stands whole in the other, moved by no more than the i - 1 edits before it, and by no more than
-    the others after it allow. Each string of ``old`` has e + 1 signatures (its length, i, the segment); those of ``new``, the
-    smaller side, are asked for at every place where a segment may stand, for every length that may be similar. The join of
-    signatures is one that AQE splits where very many strings share one.
+    Lossless by segment signatures: similar strings of n and m characters are at most (1 - t)(m + n) single-character edits
+    apart, an even number of them if m + n is even and an odd one if not: e at most, which is 0 for short strings of one length.
+    n is at most (2 - t) / t m. Of e + 1 segments of the one, an edit spoils one at most; so for some i the ith stands whole in
+    the other, moved by no more than the i - 1 edits before it, and by no more than the others after it allow. Each string of
+    ``old`` has e + 1 signatures for each e that it may have (its length, e, i, the segment); those of ``new``, the smaller side,
+    are asked for at every place where a segment may stand, for every length that may be similar; lengths that the other side
+    doesn't have are left out. The join of signatures is one that AQE splits where very many strings share one; pairs whose
+    letters alone differ by over e edits don't leave it. Strings are few bytes and many signatures, so they are dealt to all
+    partitions, and signatures aren't broadcast by the size of the strings.
     """
     if not 0.7 <= threshold <= 1:
         raise ValueError("below 0.7 a string can't be cut into enough segments")
-    longest, room = (2 - threshold) / threshold, 2 * (1 - threshold) / threshold
-    edits = lambda m: F.floor(m * room + 1e-9).cast("int")
-    size = lambda df: df.select("s").distinct().withColumn("n", F.length("s"))
-    signature = lambda start, length: F.xxhash64("m", "i", F.substring(F.col("s"), (start + 1).cast("int"), length.cast("int")))
+    longest = (2 - threshold) / threshold
+    lengths = lambda n: F.array_intersect(F.sequence(F.ceil(n / longest - 1e-9).cast("int"), F.floor(n * longest + 1e-9).cast("int")), "lengths")
+    parts = int(new.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def edits(m: Column, n: Column) -> Column:
+        most = F.floor((m + n) * (1 - threshold) + 1e-6).cast("int")
+        return most - (most + m + n) % 2
 
-    own = size(old).withColumnsRenamed({"n": "m"}).select("s", "m", F.explode(F.sequence(F.lit(1), edits(F.col("m")) + 1)).alias("i"))
-    own = own.select(F.col("s").alias("b"), signature(*_segments(F.col("m"), edits(F.col("m")), F.col("i"))).alias("sig"))
+    def size(df: DataFrame, other: DataFrame) -> DataFrame:
+        found = other.select("s").distinct().agg(F.collect_set(F.length("s")).alias("lengths"))
+        sized = df.select("s").distinct().repartition(parts, F.xxhash64("s")).withColumns({"n": F.length("s"), "letters": _letters("s")})
+        return sized.select("s", "n", *[F.coalesce(f"letters.{w}", F.lit(0)).alias(w) for w in _WORDS]).crossJoin(F.broadcast(found))
 
-    asked = size(new).withColumn("m", F.explode(F.sequence(F.ceil(F.col("n") / longest - 1e-9).cast("int"), F.floor(F.col("n") * longest + 1e-9).cast("int"))))
-    asked = asked.withColumn("e", edits(F.col("m"))).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("e") + 1)))
+    signature = lambda start, length: F.xxhash64("m", "e", "i", F.substring(F.col("s"), (start + 1).cast("int"), length.cast("int")))
+
+    own = size(old, new).withColumnRenamed("n", "m")
+    several = F.transform(F.filter(lengths(F.col("m")), lambda n: edits(F.col("m"), n) >= F.abs(n - F.col("m"))), lambda n: edits(F.col("m"), n))
+    own = own.withColumn("e", F.explode(F.array_distinct(several))).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("e") + 1)))
+    own = own.select(F.col("s").alias("b"), "e", *[F.col(w).alias(f"b_{w}") for w in _WORDS], signature(*_segments(F.col("m"), F.col("e"), F.col("i"))).alias("sig"))
+
+    asked = size(new, old).withColumn("m", F.explode(lengths(F.col("n"))))
+    asked = asked.withColumn("e", edits(F.col("m"), F.col("n"))).where(F.col("e") >= F.abs(F.col("n") - F.col("m"))).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("e") + 1)))
     start, length = _segments(F.col("m"), F.col("e"), F.col("i"))
     more, later = F.col("n") - F.col("m"), F.col("e") + 1 - F.col("i")
     # how far the segment may have moved, by the edits before it and by those after it
     first = F.greatest(start + F.greatest(1 - F.col("i"), more - later), F.lit(0))
     last = F.least(start + F.least(F.col("i") - 1, more + later), F.col("n") - length)
     asked = asked.withColumns({"first": first.cast("int"), "last": last.cast("int"), "length": length}).where("first <= last")
-    asked = asked.withColumn("start", F.explode(F.sequence("first", "last"))).select(F.col("s").alias("a"), signature(F.col("start"), F.col("length")).alias("sig")).distinct()
+    places = F.array_distinct(F.transform(F.sequence("first", "last"), lambda at: signature(at, F.col("length"))))
+    asked = asked.select(F.col("s").alias("a"), *_WORDS, F.explode(places).alias("sig"))
 
-    low, high = F.least(F.length("a"), F.length("b")), F.greatest(F.length("a"), F.length("b"))
-    pairs = asked.join(own, "sig").where(2 * low >= threshold * (low + high) - 1e-9).select("a", "b").distinct()
+    differ = reduce(add, [F.bit_count(F.col(w).bitwiseXOR(F.col(f"b_{w}"))) for w in _WORDS])
+    pairs = asked.join(own.hint("merge"), (asked.sig == own.sig) & (differ <= F.col("e"))).select("a", "b").distinct()
     return pairs.withColumn("similarity", indel_similarity("a", "b")).where(F.col("similarity") >= threshold - 1e-12)
 
 
+def _witnesses(rows: DataFrame, key: str) -> DataFrame:
+    """Of each key's pairs (src, reg) five at most, so that if any pair differs from a given one in both, one of these does.
+
+    A given pair rules out one reg, so a source's least and greatest are enough; likewise the least and greatest source of a reg.
+    After that no source and no reg is in more than two pairs, a given one rules out four at most, and any five are enough.
+    """
+    for by, kept in (("src", "reg"), ("reg", "src")):
+        rows = rows.groupBy(key, by).agg(F.array_distinct(F.array(F.min(kept), F.max(kept))).alias(kept)).withColumn(kept, F.explode(kept))
+    place = F.row_number().over(W.partitionBy(key).orderBy("src", "reg"))
+    return rows.withColumn("__n", place).where("__n <= 5").drop("__n")
+
+
 def drop_similar(new: DataFrame, existing: DataFrame, threshold: float = 0.92) -> DataFrame:
     """``new`` without rows whose token-sorted title is similar to one of ``existing`` of another source and another regulation.
 
-    Both have regulation_id, source_name and title; nulls are values. Equal titles are compared once. Whether a title has such an
-    old row is a matter of counts: of its distinct (source, regulation), less those of the row's source, less those of its
-    regulation, and the pair of both again. So a title that very many rows share is a few numbers, and joins are by equality.
+    Both have regulation_id, source_name and title; nulls are values. Equal titles are compared once. Of the old rows that are
+    similar to a title only a few witnesses are kept, which decide for every (source, regulation); so a title that very many rows
+    share is a few rows, and rows are never joined with all that are similar.
     """
     of = lambda df: df.withColumn("s", sorted_tokens(F.coalesce("title", F.lit(""))))
-    named = lambda df: df.select("s", F.struct(F.col("source_name").alias("x")).alias("src"), F.struct(F.col("regulation_id").alias("x")).alias("reg")).distinct()
-    n, e = of(new), named(of(existing)).withColumnRenamed("s", "b")
-    asked = named(n).join(similar_strings(n, e.select(F.col("b").alias("s")), threshold).withColumnRenamed("a", "s"), "s").drop("similarity")
-    for name, keys in (("all", ["b"]), ("by_src", ["b", "src"]), ("by_reg", ["b", "reg"]), ("by_both", ["b", "src", "reg"])):
-        asked = asked.join(e.groupBy(*keys).agg(F.count("*").alias(name)), keys, "left")
-    count = lambda c: F.coalesce(c, F.lit(0))
-    near = asked.where(count("all") - count("by_src") - count("by_reg") + count("by_both") > 0).select("s", F.col("src.x").alias("__src"), F.col("reg.x").alias("__reg")).distinct()
-    same = (n.s == near.s) & n.source_name.eqNullSafe(near["__src"]) & n.regulation_id.eqNullSafe(near["__reg"])
-    return n.join(near, same, "left_anti").drop("s")
+    n, e = of(new), of(existing)
+    known = _witnesses(e.select(F.col("s").alias("b"), F.struct(F.col("source_name").alias("x")).alias("src"), F.struct(F.col("regulation_id").alias("x")).alias("reg")), "b")
+    near = _witnesses(similar_strings(n, e, threshold).join(known, "b").select("a", "src", "reg"), "a").select("a", F.col("src.x").alias("__src"), F.col("reg.x").alias("__reg"))
+    other = (n.s == near.a) & ~n.source_name.eqNullSafe(near["__src"]) & ~n.regulation_id.eqNullSafe(near["__reg"])
+    return n.join(near, other, "left_anti").drop("s")
 
 
 def _fresh(new: DataFrame, existing: DataFrame, order: str) -> DataFrame:

@@ -1,7 +1,10 @@
 import random
 
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from statuta.operators import dedup
 from statuta.operators.dedup import drop_similar, similar_strings
 
 
@@ -70,3 +73,24 @@ def test_signatures_do_not_follow_the_square(spark):
     many = spark.range(20_000).selectExpr("cast(id as int) AS id", "concat('s', id % 50) AS source_name", "concat('r', id) AS regulation_id", "'the same title for everything' AS title")
     assert similar_strings(many.selectExpr("title AS s"), many.selectExpr("title AS s")).count() == 1
     assert drop_similar(many, many).count() == 0
+
+
+@pytest.fixture
+def compared(spark, monkeypatch):
+    """Pairs whose common subsequence is looked for."""
+    seen, plain = spark.sparkContext.accumulator(0), dedup.indel_similarity.func
+
+    @F.pandas_udf("double")
+    def counted(a: pd.Series, b: pd.Series) -> pd.Series:
+        seen.add(len(a))
+        return plain(a, b)
+
+    monkeypatch.setattr(dedup, "indel_similarity", counted)
+    return seen
+
+
+def test_titles_with_one_beginning_are_not_all_compared(spark, compared):
+    """Short titles of one length that begin or end alike, as 'Doc' and a number in hexadecimal: only equal ones can be similar."""
+    docs = spark.range(800).selectExpr("concat('Doc ', substring(md5(cast(id AS string)), 1, 8)) AS t").select(dedup.sorted_tokens(F.col("t")).alias("s"))
+    assert similar_strings(docs, docs.limit(600)).count() == 600
+    assert compared.value <= 5_000
