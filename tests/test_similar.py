@@ -94,3 +94,11 @@ def test_titles_with_one_beginning_are_not_all_compared(spark, compared):
     docs = spark.range(800).selectExpr("concat('Doc ', substring(md5(cast(id AS string)), 1, 8)) AS t").select(dedup.sorted_tokens(F.col("t")).alias("s"))
     assert similar_strings(docs, docs.limit(600)).count() == 600
     assert compared.value <= 5_000
+
+
+def test_versions_do_not_compare_all_titles(spark, compared):
+    """The query on 1,000 documents, whose titles are as short as that."""
+    from __spark_entry__ import queries
+
+    rows = queries()["dedup_versions"](spark, "/root/testdata/sf0.01").collect()
+    assert len(rows) == 326 and compared.value <= 1_000
