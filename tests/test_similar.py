@@ -102,3 +102,49 @@ def test_versions_do_not_compare_all_titles(spark, compared):
 
     rows = queries()["dedup_versions"](spark, "/root/testdata/sf0.01").collect()
     assert len(rows) == 326 and compared.value <= 1_000
+
+
+def test_titles_of_few_words_are_not_all_compared(spark, compared):
+    """Titles of five words out of few, so that each shares a segment with most others; few have nearly the same letters."""
+    words = ["red blue old new hot cold small large".split(), "bolt gear nut plate ring anvil widget gizmo".split(), ["ECONOMY", "MEDIUM"], ["Brand#1", "Brand#12"]]
+    titles = [" ".join(sorted((a, b, c, d))) for a in words[0] for b in words[1] for c in words[2] for d in words[3]]
+    df = spark.createDataFrame([(x,) for x in titles], "s string")
+    got = {(r.a, r.b) for r in similar_strings(df, df).collect()}
+    assert got == {(a, b) for a in titles for b in titles if alike(a, b, 0.92)} and compared.value <= len(titles) ** 2 / 10
+
+
+def rows_made(df):
+    """The most rows that a step of a collected frame's plan made."""
+
+    def most(p):
+        name = p.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return most(p.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return most(p.plan())
+        own, below = p.metrics().get("numOutputRows"), p.children()
+        return max([own.get().value() if own.isDefined() else 0, *[most(below.apply(i)) for i in range(below.size())]])
+
+    return most(df._jdf.queryExecution().executedPlan())
+
+
+def test_rows_do_not_meet_all_similar_rows(spark):
+    """Forty similar titles, each of many rows: a row of them doesn't meet forty others."""
+    title = "concat('guidance on the retention of all records, part ', chr(65 + id % 40))"
+    rows = spark.range(8_000).selectExpr("cast(id as int) AS id", "concat('s', id % 40) AS source_name", "concat('r', id) AS regulation_id", f"{title} AS title")
+    left = drop_similar(rows, rows)
+    assert left.collect() == [] and rows_made(left) <= 20_000
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_witnesses_decide_as_all_rows(spark, seed):
+    """For every source and regulation, met or not; nulls are values."""
+    rng = random.Random(seed)
+    some = lambda k: rng.choice([None, *range(k)])
+    rows = [(k, some(2 + k % 4), some(2 + k // 4 % 4)) for k in range(60) for _ in range(rng.randint(1, 9))]
+    df = spark.createDataFrame(rows, "k int, s int, r int").select("k", F.struct(F.col("s").alias("x")).alias("src"), F.struct(F.col("r").alias("x")).alias("reg"))
+    got = [(r.k, r.src.x, r.reg.x) for r in dedup._witnesses(df, "k").collect()]
+    assert set(got) <= set(rows) and max(sum(k == x[0] for x in got) for k in range(60)) <= 5
+    other = lambda xs, k, s, r: any(k == x and s != y and r != z for x, y, z in xs)
+    given = [None, *range(7)]
+    assert all(other(rows, k, s, r) == other(got, k, s, r) for k in range(60) for s in given for r in given)
